@@ -95,14 +95,22 @@ def text_bytes(column: str = "text") -> Column:
 
 
 class BoundedCache(dict):
-    """A dict that computes what it lacks and starts afresh beyond ``most`` entries."""
+    """A dict that computes what it lacks, in two generations of ``most`` entries.
+
+    When the young generation is full it becomes the old one; what is asked for again
+    moves back, so frequent keys stay while the rare ones of long inputs are forgotten.
+    """
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value

@@ -7,7 +7,10 @@ in order.  Every distinct word goes through the library once and is then looked
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 
 from .common import BoundedCache
 
@@ -24,8 +27,22 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """bytes of a text -> bytes of its ids, little-endian unsigned 32-bit, end id last."""
+    """bytes of a text -> bytes of its ids, little-endian unsigned 32-bit, end id last.
+
+    A word of lower-case letters below U+0250, with or without closing points and commas, is
+    one letter run and one mark run for the tokenizer's pattern, and its normaliser leaves
+    it alone: such runs go straight to the model.  All other words take the whole tokenizer.
+    """
+
+    SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([.,!?;:#$%&*|()]*)")
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,29 +50,30 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end_id.to_bytes(4, "little")
-        self.kept: dict[bytes, bytes] = {}
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.letters = _byte_letters()
+        kinds = json.loads(self.tokenizer.to_str())
+        # The short cut is for this file's normaliser and pattern only.
+        self.direct = kinds.get("post_processor") is None and [n.get("type") for n in (kinds.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and kinds["model"].get("end_of_word_suffix") == "</w>"
+        self.kept = BoundedCache(self.word, CACHE_WORDS)
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
+    def word(self, data: bytes) -> bytes:
+        text = data.decode("utf-8", "replace")
+        if self.direct and len(data) <= LONG_WORD and (m := self.SIMPLE.fullmatch(text)):
+            run = self.tokenizer.model.tokenize
+            ids = [t.id for part in m.groups() if part for t in run("".join(map(self.letters.__getitem__, part.encode())))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
     def encode(self, data: bytes) -> bytes:
-        import numpy as np
-
-        words = data.split()
-        new = list(set(words).difference(self.kept))
-        extra: dict[bytes, bytes] = {}
-        if new:
-            if len(self.kept) + len(new) > CACHE_WORDS:
-                self.kept.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    (self.kept if len(w) <= LONG_WORD else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join([self.kept[w] if w in self.kept else extra[w] for w in words]) + self.end
+        # Lower-casing ASCII first spares variants; a special token's string must stay as it is.
+        words = (data.lower() if self.direct and b"<|" not in data else data).split()
+        if words and len(max(words, key=len)) > LONG_WORD:  # too long to keep
+            return b"".join([self.kept[w] if len(w) <= LONG_WORD else self.word(w) for w in words]) + self.end
         return b"".join(map(self.kept.__getitem__, words)) + self.end
 
 
