@@ -30,7 +30,7 @@ from .common import BoundedCache, Scratch, id_bucket, text_bytes
 SAMPLE_ROWS = 12_000  # expected labelled rows of the fit
 PREFIXES = (4, 6)
 PRIOR = 8.0
-DRIFT = 0.5
+DRIFT = 1.2
 LEAST_DOCS = 4
 SIGNIFICANT = 0.01
 CACHE_WORDS = 400_000
@@ -109,6 +109,17 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
+def word_scores(words: list[bytes], cache) -> "object":
+    """The words' scores; a word that only repeats the one before it adds no evidence."""
+    import numpy as np
+
+    s = np.fromiter(map(cache.__getitem__, words), float, len(words))
+    for i in np.flatnonzero(s > 0).tolist():
+        if i and words[i] == words[i - 1]:
+            s[i] = -DRIFT
+    return s
+
+
 def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prior: float = PRIOR) -> dict[str, float]:
     """Shrunk log-odds of each unit; a unit without evidence beyond its parent's is left out."""
     rate0 = toxic / (toxic + clean)
@@ -194,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
         for b in batches:
             out = []
             for y, data in zip(b.column(0).to_pylist(), b.column(1)):
-                s = list(map(cache.__getitem__, data.as_py().split()))
-                out.append((y, len(s), [x for x in s if x != -DRIFT], [[a, e, v] for a, e, v in maximal_segments(s)]))
+                s = word_scores(data.as_py().split(), cache)
+                out.append((y, len(s), s[s != -DRIFT].tolist(), [[a, e, v] for a, e, v in maximal_segments(s)]))
             yield pa.RecordBatch.from_pydict({"y": [o[0] for o in out], "n": [o[1] for o in out], "odd": [o[2] for o in out], "seg": [[v for _, _, v in o[3]] for o in out]}, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("odd", pa.list_(pa.float64())), ("seg", pa.list_(pa.float64()))]))
 
     measured = scratch.save(sample.mapInArrow(measure, "y int, n long, odd array<double>, seg array<double>"), "measured")
@@ -218,15 +229,13 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     schema = docs.select(*given).schema
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         cache = BoundedCache(model.word, CACHE_WORDS)
         for b in batches:
             scores, number, best = [], [], []
             for data in b.column(b.num_columns - 1):
-                words = data.as_py().split()
-                e, n, s = model.evidence(np.fromiter(map(cache.__getitem__, words), float, len(words)))
+                e, n, s = model.evidence(word_scores(data.as_py().split(), cache))
                 scores.append(model.score(e))
                 number.append(n)
                 best.append(s)
