@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op3_nearest
 from .embedding_dedup import op6_embedding_dedup
 from .language_id import op2_language_id
+from .lm_scoring import op1_lm_scoring
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op5_mixing
 from .packing import op10_packing
@@ -13,6 +14,7 @@ from .token_files import op7_token_files
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_nearest": op3_nearest,
     "op4_minhash_dedup": op4_minhash_dedup,
