@@ -70,6 +70,22 @@ def _from_three(data: np.ndarray) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """A sorted array's differences, one plane a byte, compressed."""
+    import zstandard
+
+    v = np.asarray(values, np.uint64)
+    planes = np.diff(v, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _expand(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def cut_blocks(docs: DataFrame, uri: str, modulus: int, held: int, block_tokens: int) -> DataFrame:
     """Write each block's ids and document table; return (block, hashes, counts): its dictionary."""
 
@@ -207,7 +223,7 @@ def count_bigrams(answers: DataFrame, uri: str, bases: list[int], keys: np.ndarr
         key = bigram_keys(ids[local], first, end)[np.repeat(docs["train"], lens)]
         got, c = np.unique(key, return_counts=True)
         edge = np.append(np.searchsorted(got, keys), len(got))
-        rows = [(g, got[edge[g] : edge[g + 1]].tobytes(), c[edge[g] : edge[g + 1]].astype("<u4").tobytes()) for g in range(len(keys)) if edge[g] < edge[g + 1]]
+        rows = [(g, _squeeze(got[edge[g] : edge[g + 1]]), c[edge[g] : edge[g + 1]].astype("<u4").tobytes()) for g in range(len(keys)) if edge[g] < edge[g + 1]]
         return pd.DataFrame(rows, columns=["g", "keys", "counts"])
 
     return answers.where("block >= 0").select("block", "shard", "pos", "rel", "count").groupBy("block").applyInPandas(run, "g long, keys binary, counts binary")
@@ -231,7 +247,7 @@ def build_ranges(grams: DataFrame, uri: str) -> DataFrame:
         import pandas as pd
 
         g = int(frame["g"].iloc[0])
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
+        k = np.concatenate([_expand(x) for x in frame["keys"]])
         c = np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]).astype(np.int64)
         order = np.argsort(k, kind="stable")
         k, c = k[order], c[order]
