@@ -114,3 +114,23 @@ class BoundedCache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def tidy(run):
+    """A batch function that gives its memory back when its task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_bucket, text_bytes
+from .common import id_bucket, Scratch, text_bytes, tidy
 
 BUCKETS = 4096
 PER_LANGUAGE = 400
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(d.as_py()).astype(np.float16).tobytes() for d in b.column(1)], pa.binary())], names=["lang", "v"])
 
-    got = rows.select("lang", text_bytes().alias("text")).mapInArrow(vectors, "lang string, v binary").collect()
+    got = rows.select("lang", text_bytes().alias("text")).mapInArrow(tidy(vectors), "lang string, v binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     langs = sorted({r["lang"] for r in got})
     if not langs:
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             found = [model.predict(d.as_py(), n) for d, n in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(given))), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*given, "__lang", "__score"])
 
-    return docs.select(*given, text_bytes().alias("__text"), F.col("text").isNull().alias("__null")).mapInArrow(run, schema)
+    return docs.select(*given, text_bytes().alias("__text"), F.col("text").isNull().alias("__null")).mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_bucket, map_array, text_bytes, write_file
+from .common import id_bucket, map_array, Scratch, text_bytes, tidy, write_file
 from .elias_fano import EliasFano, encode
 
 BLOCK_TOKENS = 1_500_000
@@ -123,7 +123,7 @@ def cut_blocks(docs: DataFrame, uri: str, modulus: int, held: int, block_tokens:
             yield close()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket(F.col("doc_id"), modulus) != held).alias("train"), text_bytes().alias("text"))
-    return source.mapInArrow(run, "block long, words long, hashes binary, counts binary")
+    return source.mapInArrow(tidy(run), "block long, words long, hashes binary, counts binary")
 
 
 def number_words(dictionaries: DataFrame, uri: str, shards: int, range_tokens: int) -> DataFrame:
@@ -172,7 +172,7 @@ def number_words(dictionaries: DataFrame, uri: str, shards: int, range_tokens: i
         rows.append((-1, shard, b"", b"", np.array([end], "<i8").tobytes(), len(known), int(known.sum()), [k for k, _ in cuts], [f for _, f in cuts]))
         return pd.DataFrame(rows, columns=["block", "shard", "pos", "rel", "count", "known", "tokens", "cut", "share"])
 
-    spread_out = dictionaries.select("block", "hashes", "counts").mapInArrow(spread, "shard long, block long, pos binary, hashes binary, counts binary")
+    spread_out = dictionaries.select("block", "hashes", "counts").mapInArrow(tidy(spread), "shard long, block long, pos binary, hashes binary, counts binary")
     return spread_out.groupBy("shard").applyInPandas(merge, "block long, shard long, pos binary, rel binary, count binary, known long, tokens long, cut array<long>, share array<double>")
 
 
@@ -361,7 +361,7 @@ def score_blocks(spark: SparkSession, blocks: DataFrame, uri: str, bases: list[i
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame, scratch: Scratch, modulus: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
@@ -411,7 +411,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, modulus: int = 7, held: i
 
     built = [r["g"] for r in rows]
     if built:
-        spark.createDataFrame([(g,) for g in built], "g long").repartition(len(built)).mapInArrow(finish, "g long").count()
+        spark.createDataFrame([(g,) for g in built], "g long").repartition(len(built)).mapInArrow(tidy(finish), "g long").count()
     scratch.drop(*[f"trie/range-{g}.counts" for g in built], "answers")
     blocks = dictionaries.select("block").repartition(max(1, int(size[1])))
     return score_blocks(spark, blocks, uri, bases, keys, built, end, tokens)

@@ -12,7 +12,9 @@ are merged.
 Merging avoids the square of a list's length: first each class meets a few lists' smallest
 members (hubs) and confirmed links form components; then only members outside a list's
 largest component meet the members of other components.  What is in one component already
-needs no comparison, so no link between components is lost.  A candidate pair's collisions
+needs no comparison, so no link between components is lost.  Shingles that no other
+candidate holds bound what a class can share, which drops members of a family that have
+drifted too far before any pair is made.  A candidate pair's collisions
 are counted over all coordinates, and those above the threshold are confirmed on full sets.
 
 Defined cases: a null text, or one without words, is an empty set, linked with nothing, its own component; texts under
@@ -29,7 +31,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, Scratch, text_bytes
+from .common import BoundedCache, Scratch, text_bytes, tidy
 from .components import components
 
 WORDS = 5
@@ -37,7 +39,7 @@ COORDINATES = 64
 MATCHES = 40
 PERCENT = 85
 HUBS = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most; beyond, the join shuffles
 
 
@@ -115,7 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * COORDINATES, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), lists], names=["doc_id", "n_shingles", "sid", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sid binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, sid binary, sig array<int>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("text")).mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,19 +161,32 @@ def groups(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, matches: i
     chosen = nodes.withColumnRenamed("node", "doc_id")
     sets = scratch.save(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi")), "sets")
 
-    hubs = prefix.groupBy("cv").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = prefix.join(hubs, "cv").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    # How many of a class's shingles no other candidate has: an upper bound on what it can share.
+    lone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    sizes = sets.groupBy("node").agg(F.max(F.size("shingles")).alias("n"), F.count(F.lit(1)).alias("rows"))
+    bounds = sizes.join(lone, "node", "left").select("node", F.when(F.col("rows") == 1, F.col("n")).alias("n"), F.coalesce("lone", F.lit(0)).alias("lone"))
+    prefix = scratch.save(prefix.join(bounds, "node").where(F.coalesce(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"), F.lit(True))), "bounded")
+
+    def can_link(n1, l1, n2, l2):
+        """Whether two sets of these sizes and lone shingles can be similar enough; rows that share an id are let through."""
+        most = F.least(n1 - l1, n2 - l2)
+        return F.coalesce(100 * most >= percent * (n1 + n2 - most), F.lit(True))
+
+    # A list's hub is its member with the smallest lone share: the likeliest to link to the rest.
+    hub = F.min(F.struct((F.col("lone") / F.coalesce("n", F.lit(1))).alias("share"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("lone").alias("hl")))
+    hubs = prefix.groupBy("cv").agg(hub.alias("h"), F.count(F.lit(1)).alias("members")).where("members > 1").select("cv", "h.hub", "h.hn", "h.hl")
+    met = prefix.join(hubs, "cv").where((F.col("node") != F.col("hub")) & can_link(F.col("n"), F.col("lone"), F.col("hn"), F.col("hl"))).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
     top = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("c"), (-F.col("hub")).alias("h"))), asc=False), 1, HUBS).alias("l"))
     first = scratch.save(top.select(F.col("node").alias("a"), F.explode("l").alias("e")).select("a", (-F.col("e")["h"]).alias("b")), "first")
     links = scratch.save(confirm(first, sets, percent), "links1")
     roots = components(links, scratch, "one")
 
-    member = scratch.save(prefix.join(roots, "node", "left").select("cv", "node", F.coalesce("root", "node").alias("root")), "member")
+    member = scratch.save(prefix.join(roots, "node", "left").select("cv", "node", "n", "lone", F.coalesce("root", "node").alias("root")), "member")
     per = member.groupBy("cv", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cv").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     mixed = scratch.save(member.join(per, "cv"), "mixed")
-    out = mixed.where("root <> main").select("cv", F.col("node").alias("x"), F.col("root").alias("rx"))
+    out = mixed.where("root <> main").select("cv", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("xn"), F.col("lone").alias("xl"))
     # Members outside the list's main component against those of other components; each pair once.
-    crossed = mixed.join(out, "cv").where((F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x"))))
+    crossed = mixed.join(out, "cv").where(can_link(F.col("n"), F.col("lone"), F.col("xn"), F.col("xl")) & (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x"))))
     pairs = crossed.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     sigs = classes.select("node", "sig")
     agreed = F.size(F.filter(F.arrays_zip("p", "q"), lambda z: z["p"] == z["q"]))

@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, tidy
 from .tokens import END_ID, default_path, encoder
 
 CAPACITY = 4096
@@ -102,7 +102,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if held:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, tidy
 
 MARK = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 BYTE_COST = -25.0
 _models: dict[str, "TrieCounter"] = {}
 
@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, gather: int = 2 << 2
                 n_tokens += map(counter.total, held)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

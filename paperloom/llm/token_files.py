@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_array, text_bytes, write_file
+from .common import map_array, Scratch, text_bytes, tidy, write_file
 from .tokens import END_ID, default_path, encoder
 
 FLUSH_BYTES = 8 << 20
@@ -67,7 +67,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, e
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # One row a partition, never a row a document.
-    rows = sorted(ordered.mapInArrow(write, "pid long, name string, docs long, ids long, width long").collect())
+    rows = sorted(ordered.mapInArrow(tidy(write), "pid long, name string, docs long, ids long, width long").collect())
     parts, base = [], 0
     for r in rows:
         parts.append(Part(r["name"], r["docs"], r["ids"], base, r["width"]))

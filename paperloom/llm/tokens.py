@@ -15,7 +15,7 @@ from array import array
 from .common import BoundedCache
 
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 LONG_WORD = 256  # bytes; longer words are encoded without being kept
 
 _encoders: dict[str, "WordEncoder"] = {}

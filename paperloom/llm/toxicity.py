@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, Scratch, id_bucket, text_bytes
+from .common import BoundedCache, id_bucket, Scratch, text_bytes, tidy
 
 SAMPLE_ROWS = 12_000  # expected labelled rows of the fit
 PREFIXES = (4, 6)
@@ -33,7 +33,7 @@ PRIOR = 8.0
 DRIFT = 1.2
 LEAST_DOCS = 4
 SIGNIFICANT = 0.01
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 STRIP = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Model(only=1.0 if size.get(1) else 0.0)
-    table = sample.mapInArrow(frequencies, "u string, t long, c long").groupBy("u").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    table = sample.mapInArrow(tidy(frequencies), "u string, t long, c long").groupBy("u").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # Bounded by the sample: only units with toxic evidence or enough of the other can leave the prior.
     strong = table.where((F.col("t") >= LEAST_DOCS) & (F.col("t") * size[0] > F.col("c") * size[1]) | (F.col("c") >= 4 * LEAST_DOCS * size[0] / size[1]) & (2 * F.col("t") * size[0] < F.col("c") * size[1]))
     odds = log_odds({r["u"]: (r["t"], r["c"]) for r in strong.collect()}, size[1], size[0])
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
                 out.append((y, len(s), s[s != -DRIFT].tolist(), [[a, e, v] for a, e, v in maximal_segments(s)]))
             yield pa.RecordBatch.from_pydict({"y": [o[0] for o in out], "n": [o[1] for o in out], "odd": [o[2] for o in out], "seg": [[v for _, _, v in o[3]] for o in out]}, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("odd", pa.list_(pa.float64())), ("seg", pa.list_(pa.float64()))]))
 
-    measured = scratch.save(sample.mapInArrow(measure, "y int, n long, odd array<double>, seg array<double>"), "measured")
+    measured = scratch.save(sample.mapInArrow(tidy(measure), "y int, n long, odd array<double>, seg array<double>"), "measured")
     background = {-DRIFT: 1.0}
     for r in measured.where("y = 0").select(F.explode("odd").alias("s")).groupBy(F.round("s", 2).alias("s")).count().collect():
         background[r["s"]] = background.get(r["s"], 0) + r["count"]
@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
 
     for name, kind in (("__score", "double"), ("__segments", "integer"), ("__best", "double")):
         schema = schema.add(name, kind)
-    return docs.select(*given, text_bytes().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*given, text_bytes().alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
