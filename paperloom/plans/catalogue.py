@@ -1,6 +1,455 @@
-"""The reference-side queries and their DuckDB counterparts."""
+"""Queries over whole tables, each with its DuckDB counterpart where SQL can state it."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions import latex as L
+from ..functions import text as T
+from ..operators import canon, layout, render, structure
+from ..operators import lines as ln
+from . import fixtures as fx
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')"
+
+
+def starts(x: str, prefixes) -> str:
+    return "(" + " OR ".join(f"starts_with({x}, '{p}')" for p in prefixes) + ")"
+
+
+def holds(x: str, parts) -> str:
+    return "(" + " OR ".join("contains(" + x + ", '" + p.replace("'", "''") + "')" for p in parts) + ")"
+
+
+def replaced(x: str, pairs) -> str:
+    for k, v in pairs:
+        x = f"replace({x}, '{k}', '" + v.replace("'", "''") + "')"
+    return x
+
+
+META = "|".join(f"(?:{p})" for p in C.METADATA_PATTERNS)
+JUNK = "|".join(f"(?:{p})" for p in T.JUNK_REFERENCES).replace("'", "''")
+UPPER = r"(regexp_matches({0}, '\p{{Lu}}') AND NOT regexp_matches({0}, '\p{{Ll}}'))"
+HEADINGS = quoted(C.KEYWORD_HEADINGS)
+STRIPPED = f"s AS (SELECT *, {strip('line')} AS t FROM lines)"
+
+# ---- lines ----------------------------------------------------------------------------------
+
+FEATURES_SQL = rf"""SELECT doc_id, lang, line_idx,
+  CASE WHEN t = '' THEN 0 ELSE length(t) END::INTEGER AS n_chars, CASE WHEN t = '' THEN 0 ELSE len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) END::INTEGER AS n_words,
+  regexp_matches(t, '^\p{{Lu}}')::INTEGER AS first_upper, {UPPER.format('t')}::INTEGER AS all_upper, regexp_matches(t, '\p{{Nd}}')::INTEGER AS has_digit, regexp_matches(t, '^\p{{Nd}}')::INTEGER AS first_digit,
+  CASE WHEN t = '' THEN 0.0::DOUBLE ELSE round((length(t) - length(regexp_replace(t, '[^\p{{L}}\p{{N}}\s]', '', 'g')))::DOUBLE / length(t), 6) END AS odd_share,
+  ends_with(t, '.')::INTEGER AS ends_dot, regexp_matches(t, '^\d+\.?\s+[\p{{L}}\p{{N}}_]+')::INTEGER AS numbered, (lower(t) IN ({quoted(C.FEATURE_HEADINGS)}))::INTEGER AS keyword,
+  regexp_matches(t, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_]+')::INTEGER AS email, regexp_matches(t, 'https?://')::INTEGER AS url, CASE WHEN t = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS size_ratio,
+  (t <> '' AND length(t) < 50)::INTEGER AS short, regexp_matches(t, '[\[\]]')::INTEGER AS bracket, regexp_matches(t, '[{C.FEATURE_SYMBOLS}]')::INTEGER AS math FROM s"""
+LABEL_SQL = r"CASE WHEN length(t) < 50 AND regexp_matches(t, '^\p{Lu}') THEN 'heading' ELSE 'body' END"
+
+
+@query("line_features", f"WITH {fx.LINES_SQL}, {STRIPPED} {FEATURES_SQL}")
+def line_features(spark, d):
+    f = T.line_features(F.col("line"))
+    return ln.lines(fx.table(spark, d, "documents")).select("doc_id", "lang", "line_idx", *[c.alias(k) for k, c in f.items()])
+
+
+@query("line_autolabel_by_lang", f"WITH {fx.LINES_SQL}, {STRIPPED} SELECT lang, {LABEL_SQL} AS auto_label, count(*) AS n, sum(length(t))::BIGINT AS chars, count(DISTINCT doc_id) AS n_docs FROM s WHERE t <> '' GROUP BY ALL")
+def line_autolabel(spark, d):
+    y = ln.lines(fx.table(spark, d, "documents")).withColumn("t", T.strip(F.col("line"))).where("t <> ''")
+    return y.groupBy("lang", T.auto_label(F.col("line")).alias("auto_label")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+META_SQL = rf"(t = '' OR regexp_matches(t, '{META}'))"
+
+
+@query("metadata_line_filter", f"WITH {fx.LINES_SQL}, {STRIPPED} SELECT doc_id, line_idx FROM s WHERE {META_SQL}")
+def metadata_lines(spark, d):
+    return ln.lines(fx.table(spark, d, "documents")).where(T.is_metadata(F.col("line"))).select("doc_id", "line_idx")
+
+
+REAL_SQL = rf"len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: regexp_matches(w, '^\p{{L}}{{4,}}$') AND lower(w) NOT IN ({quoted(C.STOP_WORDS)})))::INTEGER"
+
+
+@query("real_words_per_line", f"WITH {fx.LINES_SQL} SELECT doc_id, line_idx, {REAL_SQL} AS n FROM lines")
+def real_words(spark, d):
+    return ln.lines(fx.table(spark, d, "documents")).select("doc_id", "line_idx", T.real_words(F.col("line")).alias("n"))
+
+
+@query("charperline_islands", f"""WITH {fx.LINES_SQL}, {STRIPPED}, m AS (SELECT *, (length(t) <= 3)::INTEGER AS i FROM s), r AS (SELECT *, sum(1 - i) OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM m),
+  z AS (SELECT *, sum(i) OVER (PARTITION BY doc_id, run) AS n FROM r) SELECT doc_id, line_idx FROM z WHERE i = 0 OR n < 4""")
+def char_lines(spark, d):
+    return ln.drop_char_lines(ln.lines(fx.table(spark, d, "documents"))).select("doc_id", "line_idx")
+
+
+def squeeze(x: str) -> str:
+    return rf"regexp_replace(lower({strip(x)}), '\s+', ' ', 'g')"
+
+
+@query("running_headers", rf"""WITH {fx.LINES_SQL}, j AS (SELECT l.doc_id, l.line_idx, {squeeze('l.line')} AS y, {squeeze('f.line')} AS t FROM lines l JOIN lines f ON f.doc_id = l.doc_id AND f.line_idx = 0),
+  h AS (SELECT *, length(t) >= 3 AND (y = t OR (length(t) >= 5 AND contains(y, t) AND length(y) < length(t) + 10)) AS head, y = '' OR regexp_matches(y, '^\d{{1,3}}\.\s*$') OR regexp_matches(y, '^issn\s*[\d-]+') OR regexp_matches(y, '^https?://') AS fol FROM j),
+  k AS (SELECT *, last_value(CASE WHEN NOT fol OR head THEN head END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lst FROM h)
+  SELECT doc_id, line_idx FROM k WHERE NOT coalesce(lst AND (fol OR head), false)""")
+def running_headers(spark, d):
+    rows = ln.lines(fx.table(spark, d, "documents"))
+    return ln.drop_running_headers(rows, rows.where("line_idx = 0").select("doc_id", F.col("line").alias("title"))).select("doc_id", "line_idx")
+
+
+# ---- scalar text ------------------------------------------------------------------------------
+
+CLEAN_SQL = strip(f"""regexp_replace(regexp_replace({replaced('text', (*C.LIGATURES, *C.UNICODE_FIXES))}, '\\(cid:\\d+\\)', '', 'g'), '[ \\t]+', ' ', 'g')""")
+SCALARS = {
+    "clean_text": (T.basic_clean, CLEAN_SQL),
+    "strip_unsafe_unicode": (T.strip_unsafe, r"regexp_replace(text, '[\x{0300}-\x{036F}\x{E000}-\x{F8FF}\x{FFFD}\x{FFFF}\x{10000}-\x{10FFFF}]', '', 'g')"),
+    "ascii_scripts": (T.plain_scripts, f"translate(text, '{C.SUPERSCRIPTS}{C.SUBSCRIPTS}\u2212\u2013', '{C.SUPERSCRIPT_VALUES}{C.SUBSCRIPT_VALUES}--')"),
+    "decimal_spaces": (T.join_decimals, r"regexp_replace(text, '(\d)\s*\.\s+(\d)', '\1.\2', 'g')"),
+    "merge_math": (T.merge_math, r"regexp_replace(regexp_replace(regexp_replace(text, '\$\s*\$', ' ', 'g'), '\$\s*([+\-=<>×÷·,])\s*\$', ' \1 ', 'g'), '\$(\\[0-9A-Za-z_]+)\$(\([^)]{1,20}\))', '$\1\2$', 'g')"),
+}
+for _name, (_fn, _sql) in SCALARS.items():
+    query(_name, f"SELECT doc_id, length(r)::INTEGER AS n, md5(r) AS digest FROM (SELECT doc_id, {_sql} AS r FROM ({fx.SYMBOL_SQL}))")(
+        lambda spark, d, f=_fn: fx.symbol_documents(spark, d).select("doc_id", f(F.col("text")).alias("r")).select("doc_id", F.length("r").alias("n"), F.md5("r").alias("digest"))
+    )
+
+
+def sql_latex(table) -> str:
+    bare = replaced("p", [(k, f" {v.strip('$')} ") for k, v in table])
+    wrapped = replaced("p", [(k, v if "$" in v or not v.startswith("\\") else f"${v}$") for k, v in table])
+    return f"array_to_string(list_transform(parts, lambda p, i: CASE WHEN (i - 1) % 2 = 1 AND i - 1 < len(parts) - 1 THEN {bare} ELSE {wrapped} END), '$')"
+
+
+for _name, _table in (("greek_to_latex", C.GREEK), ("symbols_to_latex", C.SYMBOLS)):
+    query(_name, f"SELECT doc_id, length(r)::INTEGER AS n, md5(r) AS digest FROM (SELECT doc_id, {sql_latex(_table)} AS r FROM (SELECT doc_id, string_split(text, '$') AS parts FROM ({fx.SYMBOL_SQL})))")(
+        lambda spark, d, t=_table: fx.symbol_documents(spark, d).select("doc_id", T.to_latex(F.col("text"), t).alias("r")).select("doc_id", F.length("r").alias("n"), F.md5("r").alias("digest"))
+    )
+
+ESCAPE_SQL = r"""array_to_string(list_transform(regexp_extract_all({0}, '(?s)(\$[^$]*\$|\\[a-zA-Z]+|\\.|.)', 1), lambda t: CASE WHEN t IN ('&', '%', '#', '_', '{{', '}}') THEN '\' || t WHEN t = '~' THEN '\textasciitilde{{}}' WHEN t = '^' THEN '\textasciicircum{{}}' ELSE t END), '')"""
+
+
+@query("latex_escape", f"SELECT doc_id, length(r)::INTEGER AS n, md5(r) AS digest FROM (SELECT doc_id, {ESCAPE_SQL.format('text')} AS r FROM ({fx.SYMBOL_SQL}))")
+def latex_escape(spark, d):
+    return fx.symbol_documents(spark, d).select("doc_id", L.escape(F.col("text")).alias("r")).select("doc_id", F.length("r").alias("n"), F.md5("r").alias("digest"))
+
+
+@query("clean_reference", f"SELECT doc_id, length(r)::INTEGER AS n, md5(r) AS digest FROM (SELECT doc_id, {strip(f'''regexp_replace(translate(replace(replace(regexp_replace(c, '{chr(92)}.{chr(92)}.+$', '.'), ' · ', ', '), '·', ', '), '{C.SUPERSCRIPTS}', ''), '[{chr(92)}s{chr(92)}x{{00A0}}]+', ' ', 'g')''')} AS r FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM ({fx.SYMBOL_SQL})))")
+def clean_reference(spark, d):
+    return fx.symbol_documents(spark, d).select("doc_id", T.clean_reference(F.col("text")).alias("r")).select("doc_id", F.length("r").alias("n"), F.md5("r").alias("digest"))
+
+
+# ---- papers -----------------------------------------------------------------------------------
+
+NUMBERED = r"^(\d+\.?\d*\.?\d*\.?)\s+(.+)$"
+
+
+def sql_heading(source: str) -> str:
+    """Adds hd (text) and depth to rows that have t."""
+    n = f"regexp_extract(t, '{NUMBERED}', 1)"
+    rest = strip(f"regexp_extract(t, '{NUMBERED}', 2)")
+    trimmed = rf"regexp_replace({n}, '\.+$', '')"
+    return rf"""(SELECT *, CASE WHEN {META_SQL} THEN NULL WHEN num <> '' THEN CASE WHEN length(t) <= 80 AND regexp_matches(rest, '\p{{L}}') AND NOT regexp_matches(rest, '(?i)^Page\s+\d+') THEN rest END
+      WHEN lower(t) IN ({HEADINGS}) AND length(t) < 40 THEN t END AS hd,
+      CASE WHEN num <> '' THEN least(length(trimmed) - length(replace(trimmed, '.', '')) + 1, 3) ELSE 1 END::INTEGER AS depth0 FROM (SELECT *, {n} AS num, {rest} AS rest, {trimmed} AS trimmed FROM {source}))"""
+
+
+PAPER = f"{fx.PAPER_SQL}, t0 AS (SELECT *, {strip('text')} AS t FROM blocks)"
+HEADLINE_SQL = rf"((regexp_matches(t, '^\d+\.?\d*\.?\d*\.?\s+\p{{Lu}}') AND length(t) <= 80) OR lower(t) IN ({HEADINGS}))"
+
+
+@query("heading_detect", f"WITH {PAPER} SELECT doc_id, block_idx, hd AS heading, depth0 AS depth FROM {sql_heading('t0')} WHERE hd IS NOT NULL")
+def heading_detect(spark, d):
+    h = fx.paper_blocks(spark, d).withColumn("h", T.heading(F.col("text"))).where("h is not null")
+    return h.select("doc_id", "block_idx", F.col("h.text").alias("heading"), F.col("h.depth").alias("depth"))
+
+
+@query("title_extract", f"WITH {PAPER} SELECT doc_id, t AS title FROM t0 WHERE block_idx = 0 AND 16.0 > 1.2 * 10.0")
+def title_extract(spark, d):
+    return structure.titles(fx.paper_blocks(spark, d))
+
+
+@query("abstract_extract", rf"""WITH {PAPER}, f AS (SELECT *, min(CASE WHEN starts_with(lower(t), 'abstract') THEN block_idx END) OVER (PARTITION BY doc_id) AS first FROM t0),
+  g AS (SELECT *, min(CASE WHEN ({starts('lower(t)', ('keywords', 'key words', 'index terms'))} OR {HEADLINE_SQL}) AND block_idx > first THEN block_idx END) OVER (PARTITION BY doc_id) AS stop FROM f)
+  SELECT doc_id, {strip("string_agg(CASE WHEN block_idx = first THEN regexp_replace(t, '(?i)^abstract" + chr(92) + "s*[.:—-]*" + chr(92) + "s*', '') ELSE t END, ' ' ORDER BY block_idx)")} AS abstract
+  FROM g WHERE block_idx >= first AND block_idx < coalesce(stop, 2147483647) GROUP BY doc_id""")
+def abstract_extract(spark, d):
+    return structure.abstracts(fx.paper_blocks(spark, d))
+
+
+@query("keyword_extract", rf"""WITH {PAPER}, k AS (SELECT doc_id, block_idx, list_filter(list_transform(regexp_split_to_array(regexp_extract(t, '(?i)^(?:keywords|key words|index terms)\s*[:\-—]?\s*(.+)$', 1), '[;,·•]'), lambda x: regexp_replace({strip('x')}, '\.+$', '')), lambda x: x <> '') AS k FROM t0)
+  SELECT doc_id, array_to_string(arg_min(k, block_idx), '|') AS keywords FROM k WHERE len(k) > 0 GROUP BY doc_id""")
+def keyword_extract(spark, d):
+    return structure.keyword_lists(fx.paper_blocks(spark, d)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+REFS_FLAG = r"regexp_matches(lower(t), '^(references|bibliography)\s*$')::INTEGER"
+SECTIONS_SQL = rf"""{PAPER}, h AS (SELECT * FROM {sql_heading('t0')}), r AS (SELECT *, max({REFS_FLAG}) OVER w AS refs, sum((hd IS NOT NULL)::INTEGER) OVER w AS sid FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  g AS (SELECT doc_id, sid, max(hd) AS heading, max(CASE WHEN hd IS NOT NULL THEN depth0 END) AS depth, string_agg(CASE WHEN hd IS NULL THEN t END, chr(10) || chr(10) ORDER BY block_idx) AS body, arg_min(page, block_idx)::INTEGER AS start_page
+    FROM r WHERE refs = 0 AND sid > 0 AND NOT {META_SQL} GROUP BY doc_id, sid),
+  sections AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1)::INTEGER AS section_idx, heading, depth, body, start_page FROM g WHERE coalesce(body, '') <> '')"""
+
+
+@query("section_split", f"WITH {SECTIONS_SQL} SELECT doc_id, section_idx, heading, depth, length(body)::INTEGER AS n_chars, md5(body) AS digest, start_page FROM sections")
+def section_split(spark, d):
+    return structure.sections(fx.paper_blocks(spark, d)).select("doc_id", "section_idx", "heading", "depth", F.length("body").alias("n_chars"), F.md5("body").alias("digest"), "start_page")
+
+
+JUNK_SQL = rf"(regexp_matches(t, '{JUNK}') OR regexp_matches(lower(t), '^[a-z\s]+ +\(\d{{4}}\)\s*\d+:\d+') OR (contains(t, '·') AND regexp_matches(t, '[¹²³⁴⁵⁶⁷⁸⁹⁰]')) OR (length(t) < 15 AND NOT regexp_matches(t, '^\[\d+\]')))"
+PARSED_SQL = r"""CASE WHEN regexp_matches(t, '^\[(\d+)\]\s*(.+)') THEN regexp_extract(t, '^\[(\d+)\]\s*(.+)', 2) WHEN regexp_matches(t, '^(\d+)\.\s+([A-Z].{20,})') THEN regexp_extract(t, '^(\d+)\.\s+([A-Z].{20,})', 2) WHEN regexp_matches(t, '^\p{Lu}') AND length(t) > 30 THEN t END"""
+INDEX_SQL = r"""CASE WHEN regexp_matches(t, '^\[(\d+)\]\s*(.+)') THEN regexp_extract(t, '^\[(\d+)\]\s*(.+)', 1)::INTEGER WHEN regexp_matches(t, '^(\d+)\.\s+([A-Z].{20,})') THEN regexp_extract(t, '^(\d+)\.\s+([A-Z].{20,})', 1)::INTEGER END"""
+
+
+@query("reference_dedup", rf"""WITH {PAPER}, a AS (SELECT *, max({REFS_FLAG}) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refs FROM t0),
+  p AS (SELECT doc_id, block_idx, {PARSED_SQL} AS x FROM a WHERE refs = 1 AND NOT {JUNK_SQL}), c AS (SELECT doc_id, block_idx, regexp_replace({strip('x')}, '\s+', ' ', 'g') AS text FROM p WHERE x IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(substring(text, 1, 50)) ORDER BY block_idx) AS k FROM c WHERE length(text) >= 15)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx)::INTEGER AS ref_idx, md5(text) AS digest FROM k WHERE k = 1""")
+def reference_dedup(spark, d):
+    return structure.references(fx.paper_blocks(spark, d)).select("doc_id", "ref_idx", F.md5("text").alias("digest"))
+
+
+REF_ROWS = f"s AS (SELECT p_partkey, {strip(fx.sql_pick(fx.REFERENCES, 'p_partkey'))} AS t FROM part)"
+
+
+@query("junk_references", f"WITH {fx.LINES_SQL}, {STRIPPED} SELECT doc_id, line_idx FROM s WHERE {JUNK_SQL}")
+def junk_references(spark, d):
+    return ln.lines(fx.table(spark, d, "documents")).where(T.junk_reference(F.col("line"))).select("doc_id", "line_idx")
+
+
+@query("reference_parse", f"WITH {REF_ROWS} SELECT p_partkey, {JUNK_SQL} AS junk, {INDEX_SQL} AS index, {PARSED_SQL} AS text FROM s")
+def reference_parse(spark, d):
+    r = fx.table(spark, d, "part").select("p_partkey", fx.pick(fx.REFERENCES, "p_partkey").alias("t")).withColumn("r", T.parse_reference(F.col("t")))
+    return r.select("p_partkey", T.junk_reference(F.col("t")).alias("junk"), F.col("r.index").alias("index"), F.col("r.text").alias("text"))
+
+
+@query("reference_fold")
+def reference_fold(spark, d):
+    rows = fx.paper_blocks(spark, d).select("doc_id", F.col("block_idx").alias("line_idx"), F.col("text").alias("line"))
+    return structure.fold_reference_lines(rows).select("doc_id", F.size("refs").alias("n_refs"), F.md5(F.array_join(F.transform("refs", lambda r: r["text"]), "\n")).alias("digest"))
+
+
+NAME_SQL = fx.sql_pick(fx.NAMES, "c_custkey")
+LIKELY = rf"(length(t) BETWEEN 3 AND 60 AND NOT (regexp_matches(t, '^\p{{Ll}}') OR ({UPPER.format('t')} AND length(t) > 5) OR {holds('lower(t)', (*C.AFFILIATION_WORDS, 'the ', 'ieee', 'acm'))}) AND len(regexp_split_to_array(t, '\s+')) >= 2)"
+BAD = rf"(length(t) < 3 OR {starts('lower(t)', ('the ', 'a ', 'an '))} OR {holds('lower(t)', ('university', 'institute', 'department', 'ieee', 'acm', 'conference', 'journal', 'proceedings'))} OR regexp_matches(t, '^[A-Z]{{2,}}\s+[A-Z]{{2,}}$'))"
+
+
+@query("author_plausible", f"WITH s AS (SELECT c_custkey, {strip(NAME_SQL)} AS t FROM customer) SELECT c_custkey, {LIKELY} AS plausible, {BAD} AS bad FROM s")
+def author_plausible(spark, d):
+    n = fx.table(spark, d, "customer").select("c_custkey", fx.pick(fx.NAMES, "c_custkey").alias("t"))
+    return n.select("c_custkey", T.plausible_author(F.col("t")).alias("plausible"), T.bad_author(F.col("t")).alias("bad"))
+
+
+@query("author_split", rf"""WITH s AS (SELECT c_custkey, regexp_replace({NAME_SQL}, '[¹²³⁴⁵⁶⁷⁸⁹⁰0-9*†‡§]', '', 'g') AS y FROM customer)
+  SELECT c_custkey, array_to_string(list_filter(list_transform(CASE WHEN contains(y, ',') THEN string_split(y, ',') WHEN contains(lower(y), ' and ') THEN regexp_split_to_array(y, '(?i)\s+and\s+') WHEN regexp_matches(y, '[·•]') THEN regexp_split_to_array(y, '[·•]') ELSE [y] END, lambda p: {strip('p')}), lambda p: p <> ''), '|') AS names FROM s""")
+def author_split(spark, d):
+    return fx.table(spark, d, "customer").select("c_custkey", F.array_join(T.author_names(fx.pick(fx.NAMES, "c_custkey")), "|").alias("names"))
+
+
+# ---- geometry ---------------------------------------------------------------------------------
+
+CLASS_SQL = """CASE WHEN w < 15 OR h < 15 OR w * h < 500 THEN 'skip' WHEN page = 0 AND y0 >= 0 AND y0 < 120 AND w * h < 20000 THEN 'skip'
+  WHEN page = pages - 1 AND ((w * h < 20000 AND h < 120) OR (w / h > 1.8 AND h < 80)) THEN 'skip' WHEN h < 120 THEN 'equation' WHEN h < 300 AND (w < 450 OR w / h > 2.0) THEN 'equation'
+  WHEN h >= 100 AND w >= 150 AND w * h >= 15000 THEN 'figure' ELSE 'equation' END"""
+
+
+def _kinds(spark, d):
+    return fx.images(spark, d).withColumn("kind", layout.classify_image(F.col("w"), F.col("h"), F.col("page"), F.col("pages"), F.col("y0")))
+
+
+@query("image_classify", f"WITH {fx.IMAGES_SQL} SELECT doc_id, image_idx, {CLASS_SQL} AS kind FROM images")
+def image_classify(spark, d):
+    return _kinds(spark, d).select("doc_id", "image_idx", "kind")
+
+
+@query("recurring_xref", f"WITH {fx.IMAGES_SQL} SELECT doc_id, image_idx, xref FROM images i WHERE NOT EXISTS (SELECT 1 FROM images j WHERE j.doc_id = i.doc_id AND j.xref = i.xref GROUP BY j.doc_id, j.xref HAVING count(*) >= 2)")
+def recurring_xref(spark, d):
+    return layout.drop_recurring(fx.images(spark, d)).select("doc_id", "image_idx", "xref")
+
+
+@query("bbox_overlap_antijoin", f"""WITH {fx.IMAGES_SQL}, t AS (SELECT * FROM images WHERE image_idx = 1), b AS (SELECT * FROM images WHERE image_idx > 1) SELECT doc_id, image_idx FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND t.page = b.page AND
+  (((b.x1 - b.x0) * (b.y1 - b.y0) > 0 AND greatest(0.0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0.0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) >= 0.3 * ((b.x1 - b.x0) * (b.y1 - b.y0))) OR (b.y0 + b.y1) / 2 BETWEEN t.y0 AND t.y1))""")
+def bbox_overlap(spark, d):
+    i = fx.images(spark, d)
+    return layout.drop_in_tables(i.where("image_idx > 1"), i.where("image_idx = 1")).select("doc_id", "image_idx")
+
+
+@query("caption_override", f"""WITH {fx.IMAGES_SQL}, k AS (SELECT *, {CLASS_SQL} AS kind FROM images), c AS (SELECT doc_id, page, y0 AS c0, y0 + 12 AS c1 FROM images WHERE image_idx = 2)
+  SELECT doc_id, image_idx, CASE WHEN kind = 'equation' AND EXISTS (SELECT 1 FROM c WHERE c.doc_id = k.doc_id AND c.page = k.page AND least(abs(c0 - k.y1), abs(k.y0 - c1)) <= 80) THEN 'figure' ELSE kind END AS kind FROM k""")
+def caption_override(spark, d):
+    captions = fx.images(spark, d).where("image_idx = 2").selectExpr("doc_id", "page", "y0", "y0 + 12 as y1", "concat('Fig. ', image_idx, '. A caption') as text")
+    return layout.caption_override(_kinds(spark, d), captions).select("doc_id", "image_idx", "kind")
+
+
+@query("topk_per_page", f"""WITH {fx.IMAGES_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, image_idx) AS r FROM images), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, image_idx) AS q FROM a WHERE r <= 1) SELECT doc_id, image_idx FROM b WHERE q <= 3""")
+def topk_per_page(spark, d):
+    regions = fx.images(spark, d).withColumnRenamed("image_idx", "region_idx")
+    return layout.cap_regions(regions, 1, 3).select("doc_id", F.col("region_idx").alias("image_idx"))
+
+
+RUN_LINES_SQL = fx.LI_SQL + """, q AS (SELECT l_orderkey AS doc_id, 0 AS block_idx, l_linenumber::INTEGER AS line_idx, l_returnflag AS text, 0.0::DOUBLE AS x0, (l_quantity * 2)::DOUBLE AS x1, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::DOUBLE AS y0, 10.0 + (l_partkey % 3) AS size, l_partkey FROM li),
+  lines AS (SELECT *, y0 + 8 + (l_partkey % 5) AS y1 FROM q), g AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc_id ORDER BY line_idx) AS gap, (list_sort(list(y1 - y0) OVER (PARTITION BY doc_id))) AS hs FROM lines),
+  r AS (SELECT *, sum((coalesce(gap, 0.0) > greatest(1.6 * hs[len(hs) // 2 + 1], 14.0))::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM g)"""
+
+
+def _run_lines(spark, d):
+    q = fx.order_lines(spark, d).selectExpr("l_orderkey as doc_id", "0 as block_idx", "int(l_linenumber) as line_idx", "l_returnflag as text", "0.0D as x0", "double(l_quantity * 2) as x1", "double(sum(l_quantity) over (partition by l_orderkey order by l_linenumber)) as y0", "double(10.0 + (l_partkey % 3)) as size", "l_partkey")
+    return q.selectExpr("*", "y0 + 8 + (l_partkey % 5) as y1")
+
+
+@query("block_split_gaps", f"""WITH {RUN_LINES_SQL}, c AS (SELECT doc_id, run, size, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT doc_id, run, arg_min(size, (-n, size)) AS size FROM c GROUP BY ALL)
+  SELECT doc_id, run::BIGINT AS run, string_agg(text, chr(10) ORDER BY line_idx) AS text, max(x1) AS x1, min(y0) AS y0, max(y1)::DOUBLE AS y1, count(*) AS n_lines, any_value(m.size)::DOUBLE AS size FROM r JOIN m USING (doc_id, run) GROUP BY doc_id, run""")
+def block_split(spark, d):
+    return layout.join_runs(layout.split_blocks(_run_lines(spark, d))).select("doc_id", "run", "text", "x1", "y0", "y1", "n_lines", "size")
+
+
+@query("equation_number_match")
+def equation_number_match(spark, d):
+    i = fx.images(spark, d).select("doc_id", "page", F.col("image_idx").alias("idx"), F.col("y0").alias("y"))
+    return layout.match_nearest(i.where("idx % 2 = 1"), i.where("idx % 2 = 0"))
+
+
+# ---- recognised formulas -------------------------------------------------------------------------
+
+
+def _formulas(spark, d):
+    return fx.table(spark, d, "part").select("p_partkey", fx.pick(fx.LATEX, "p_partkey").alias("a"), fx.pick(fx.LATEX, "p_size").alias("b"))
+
+
+LATEX_ROWS = f"f AS (SELECT p_partkey, {fx.sql_pick(fx.LATEX, 'p_partkey')} AS y FROM part)"
+
+
+def sql_count(x: str, part: str) -> str:
+    return f"((length({x}) - length(replace({x}, '{part}', ''))) // {len(part)})"
+
+
+SCORE_SQL = (
+    "round(greatest(0.0, least(1.0, 0.5 + "
+    r"(CASE WHEN mr > 0.5 THEN -0.3 WHEN mr > 0.3 THEN -0.15 ELSE 0.0 END) + (CASE WHEN rr > 0.4 THEN -0.3 WHEN rr > 0.25 THEN -0.15 ELSE 0.0 END) + "
+    + " + ".join(f"(CASE WHEN {c} THEN {v} ELSE 0.0 END)" for c, v in (
+        (r"contains(y, '\scriptstyle') AND length(y) > 50", -0.15), ("length(y) < 5", -0.2), ("length(y) > 500", -0.15), (sql_count("y", r"\mathcal") + " >= 3", -0.2), (sql_count("y", r"\mathcal") + " = 2", -0.1),
+        (r"contains(y, '\Xi')", -0.1), (r"contains(y, '\Upsilon')", -0.1), (r"contains(y, '\Digamma')", -0.1), ("contains(y, '(,')", -0.2), (r"regexp_matches(y, '\\frac\{[01]\}\{[01]\}')", -0.15), (r"contains(y, '\div')", -0.15),
+        (r"regexp_matches(y, '\\hat\{\\[a-zA-Z]+')", -0.15), (r"contains(y, '\varrho')", -0.15), (r"regexp_matches(y, '_\{?\d{3,}')", -0.15), (r"contains(y, '\frac') AND NOT contains(y, '=') AND contains(y, '\int')", -0.1),
+        *((f"contains(y, '{s}')", 0.05) for s in C.SCORE_REWARDS), ("regexp_matches(y, '[+=<>-]')", 0.05), (r"regexp_matches(regexp_replace(regexp_replace(y, '\\[a-zA-Z]+', '', 'g'), '[{}\s]', '', 'g'), '^.+=.+')", 0.05)))
+    + " - 0.1 * " + sql_count("y", r"\sim") + ")), 6)"
+)
+RATIOS = r"""(SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(y, '\\mathrm\{([^}]*)\}', 1), lambda s: length(s))), 0)::DOUBLE / greatest(length(y), 1) AS mr, coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace(y, '\\[a-zA-Z]+', '', 'g'), '([a-zA-Z]{4,})', 1), lambda s: length(s))), 0)::DOUBLE / greatest(length(y), 1) AS rr FROM f)"""
+
+
+@query("ocr_score", f"WITH {LATEX_ROWS} SELECT p_partkey, CASE WHEN y = '' THEN 0.0::DOUBLE ELSE {SCORE_SQL}::DOUBLE END AS score FROM {RATIOS}")
+def ocr_score(spark, d):
+    return _formulas(spark, d).select("p_partkey", L.score(F.col("a")).alias("score"))
+
+
+@query("ocr_sanitize")
+def ocr_sanitize(spark, d):
+    return _formulas(spark, d).select("p_partkey", L.sanitize(F.col("a")).alias("latex"))
+
+
+@query("ocr_pick_best")
+def ocr_pick_best(spark, d):
+    return _formulas(spark, d).select("p_partkey", L.pick_best(F.col("a"), F.col("b")).alias("p")).select("p_partkey", "p.engine", "p.latex", "p.score")
+
+
+CONF = "((p_partkey % 10) / 10.0)::DOUBLE"
+
+
+@query("ocr_gate", f"""WITH f AS (SELECT p_partkey, {fx.sql_pick(fx.LATEX, 'p_partkey')} AS y, {CONF} AS c FROM part) SELECT p_partkey, CASE WHEN y <> '' AND c >= 0.6 THEN y ELSE '' END AS latex, CASE WHEN y <> '' AND c >= 0.6 THEN c ELSE 0.5::DOUBLE END AS confidence,
+  (y <> '' AND c >= 0.6 AND contains(y, '=') AND (length(y) < 30 OR (length(y) < 80 AND NOT {holds('y', C.SUSPICIOUS_LATEX)}))) AS trusted FROM f WHERE (y <> '' AND c >= 0.6) OR p_partkey % 2 = 0""")
+def ocr_gate(spark, d):
+    f = _formulas(spark, d).withColumn("c", ((F.col("p_partkey") % 10) / 10.0).cast("double"))
+    g = f.withColumn("g", L.gate(F.col("a"), F.col("c"), F.col("p_partkey") % 2 == 0)).where("g is not null")
+    return g.select("p_partkey", "g.latex", "g.confidence", L.trusted(F.col("a"), F.col("c")).alias("trusted"))
+
+
+# ---- placement ----------------------------------------------------------------------------------
+
+STARTS_SQL = fx.LI_SQL + ", st AS (SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS section_idx, (l_linenumber // 3)::INTEGER AS page, (l_suppkey % 700)::DOUBLE AS y FROM li), it AS (SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS item_idx, (l_partkey % 4 - 1)::INTEGER AS page, (l_partkey % 700)::DOUBLE AS y FROM li)"
+
+
+def _placed(spark, d):
+    li = fx.order_lines(spark, d)
+    s = li.selectExpr("l_orderkey as doc_id", "int(l_linenumber) as section_idx", "int(l_linenumber div 3) as page", "double(l_suppkey % 700) as y")
+    return li.selectExpr("l_orderkey as doc_id", "int(l_linenumber) as item_idx", "int(l_partkey % 4 - 1) as page", "double(l_partkey % 700) as y"), s
+
+
+@query("formula_placement_asof", f"""WITH {STARTS_SQL} SELECT it.doc_id, item_idx, coalesce(max(CASE WHEN it.page >= 0 AND (st.page < it.page OR (st.page = it.page AND st.y <= it.y)) THEN section_idx END), min(section_idx)) AS section_idx FROM it JOIN st ON st.doc_id = it.doc_id GROUP BY it.doc_id, item_idx""")
+def formula_placement(spark, d):
+    return structure.place(*_placed(spark, d))
+
+
+@query("table_round_robin", f"""WITH {SECTIONS_SQL}, m AS (SELECT *, regexp_matches(lower(heading), 'result|experiment|evaluation|analysis|discussion') AS lk FROM sections), n AS (SELECT *, bool_or(lk) OVER (PARTITION BY doc_id) AS any_, count(*) OVER (PARTITION BY doc_id) AS n FROM m),
+  c AS (SELECT doc_id, section_idx, row_number() OVER (PARTITION BY doc_id ORDER BY section_idx) - 1 AS slot, count(*) OVER (PARTITION BY doc_id) AS slots FROM n WHERE CASE WHEN any_ THEN lk ELSE section_idx >= n // 2 END),
+  t AS (SELECT doc_id, unnest(range(3))::INTEGER AS table_idx FROM documents) SELECT t.doc_id, table_idx, section_idx FROM t JOIN c ON c.doc_id = t.doc_id AND c.slot = t.table_idx % c.slots""")
+def table_round_robin(spark, d):
+    tables = fx.table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("table_idx"))
+    return structure.deal_tables(tables, structure.sections(fx.paper_blocks(spark, d)))
+
+
+@query("paragraph_formula_interleave", f"""WITH {STARTS_SQL}, p AS (SELECT doc_id, section_idx // 3 AS section_idx, section_idx % 3 AS para_idx, page, y FROM st), f AS (SELECT doc_id, item_idx // 3 AS section_idx, item_idx AS formula_idx, page, y FROM it),
+  j AS (SELECT f.doc_id, f.section_idx, formula_idx, f.page, f.y, min(CASE WHEN p.page > f.page OR (p.page = f.page AND p.y > f.y) THEN para_idx END) AS later, max(para_idx) AS lst FROM f JOIN p ON p.doc_id = f.doc_id AND p.section_idx = f.section_idx GROUP BY ALL)
+  SELECT doc_id, section_idx::INTEGER AS section_idx, greatest(0, coalesce(later - 1, lst))::INTEGER AS para_idx, 1 AS kind, page, y FROM j UNION ALL SELECT doc_id, section_idx::INTEGER, para_idx::INTEGER, 0, page, y FROM p""")
+def interleave(spark, d):
+    items, starts_ = _placed(spark, d)
+    p = starts_.selectExpr("doc_id", "int(section_idx div 3) as section_idx", "section_idx % 3 as para_idx", "page", "y", "'p' as text")
+    f = items.selectExpr("doc_id", "int(item_idx div 3) as section_idx", "item_idx as formula_idx", "page", "y", "'f' as latex")
+    return render.content_blocks(p, f).select("doc_id", "section_idx", "para_idx", "kind", "page", "y")
+
+
+# ---- checked fields and rendering -------------------------------------------------------------------
+
+
+def _papers(spark, d):
+    """One row a document: title, abstract, keywords, sections, refs."""
+    b = fx.paper_blocks(spark, d)
+    s = structure.sections(b).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "heading", "depth", "body"))).alias("sections"))
+    r = structure.references(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda z: z["text"]).alias("refs"))
+    return structure.titles(b).join(structure.abstracts(b), "doc_id", "left").join(structure.keyword_lists(b), "doc_id", "left").join(s, "doc_id", "left").join(r, "doc_id", "left")
+
+
+TITLE_SQL = rf"""ti AS (SELECT doc_id, t AS title, length(t) >= 5 AND len(regexp_split_to_array(t, '\s+')) >= 2 AND length(t) <= 300 AND NOT {starts('lower(t)', ('http', 'doi:'))} AS ok FROM t0 WHERE block_idx = 0)"""
+
+
+@query("canon_title", rf"""WITH {SECTIONS_SQL}, {TITLE_SQL}, hs AS (SELECT doc_id, arg_min(heading, section_idx) AS h FROM sections WHERE len(regexp_split_to_array(heading, '\s+')) >= 2 AND length(heading) <= 300 AND NOT {starts('lower(heading)', ('http', 'doi:'))} GROUP BY doc_id)
+  SELECT ti.doc_id, CASE WHEN ok THEN title WHEN h IS NOT NULL THEN h WHEN title <> '' THEN title ELSE 'Untitled Paper' END AS value, CASE WHEN ok THEN 0.9 WHEN h IS NOT NULL THEN 0.6 WHEN title <> '' THEN 0.3 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN ok THEN 'parsed' WHEN h IS NOT NULL THEN 'section' WHEN title <> '' THEN 'parsed_weak' ELSE 'default' END AS source FROM ti LEFT JOIN hs ON hs.doc_id = ti.doc_id""")
+def canon_title(spark, d):
+    b = fx.paper_blocks(spark, d)
+    s = structure.sections(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "heading"))), lambda z: z["heading"]).alias("h"))
+    c = structure.titles(b).join(s, "doc_id", "left").select("doc_id", canon.title(F.col("title"), F.coalesce("h", F.array().cast("array<string>")), F.lit("")).alias("c"))
+    return c.select("doc_id", "c.value", "c.confidence", "c.source")
+
+
+@query("canon_summary")
+def canon_summary(spark, d):
+    p = _papers(spark, d)
+    bodies = F.transform(F.coalesce("sections", F.array()), lambda s: s["body"])
+    t = canon.title(F.col("title"), F.transform(F.coalesce("sections", F.array()), lambda s: s["heading"]), F.lit(""))
+    a = canon.abstract(F.col("abstract"), F.lit(""), F.coalesce(F.get(bodies, 0), F.lit("")))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return p.select("doc_id", canon.summary(t, a, F.lit(0), n("sections"), n("refs")).alias("summary"), canon.renderable(t, F.coalesce(bodies, F.array().cast("array<string>"))).alias("renderable"))
+
+
+def _render(layout_: str):
+    def run(spark, d):
+        p = _papers(spark, d)
+        tex = render.document(layout_, F.col("title"), F.coalesce("abstract", F.lit("")), F.coalesce("keywords", F.array().cast("array<string>")), F.col("sections"), F.coalesce("refs", F.array().cast("array<string>")))
+        return p.where("sections is not null").select("doc_id", F.length(tex).alias("n_chars"), F.md5(tex).alias("digest"))
+
+    return run
+
+
+for _layout in C.LAYOUTS:
+    query(f"render_tex_{_layout}")(_render(_layout))
