@@ -155,7 +155,8 @@ def groups(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, matches: i
     shared = posted.join(often, "cv").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "cv"))).alias("l")).where(F.size("l") >= matches)
     # Values posted once are the rarest; they fill the prefix first and meet nothing.
     take = F.lit(COORDINATES - matches + 1) - F.greatest(F.lit(0), F.lit(COORDINATES) - F.size("l"))
-    prefix = scratch.save(shared.where(take > 0).select("node", F.explode(F.slice("l", 1, F.greatest(take, F.lit(1)))).alias("e")).select("node", F.col("e")["cv"].alias("cv")), "prefix")
+    own = F.transform(F.slice("l", 1, F.greatest(take, F.lit(1))), lambda e: e["cv"])
+    prefix = scratch.save(shared.where(take > 0).select("node", own.alias("own")).select("node", "own", F.explode("own").alias("cv")), "prefix")
     nodes = scratch.save(prefix.select("node").distinct(), "nodes")
     few = nodes.count() <= BROADCAST_IDS
     chosen = nodes.withColumnRenamed("node", "doc_id")
@@ -181,16 +182,16 @@ def groups(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, matches: i
     links = scratch.save(confirm(first, sets, percent), "links1")
     roots = components(links, scratch, "one")
 
-    member = scratch.save(prefix.join(roots, "node", "left").select("cv", "node", "n", "lone", F.coalesce("root", "node").alias("root")), "member")
+    member = scratch.save(prefix.join(roots, "node", "left").select("cv", "node", "own", "n", "lone", F.coalesce("root", "node").alias("root")), "member")
     per = member.groupBy("cv", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cv").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = scratch.save(member.join(per, "cv"), "mixed")
-    out = mixed.where("root <> main").select("cv", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("xn"), F.col("lone").alias("xl"))
-    # Members outside the list's main component against those of other components; each pair once.
-    crossed = mixed.join(out, "cv").where(can_link(F.col("n"), F.col("lone"), F.col("xn"), F.col("xl")) & (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x"))))
-    pairs = crossed.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    sigs = classes.select("node", "sig")
-    agreed = F.size(F.filter(F.arrays_zip("p", "q"), lambda z: z["p"] == z["q"]))
-    near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b").where(agreed >= matches).select("a", "b").distinct()
+    mixed = scratch.save(member.join(per, "cv").join(classes.select("node", "sig"), "node"), "mixed")
+    out = mixed.where("root <> main").select("cv", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("xn"), F.col("lone").alias("xl"), F.col("own").alias("xo"), F.col("sig").alias("xs"))
+    # Members outside the list's main component against those of other components; each pair
+    # once, in the first list the two share, and only if enough of their coordinates collide.
+    fresh = (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x")))
+    collisions = F.size(F.filter(F.arrays_zip("sig", "xs"), lambda z: z["sig"] == z["xs"]))
+    crossed = mixed.join(out, "cv").where(fresh & can_link(F.col("n"), F.col("lone"), F.col("xn"), F.col("xl")) & (F.array_min(F.array_intersect("own", "xo")) == F.col("cv")) & (collisions >= matches))
+    near = crossed.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     second = scratch.save(confirm(scratch.save(near, "near"), sets, percent), "links2")
     scratch.drop("sets", "member", "mixed")
     roots = scratch.save(components(links.unionByName(second), scratch, "two"), "roots")
