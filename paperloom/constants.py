@@ -101,3 +101,22 @@ LAYOUTS = {
     "springer": (r"\documentclass{llncs}", "thebibliography"), "elsevier": (r"\documentclass{elsarticle}", "thebibliography"),
     "apa": (r"\documentclass{article}", "enumerate"), "arxiv": (r"\documentclass{article}", "thebibliography"),
 }
+
+# Symbols that make a line an equation's context, and those that a numbered equation holds.
+CONTEXT_SYMBOLS = "≤≥≠≈∈∉⊂⊃∪∩∧∨¬∀∃∅∇∂√∫∑∏±×÷→←↔⊤⊥⊕⊗∼"
+EQUATION_SYMBOLS = "αβγδεζηθικλμνξπρσςτυφχψωΓΔΘΛΞΠΣΦΨΩ∼≈≠≤≥∈∉⊂⊃∪∩∧∨¬∀∃∅∇∂√∫∑∏±×÷→←↔⊤⊥⊕⊗"
+
+# Words that look like a letter with indices.
+SUBSCRIPT_WORDS = (
+    "aim", "air", "all", "ami", "ask", "nil", "sir", "ski", "slim", "sin", "kin", "pin", "rim", "pis", "sim", "lip",
+    "rip", "sip", "inn", "ink", "ill", "iris", "mini", "kiss", "miss", "risk", "skip", "skin", "spin", "slip", "grin",
+    "grip", "trim", "trip", "milk", "silk", "kill", "fill", "pill", "till", "will", "mill", "hill", "bill",
+)
+SHORT_WORDS = (
+    "an", "am", "in", "on", "up", "if", "is", "it", "ok", "no", "so", "to", "we", "he", "me", "be", "or", "at", "of",
+    "as", "by", "do", "go", "hi", "mi",
+)
+
+# Fonts of mathematics, and limits of a formula region.
+MATH_FONTS = ("cmex", "cmsy", "cmmi", "euler", "mathit", "mathsy")
+MIN_MATH, MIN_MATH_SHARE, MAX_REGION_CHARS, MIN_REGION_W, MIN_REGION_H = 5, 0.08, 300, 60, 20
