@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import contains_any
+from .text import contains_any, strip
 
 
 def let(x: Column, fn) -> Column:
@@ -118,23 +118,64 @@ def escape(x: Column) -> Column:
     return F.when(x.rlike(r"[&%#_{}~^]"), F.array_join(F.transform(tokens, each), "")).otherwise(x)
 
 
+EQUATION = r"\\begin\{equation\*?\}.*?\\end\{equation\*?\}"
+
+
+def split_equations(paragraph: Column) -> Column:
+    """array of (type, content): equation environments stay raw, text around them is escaped."""
+    parts = F.regexp_extract_all(paragraph, F.lit(rf"(?s)({EQUATION}|(?:(?!{EQUATION}).)+)"), 1)
+    made = lambda p: F.when(p.rlike(rf"(?s)^{EQUATION}$"), F.struct(F.lit("raw_latex").alias("type"), p.alias("content"))).otherwise(F.struct(F.lit("text").alias("type"), escape(p).alias("content")))
+    return F.transform(F.filter(F.transform(parts, strip), lambda p: p != ""), made)
+
+
 def paragraphs(x: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(x, "\n\n"), lambda p: F.trim(p) != ""), lambda p: escape(F.trim(p))), "\n\n")
+    """Paragraphs escaped; equation environments stand on their own."""
+    each = lambda p: F.array_join(F.transform(split_equations(p), lambda b: b["content"]), "\n\n")
+    return F.array_join(F.transform(F.filter(F.split(x, "\n\n"), lambda p: F.trim(p) != ""), lambda p: F.when(p.contains("\\begin{equation"), each(p)).otherwise(escape(F.trim(p)))), "\n\n")
+
+
+def relative_path(path: Column, base: str) -> Column:
+    """The path below the base folder, with forward slashes."""
+    y = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    root = base.rstrip("/") + "/"
+    return F.when(y.startswith(root), F.substr(y, F.lit(len(root) + 1))).otherwise(y)
+
+
+def figure_record(image_path: Column, is_valid: Column, caption: Column, label: Column, base: str = "") -> Column:
+    """struct(image_path, caption, label): no path if the image is corrupt, the caption without "Fig. N"."""
+    bare = F.trim(F.regexp_replace(F.coalesce(caption, F.lit("")), r"(?i)^Fig(?:ure)?\.?\s*\d+[\s.:]*", ""))
+    return F.struct(F.when(is_valid, relative_path(image_path, base)).otherwise("").alias("image_path"), bare.alias("caption"), label.alias("label"))
+
+
+def formula_record(latex: Column, image_path: Column, is_valid: Column, confidence: Column) -> Column:
+    """struct(latex, image_path): beside a valid image only trusted LaTeX is shown."""
+    path = F.when(is_valid, F.coalesce(image_path, F.lit(""))).otherwise("")
+    return F.struct(F.when((path == "") | trusted(latex, confidence), latex).otherwise("").alias("latex"), path.alias("image_path"))
 
 
 def section_command(depth: Column) -> Column:
     return F.when(depth <= 1, r"\section").when(depth == 2, r"\subsection").otherwise(r"\subsubsection")
 
 
+# Commands that recognition leaves in garbled cells.
+CELL_GARBAGE = r"\\stackrel|\\bigwedge|\\mathcal\{[CDG]|\\not\{|\\mp\\dot|\\langle\\cdot"
+
+
 def usable_cell(latex: Column) -> Column:
     commands = F.regexp_count(latex, F.lit(r"\\[a-zA-Z]+"))
-    return (latex != "") & ~((commands > 8) & (F.length(latex) < 60)) & (count(latex, r"\stackrel") < 2)
+    return (latex != "") & ~((commands > 8) & (F.length(latex) < 60)) & (F.regexp_count(latex, F.lit(CELL_GARBAGE)) < 2)
 
 
 def table_cell(cell: Column) -> Column:
-    """A cell's LaTeX: whole or mixed mathematics stays, plain text is escaped."""
+    """A cell's LaTeX: recognised formula, else its image, whole or mixed mathematics, escaped text."""
+    y = F.trim(cell)
+    inner = F.trim(F.regexp_extract(y, r"(?s)^\\CELLEQ\{(.+)\}$", 1))
+    latex, image = F.trim(F.substring_index(inner, "||IMG:", 1)), F.when(inner.contains("||IMG:"), F.trim(F.substring_index(inner, "||IMG:", -1))).otherwise("")
+    shown = lambda path: F.concat(F.lit("\\raisebox{-0.3\\height}{\\includegraphics[max height=0.9cm]{"), path, F.lit("}}"))
+    formula = F.when(usable_cell(latex) | (image == ""), F.concat(F.lit("$\\displaystyle "), latex, F.lit("$"))).otherwise(shown(image))
     mixed = F.array_join(F.transform(F.split(cell, r"\$", -1), lambda p, i: F.when(i % 2 == 0, escape(p)).otherwise(F.concat(F.lit("$"), p, F.lit("$")))), "")
-    return F.when(cell.rlike(r"^\$.*\$$"), cell).when(cell.contains("$"), mixed).otherwise(escape(cell))
+    picture = F.regexp_extract(y, r"^\\CELLIMG\{(.+?)\}$", 1)
+    return F.when(inner != "", formula).when(picture != "", shown(picture)).when(y.rlike(r"(?s)^\$.*\$$"), y).when(cell.contains("$"), mixed).otherwise(escape(cell))
 
 
 def tabular(headers: Column, rows: Column) -> Column:

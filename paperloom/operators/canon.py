@@ -46,6 +46,22 @@ def authors(names: Column) -> Column:
     return F.struct(good.alias("value"), F.when(F.size(good) > 0, 0.8).otherwise(0.0).alias("confidence"), F.when(F.size(good) > 0, "parsed").otherwise("default").alias("source"))
 
 
+def author_records(authors_: Column) -> Column:
+    """As authors, for records with a name: bad names go with all their fields."""
+    good = F.filter(authors_, lambda a: ~T.bad_author(a["name"]))
+    return F.struct(good.alias("value"), F.when(F.size(good) > 0, 0.8).otherwise(0.0).alias("confidence"), F.when(F.size(good) > 0, "parsed").otherwise("default").alias("source"))
+
+
+def keywords(parsed: Column, abstract_: Column) -> Column:
+    """Parsed ones, else those that follow the word in the abstract, else none."""
+    none = F.array().cast("array<string>")
+    given = F.coalesce(parsed, none)
+    rest = F.regexp_extract(F.coalesce(abstract_, F.lit("")), r"(?i)(?:keywords|key\s*words)[\s:—-]+(.+)", 1)
+    found = F.filter(F.transform(F.split(rest, "[;,·•]"), lambda k: F.regexp_replace(T.strip(k), r"\.+$", "")), lambda k: k != "")
+    made = lambda v, c, s: F.struct(v.alias("value"), F.lit(c).alias("confidence"), F.lit(s).alias("source"))
+    return F.when(F.size(given) > 0, made(given, 0.9, "parsed")).when(F.size(found) > 0, made(found, 0.5, "repaired:abstract")).otherwise(made(none, 0.0, "default"))
+
+
 def metadata_heading(x: Column) -> Column:
     return T.contains_any(F.lower(T.strip(x)), ("doi:", "issn", "copyright", "authorized", "proceedings of"))
 

@@ -22,12 +22,69 @@ def content_blocks(paragraphs: DataFrame, formulas: DataFrame) -> DataFrame:
     return plain.unionByName(placed)
 
 
-def document(layout: str, title: Column, abstract: Column, keywords: Column, sections: Column, refs: Column) -> Column:
-    """Whole LaTeX text.  sections: array of (heading, depth, body); refs: array of strings."""
+NO_AUTHORS = "array<struct<name: string, department: string, organization: string, city: string, country: string, email: string>>"
+
+
+def _filled(x: Column, before: str = "", after: str = "") -> Column:
+    return F.when(x != "", F.concat(F.lit(before), L.escape(x), F.lit(after)))
+
+
+def author_block(layout: str, authors: Column) -> Column:
+    """The authors as a layout sets them; empty without authors."""
+    place = lambda a: F.concat_ws(", ", _filled(a["city"]), _filled(a["country"]))
+    names = F.array_join(F.transform(authors, lambda a: L.escape(a["name"])), "\n\\and\n")
+    if layout == "ieee":
+        width = F.round(0.96 / F.size(authors), 4).cast("string")
+        rest = lambda a: F.concat_ws("\\\\ ", L.escape(a["department"]), _filled(a["organization"]), F.when(place(a) != "", place(a)), _filled(a["email"]))
+        each = lambda a: F.concat(F.lit("\\begin{minipage}[t]{"), width, F.lit("\\textwidth}\\centering\n{\\normalsize\\textbf{"), L.escape(a["name"]), F.lit("}}\\\\[2pt]\n{\\footnotesize "), rest(a), F.lit("}\n\\end{minipage}%"))
+        out = F.concat(F.lit("\\author{%\n"), F.array_join(F.transform(authors, each), "\n\\hfill%\n"), F.lit("\n}\n"))
+    elif layout == "springer":
+        unit = lambda a: F.concat_ws("\n", _filled(a["department"], after="\\\\"), _filled(a["organization"], after="\\\\"), _filled(a["city"], after="\\\\"), _filled(a["email"], "\\email{", "}"))
+        units = F.filter(F.transform(authors, unit), lambda u: u != "")
+        out = F.concat(F.lit("\\author{\n"), names, F.lit("\n}\n\\institute{\n"), F.array_join(units, "\n\\and\n"), F.lit("\n}\n"))
+    elif layout == "elsevier":
+        address = lambda a: F.concat_ws(", ", _filled(a["department"]), _filled(a["organization"]), F.when(place(a) != "", place(a)))
+        note = lambda a, i: F.when(a["email"] != "", F.concat(F.lit("fn"), (i + 1).cast("string")))
+        each = lambda a, i: F.concat_ws("\n",
+            F.concat(F.lit("\\author{"), L.escape(a["name"]), F.coalesce(F.concat(F.lit("\\fnref{"), note(a, i), F.lit("}")), F.lit("")), F.lit("}")),
+            F.when(address(a) != "", F.concat(F.lit("\\address{"), address(a), F.lit("}"))), F.concat(F.lit("\\fntext["), note(a, i), F.lit("]{"), L.escape(a["email"]), F.lit("}")))
+        out = F.concat(F.array_join(F.transform(authors, each), "\n"), F.lit("\n"))
+    elif layout == "apa":
+        line = lambda c, before: _filled(c, before, "\\par}")
+        each = lambda a: F.concat_ws("\n", line(a["name"], "{\\large "), *[line(a[k], "{\\normalsize ") for k in ("department", "organization", "city")], _filled(a["email"], "{\\normalsize \\texttt{", "}\\par}"))
+        out = F.concat(F.array_join(F.transform(authors, each), "\n"), F.lit("\n"))
+    else:
+        units = ("department", "organization") if layout == "arxiv" else ("organization",)
+        each = lambda a: F.concat_ws(" \\\\ ", L.escape(a["name"]), *[_filled(a[u], "{\\small ", "}") for u in units], _filled(a["email"], "{\\small \\texttt{", "}}"))
+        out = F.concat(F.lit("\\author{\n"), F.array_join(F.transform(authors, each), "\n\\and\n"), F.lit("\n}\n"))
+    return F.when(F.size(authors) > 0, out).otherwise("")
+
+
+def figure(f: Column) -> Column:
+    """A figure environment; empty without an image."""
+    inner = F.concat_ws("\n", F.lit("\\begin{figure}[!htbp]\n\\centering"), F.concat(F.lit("\\includegraphics[max width=\\columnwidth, max height=0.4\\textheight]{"), f["image_path"], F.lit("}")), _filled(f["caption"], "\\caption{", "}"), F.when(f["label"] != "", F.concat(F.lit("\\label{"), f["label"], F.lit("}"))), F.lit("\\end{figure}"))
+    return F.when(f["image_path"] != "", inner)
+
+
+def table(t: Column) -> Column:
+    """A table environment with caption and label around its tabular."""
+    return F.concat_ws("\n", F.lit("\\begin{table}[!htbp]\n\\centering"), _filled(t["caption"], "\\caption{", "}"), F.when(t["label"] != "", F.concat(F.lit("\\label{"), t["label"], F.lit("}"))), L.tabular(t["headers"], t["rows"]), F.lit("\\end{table}"))
+
+
+def document(layout: str, title: Column, abstract: Column, keywords: Column, sections: Column, refs: Column, authors: Column | None = None, floats: bool = False) -> Column:
+    """Whole LaTeX text.  sections: array of (heading, depth, body), with ``floats`` also figures and tables; refs: array of strings."""
     head, bibliography = C.LAYOUTS[layout]
     joiner = {"springer": " \\and ", "elsevier": " \\sep "}.get(layout, ", ")
     words = F.array_join(F.transform(keywords, L.escape), joiner)
-    body = F.array_join(F.transform(sections, lambda s: F.concat(L.section_command(s["depth"]), F.lit("{"), L.escape(s["heading"]), F.lit("}\n"), L.paragraphs(s["body"]))), "\n\n")
+    by = author_block(layout, F.expr(f"cast(array() as {NO_AUTHORS})") if authors is None else authors)
+
+    def set_floats(s: Column) -> Column:
+        if not floats:
+            return F.lit("")
+        both = F.concat(F.transform(s["figures"], figure), F.transform(s["tables"], table))
+        return F.array_join(F.transform(F.filter(both, lambda v: v.isNotNull()), lambda v: F.concat(F.lit("\n\n"), v)), "")
+
+    body = F.array_join(F.transform(sections, lambda s: F.concat(L.section_command(s["depth"]), F.lit("{"), L.escape(s["heading"]), F.lit("}\n"), L.paragraphs(s["body"]), set_floats(s))), "\n\n")
     abs_ = L.escape(abstract)
     if layout in ("springer", "apa"):  # keywords stand inside the abstract
         front = F.concat(F.lit("\\begin{abstract}\n"), abs_, F.lit("\n\\keywords{"), words, F.lit("}\n\\end{abstract}\n"))
@@ -35,4 +92,4 @@ def document(layout: str, title: Column, abstract: Column, keywords: Column, sec
         front = F.concat(F.lit("\\begin{abstract}\n"), abs_, F.lit("\n\\end{abstract}\n\\begin{keywords}\n"), words, F.lit("\n\\end{keywords}\n"))
     item = (lambda r, i: F.concat(F.lit("\\item "), L.escape(r))) if bibliography == "enumerate" else (lambda r, i: F.concat(F.lit("\\bibitem{ref"), (i + 1).cast("string"), F.lit("} "), L.escape(r)))
     tail = F.concat(F.lit(f"\n\\begin{{{bibliography}}}" + ("{99}" if bibliography != "enumerate" else "") + "\n"), F.array_join(F.transform(refs, item), "\n"), F.lit(f"\n\\end{{{bibliography}}}\n"))
-    return F.concat(F.lit(head + "\n\\begin{document}\n\\title{"), L.escape(title), F.lit("}\n\\maketitle\n"), front, body, F.when(F.size(refs) > 0, tail).otherwise(""), F.lit("\\end{document}\n"))
+    return F.concat(F.lit(head + "\n\\begin{document}\n\\title{"), L.escape(title), F.lit("}\n"), by, F.lit("\\maketitle\n"), front, body, F.when(F.size(refs) > 0, tail).otherwise(""), F.lit("\\end{document}\n"))

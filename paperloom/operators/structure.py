@@ -127,3 +127,40 @@ def deal_tables(tables: DataFrame, sections_: DataFrame) -> DataFrame:
     counts = slots.select("doc_id", "slots").distinct()
     turn = tables.join(counts, "doc_id").withColumn("slot", (F.col("table_idx") % F.col("slots")).cast("int")).drop("slots")
     return turn.join(slots.drop("slots"), ["doc_id", "slot"]).select("doc_id", "table_idx", "section_idx")
+
+
+def text_only(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, title, abstract, keywords) and the blocks after them, for documents without print sizes.
+
+    Title: the first of five lines over ten characters.  Abstract: within 30 lines of it, up to 19 lines
+    long.  Keywords: the last of the five lines after it that begin with their name.  The blocks go on to
+    ``sections`` and ``references``.  Documents without a usable line are left out.
+    """
+    w, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("n")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", T.strip(F.col("line"))).where(~T.is_metadata(F.col("line")))
+    r = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("low", F.lower("line")).withColumn("count", F.count(F.lit(1)).over(w))
+    at = lambda c: F.min(F.when(c, F.col("i"))).over(w)
+    r = r.withColumn("t", at((F.col("i") < 5) & (F.length("line") > 10))).withColumn("start", F.coalesce(F.col("t") + 1, F.lit(0)))
+    r = r.withColumn("a", at((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + 30) & F.col("low").startswith("abstract")))
+    r = r.withColumn("s", at((F.col("i") > F.col("a")) & (F.col("i") < F.col("a") + 20) & (T.is_heading_line(F.col("line")) | F.col("low").startswith("keywords"))))
+    end = F.coalesce("s", F.when(F.col("a") + 1 < F.col("count"), F.least(F.col("a") + 20, "count")), "start")
+    r = r.withColumn("end", end)
+    prefix = F.col("low").rlike("^(keywords|key words|index terms)") & (F.col("i") >= F.col("end")) & (F.col("i") < F.col("end") + 5)
+    r = r.withColumn("after", F.coalesce(F.max(F.when(prefix, F.col("i"))).over(w) + 1, "end"))
+    rest = F.regexp_replace("line", r"(?i)^abstract[\s—:.-]*", "")
+    piece = F.when(F.col("i") == F.col("a"), T.strip(rest)).when((F.col("i") > F.col("a")) & (F.col("i") < F.least(F.coalesce("s", F.col("a") + 20), F.col("a") + 20)), F.col("line"))
+    words = F.when(prefix & (F.size(T.keywords(F.col("line"))) > 0), T.keywords(F.col("line")))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(piece != "", F.struct(F.col("i"), piece.alias("p"))))), lambda z: z["p"])
+    front = r.groupBy("doc_id").agg(
+        F.coalesce(F.max(F.when(F.col("i") == F.col("t"), F.col("line"))), F.lit("")).alias("title"), F.array_join(parts, " ").alias("abstract"),
+        F.coalesce(F.max_by(words, F.when(words.isNotNull(), F.col("i"))), F.array().cast("array<string>")).alias("keywords"),
+    )
+    return front, r.where(F.col("i") >= F.col("after")).select("doc_id", F.col("i").alias("block_idx"), F.col("line").alias("text"), F.lit(0).alias("page"))
+
+
+def diagnose(blocks: DataFrame) -> DataFrame:
+    """The first 35 blocks of the first three pages, with what each would do to the author zone."""
+    first = blocks.where("page < 3")
+    low = F.lower(T.strip(F.col("text")))
+    label = F.when(F.col("size") > 1.2 * F.col("body"), "title-sized").when(low.isin("authors", "author"), "authors").when(low.startswith("abstract"), "abstract").when(low.startswith("keywords"), "keywords").otherwise("")
+    return first.where("block_idx < 35").join(body_size(first), "doc_id").select("doc_id", "block_idx", "size", "body", label.alias("label"))

@@ -79,6 +79,87 @@ def pdf_blocks(documents: DataFrame, backend: Callable[[bytes], list[tuple]]) ->
     return documents.where("engine = 'pdf'").select("path", "content").mapInPandas(run, BLOCKS)
 
 
+def pdf_tables(documents: DataFrame, backend: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """Gridded tables of PDF files by a backend: content -> [(page, box, rows of cells)]; one scan serves cells and boxes.
+
+    Row 0 is the header; tables of under two rows go; labels are tab_{page}_{n}.
+    """
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for p, c in zip(frame["path"], frame["content"]):
+                seen: dict[int, int] = {}
+                for page, box, rows in backend(c):
+                    if len(rows) >= 2:
+                        seen[page] = seen.get(page, 0) + 1
+                        out.append((p, page, f"tab_{page}_{seen[page]}", *map(float, box), rows[0], rows[1:]))
+            yield pd.DataFrame(out, columns=["path", "page", "label", "x0", "y0", "x1", "y1", "headers", "rows"])
+
+    return documents.where("engine = 'pdf'").select("path", "content").mapInPandas(run, "path string, page int, label string, x0 double, y0 double, x1 double, y1 double, headers array<string>, rows array<array<string>>")
+
+
+def read_images(images: DataFrame, engine: Callable[[list[bytes]], list[str]]) -> DataFrame:
+    """path, latex of images by a recognition engine, a batch at a time; an image that fails reads as empty."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            try:
+                read = engine(list(frame["content"]))
+            except Exception:  # one bad image must not cost the batch
+                read = []
+                for c in frame["content"]:
+                    try:
+                        read += engine([c])
+                    except Exception:
+                        read.append("")
+            yield pd.DataFrame({"path": frame["path"], "latex": [r or "" for r in read]})
+
+    return images.select("path", "content").mapInPandas(run, "path string, latex string")
+
+
+def write_tex(documents: DataFrame, folder: str) -> None:
+    """One file {name}.tex a row of (name, tex) in a folder that all executors share.
+
+    Each file is written aside and renamed, so that a repeated task leaves whole files.
+    """
+
+    def write(rows) -> None:
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for row in rows:
+            aside = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(aside, "w", encoding="utf-8") as out:
+                out.write(row["tex"])
+            os.replace(aside, os.path.join(folder, f"{row['name']}.tex"))
+
+    documents.select("name", "tex").foreachPartition(write)
+
+
+def compile_pdf(documents: DataFrame, compiler: Callable[[str], tuple[bytes | None, str]]) -> DataFrame:
+    """name, pdf, log of (name, tex) rows by a compiler: tex -> (PDF or None, log)."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            yield pd.DataFrame([(n, *compiler(t)) for n, t in zip(frame["name"], frame["tex"])], columns=["name", "pdf", "log"])
+
+    return documents.select("name", "tex").mapInPandas(run, "name string, pdf binary, log string")
+
+
+def compile_errors(logs: DataFrame) -> DataFrame:
+    """name, fatal, errors: whether no PDF came out, and the first five error lines of a compiler's log."""
+    found = F.filter(F.split("log", "\n"), lambda v: v.startswith("!") | v.contains("Fatal error"))
+    return logs.select("name", F.col("log").contains("no output PDF file produced").alias("fatal"), F.slice(found, 1, 5).alias("errors"))
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
 

@@ -35,7 +35,10 @@ def test_detect(spark):
 
 
 def test_residue(spark):
-    assert one(spark, "Kept text 3.\nTable 1. Gone\n1.2 3.4 ⇑\nMore", tables.strip_residue) == "Kept text 3.\n\nMore"
+    body = "Kept text 3 here.\nTable 1. Gone\n1.2 3.4 ⇑\nMAML 1.0 2.0\nSkill Park Bike\nMore"
+    df = spark.createDataFrame([(body, [("tab:1", ["Method", "Skill(1)", "Park_2", "Bike"], [["MAML", "1.0"]])]), (body, [])], "b string, t array<struct<label: string, headers: array<string>, rows: array<array<string>>>>")
+    got = [r["r"] for r in df.select(tables.strip_residue(F.col("b"), F.col("t")).alias("r")).collect()]
+    assert got[1] == body and "MAML" not in got[0] and "Skill" not in got[0] and "3.4" not in got[0] and got[0].startswith("Kept text 3 here.") and got[0].endswith("More")
 
 
 def test_authors(spark):
