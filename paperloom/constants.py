@@ -92,8 +92,18 @@ SUSPICIOUS_LATEX = (
     r"\bigvee", r"\mathcal{C}", r"\mathcal{D}", r"\sin\theta", r"\not=", r"\not{",
 )
 
-# Tokens that each raise a formula's score, and arrows that lower it.
+# Scores of recognised formulas: arrows (each one counts), words of prose, and what else raises or lowers a score.
+ARROWS = (r"\rightarrow", r"\leftrightarrow", r"\longleftrightarrow", r"\Leftrightarrow", r"\Longleftrightarrow", r"\longrightarrow", r"\Longrightarrow", r"\hookrightarrow", r"\Rightarrow")
+SCORE_GARBAGE = ("pout", "REFERENCES", "References", "Abstract", "Keywords", "Introduction", "equation")
 SCORE_REWARDS = (r"\frac", r"\int", r"\sum", r"\prod", r"\lim", "^{", "_{", r"\alpha", r"\beta", r"\partial", r"\sqrt", r"\infty", r"\pi", r"\sigma", r"\omega")
+SCORE_CONTAINED = (
+    (r"\Xi", -0.1), (r"\Upsilon", -0.1), (r"\Digamma", -0.1), ("↔", -0.15), ("→", -0.15), ("←", -0.15), ("⟶", -0.15), ("⟵", -0.15), ("⟷", -0.15),
+    (r"\div", -0.15), (r"\varrho", -0.15), *((s, 0.05) for s in SCORE_REWARDS),
+)
+SCORE_PATTERNS = (
+    (r"\{[A-Za-z]\}\\?(to|leftrightarrow|rightarrow|longrightarrow)", -0.2), (r"\(\s*,", -0.2), (r"\\frac\{[01]\}\{[01]\}", -0.15),
+    (r"\\frac\{[^}]*\\?(?:ldots|cdots|dots|\.\.\.).*?\}", -0.2), (r"\\hat\{\\[a-zA-Z]+\}", -0.15), (r"_\{?\d{3,}\}?", -0.15), (r"[+\-=<>]", 0.05),
+)
 
 # Layout name: document class and bibliography style of its references.
 LAYOUTS = {

@@ -72,21 +72,28 @@ def score(x: Column) -> Column:
 def _score(y: Column) -> Column:
     n = F.length(y)
     part = lambda c, v: F.when(c, v).otherwise(0.0)
-    mathrm = F.aggregate(F.regexp_extract_all(y, F.lit(r"\\mathrm\{([^}]*)\}"), 1), F.lit(0), lambda a, s: a + F.length(s)) / F.greatest(n, F.lit(1))
-    runs = F.aggregate(F.regexp_extract_all(F.regexp_replace(y, r"\\[a-zA-Z]+", ""), F.lit("([a-zA-Z]{4,})"), 1), F.lit(0), lambda a, s: a + F.length(s)) / F.greatest(n, F.lit(1))
+    found = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda t, v: t + F.length(v))
+    share = lambda a: total(a) / F.greatest(n, F.lit(1))
+    bare = F.regexp_replace(F.regexp_replace(y, r"\\[a-zA-Z]+", ""), r"[{}\[\]()^_$\\]", "")
+    roman = F.regexp_extract_all(y, F.lit(r"\\mathrm\{([^}]*)\}"), 1)
     out = F.lit(0.5)
-    out += F.when(mathrm > 0.5, -0.3).when(mathrm > 0.3, -0.15).otherwise(0.0) + F.when(runs > 0.4, -0.3).when(runs > 0.25, -0.15).otherwise(0.0)
-    out += part(y.contains(r"\scriptstyle") & (n > 50), -0.15) + part(n < 5, -0.2) + part(n > 500, -0.15)
+    out += let(share(roman), lambda r: F.when(r > 0.5, -0.3).when(r > 0.3, -0.15).otherwise(0.0)) + part(F.exists(roman, lambda m: count(m, "~") >= 2), -0.2)
+    out += let(share(found(bare, "[a-zA-Z]{4,}")), lambda r: F.when(r > 0.4, -0.3).when(r > 0.25, -0.15).otherwise(0.0))
+    out += part(~y.contains("=") & (F.size(found(bare, r"(?<![\\a-zA-Z])[a-zA-Z](?![a-zA-Z{])")) >= 4), -0.15)
+    to = F.regexp_count(y, F.lit(r"\\to(?![a-zA-Z])"))
+    arrows = F.greatest(F.lit(0), to - F.when(y.contains(r"\lim"), 1).otherwise(0))
+    for s in C.ARROWS:
+        arrows += count(y, s)
+    out += arrows * -0.15 + F.regexp_count(y, F.lit(r"\\(?:Longleftrightarrow|Leftrightarrow|longleftrightarrow|leftrightarrow|Longrightarrow|Rightarrow|rightarrow|longrightarrow)\s*[_^]\{")) * -0.25
     cal = count(y, r"\mathcal")
-    out += F.when(cal >= 3, -0.2).when(cal == 2, -0.1).otherwise(0.0)
-    for s in (r"\Xi", r"\Upsilon", r"\Digamma"):
-        out += part(y.contains(s), -0.1)
-    out += part(y.contains("(,"), -0.2) + part(y.rlike(r"\\frac\{[01]\}\{[01]\}"), -0.15) + part(y.contains(r"\div"), -0.15) + count(y, r"\sim") * -0.1
-    out += part(y.rlike(r"\\hat\{\\[a-zA-Z]+"), -0.15) + part(y.contains(r"\varrho"), -0.15) + part(y.rlike(r"_\{?\d{3,}"), -0.15)
-    out += part(y.contains(r"\frac") & ~y.contains("=") & y.contains(r"\int"), -0.1)
-    for s in C.SCORE_REWARDS:
-        out += part(y.contains(s), 0.05)
-    out += part(y.rlike("[+=<>-]"), 0.05) + part(F.regexp_replace(F.regexp_replace(y, r"\\[a-zA-Z]+", ""), r"[{}\s]", "").rlike("^.+=.+"), 0.05)
+    out += F.when(cal >= 3, -0.2).when(cal == 2, -0.1).otherwise(0.0) + part(contains_any(y, C.SCORE_GARBAGE), -0.3) + count(y, r"\sim") * -0.1
+    for s, v in C.SCORE_CONTAINED:
+        out += part(y.contains(s), v)
+    for s, v in C.SCORE_PATTERNS:
+        out += part(y.rlike(s), v)
+    out += part(y.contains(r"\scriptstyle") & (n > 50), -0.15) + part(n < 5, -0.2) + part(n > 500, -0.15)
+    out += part(bare.rlike(r"^[A-Za-z]{1,5}\s*/\s*[A-Za-z]{1,5}\s*="), -0.15) + part(y.contains(r"\frac") & ~y.contains("=") & ~y.contains(r"\int"), -0.1) + part(bare.rlike(".+=.+"), 0.05)
     return F.when(n == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 6))
 
 

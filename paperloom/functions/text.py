@@ -106,14 +106,19 @@ def is_heading_line(x: Column) -> Column:
 
 
 def heading(x: Column, size: Column | None = None, body: Column | None = None) -> Column:
-    """struct(text, depth), or null: numbered, keyword, or large print."""
+    """struct(text, depth), or null: numbered, roman, keyword, or large print."""
     y = strip(x)
     number, rest = F.regexp_extract(y, r"^(\d+\.?\d*\.?\d*\.?)\s+(.+)$", 1), strip(F.regexp_extract(y, r"^(\d+\.?\d*\.?\d*\.?)\s+(.+)$", 2))
     trimmed = F.regexp_replace(number, r"\.+$", "")
     depth = F.least(F.length(trimmed) - F.length(F.replace(trimmed, F.lit("."), F.lit(""))) + 1, F.lit(3))
-    out = F.when(is_metadata(y), None)
-    ok = (F.length(y) <= 80) & rest.rlike(r"\p{L}") & ~rest.rlike(r"(?i)^Page\s+\d+")
+    out = F.when(is_metadata(y) | is_metadata(F.substring_index(y, "\n", 1)), None)
+    header = rest.rlike(r"(?i)Page\s+\d+\s+of\s+\d+|Machine\s+Learning\s+\(\d{4}\)")
+    ok = (F.length(rest) <= 80) & rest.rlike(r"\p{L}") & ~header
+    roman = strip(F.regexp_extract(y, r"^([IVXivx]+\.?)\s+(.+)$", 2))
+    larger = F.lit(False) if size is None else size > 1.1 * body
     out = out.when(number != "", F.when(ok, F.struct(rest.alias("text"), depth.alias("depth"))))
+    titled = (roman != "") & (F.lower(roman).isin(*C.KEYWORD_HEADINGS) | larger) & ~roman.rlike(r"(?i)Page\s+\d+\s+of\s+\d+")
+    out = out.when(titled, F.struct(roman.alias("text"), F.lit(1).alias("depth")))
     out = out.when(F.lower(y).isin(*C.KEYWORD_HEADINGS) & (F.length(y) < 40), F.struct(y.alias("text"), F.lit(1).alias("depth")))
     if size is not None:
         large = (body > 0) & (size > 1.15 * body) & (F.length(y) < 60) & y.rlike(r"^\p{Lu}") & ~y.endswith(",")

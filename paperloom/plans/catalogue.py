@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import latex as L
 from ..functions import text as T
-from ..operators import canon, layout, render, structure
+from ..operators import authors, canon, layout, render, structure
 from ..operators import lines as ln
 from . import fixtures as fx
 
@@ -162,7 +162,8 @@ def sql_heading(source: str) -> str:
     n = f"regexp_extract(t, '{NUMBERED}', 1)"
     rest = strip(f"regexp_extract(t, '{NUMBERED}', 2)")
     trimmed = rf"regexp_replace({n}, '\.+$', '')"
-    return rf"""(SELECT *, CASE WHEN {META_SQL} THEN NULL WHEN num <> '' THEN CASE WHEN length(t) <= 80 AND regexp_matches(rest, '\p{{L}}') AND NOT regexp_matches(rest, '(?i)^Page\s+\d+') THEN rest END
+    return rf"""(SELECT *, CASE WHEN {META_SQL} OR {META_SQL.replace("(t,", "(split_part(t, chr(10), 1),")} THEN NULL WHEN num <> '' THEN CASE WHEN length(rest) <= 80 AND regexp_matches(rest, '\p{{L}}') AND NOT regexp_matches(rest, '(?i)Page\s+\d+\s+of\s+\d+|Machine\s+Learning\s+\(\d{{4}}\)') THEN rest END
+      WHEN lower({strip(r"regexp_extract(t, '^([IVXivx]+\.?)\s+(.+)$', 2)")}) IN ({HEADINGS}) THEN {strip(r"regexp_extract(t, '^([IVXivx]+\.?)\s+(.+)$', 2)")}
       WHEN lower(t) IN ({HEADINGS}) AND length(t) < 40 THEN t END AS hd,
       CASE WHEN num <> '' THEN least(length(trimmed) - length(replace(trimmed, '.', '')) + 1, 3) ELSE 1 END::INTEGER AS depth0 FROM (SELECT *, {n} AS num, {rest} AS rest, {trimmed} AS trimmed FROM {source}))"""
 
@@ -335,17 +336,23 @@ def sql_count(x: str, part: str) -> str:
     return f"((length({x}) - length(replace({x}, '{part}', ''))) // {len(part)})"
 
 
+def _points(condition: str, value: float) -> str:
+    return f"(CASE WHEN {condition} THEN {value} ELSE 0.0 END)"
+
+
 SCORE_SQL = (
-    "round(greatest(0.0, least(1.0, 0.5 + "
-    r"(CASE WHEN mr > 0.5 THEN -0.3 WHEN mr > 0.3 THEN -0.15 ELSE 0.0 END) + (CASE WHEN rr > 0.4 THEN -0.3 WHEN rr > 0.25 THEN -0.15 ELSE 0.0 END) + "
-    + " + ".join(f"(CASE WHEN {c} THEN {v} ELSE 0.0 END)" for c, v in (
+    "round(greatest(0.0, least(1.0, 0.5 + (CASE WHEN mr > 0.5 THEN -0.3 WHEN mr > 0.3 THEN -0.15 ELSE 0.0 END) + (CASE WHEN rr > 0.4 THEN -0.3 WHEN rr > 0.25 THEN -0.15 ELSE 0.0 END) + "
+    + " + ".join(_points(c, v) for c, v in (
+        ("len(list_filter(romans, lambda s: length(s) - length(replace(s, '~', '')) >= 2)) > 0", -0.2), ("NOT contains(y, '=') AND len(list_filter(regexp_extract_all(bare, '[a-zA-Z]+'), lambda w: length(w) = 1)) >= 4", -0.15),
         (r"contains(y, '\scriptstyle') AND length(y) > 50", -0.15), ("length(y) < 5", -0.2), ("length(y) > 500", -0.15), (sql_count("y", r"\mathcal") + " >= 3", -0.2), (sql_count("y", r"\mathcal") + " = 2", -0.1),
-        (r"contains(y, '\Xi')", -0.1), (r"contains(y, '\Upsilon')", -0.1), (r"contains(y, '\Digamma')", -0.1), ("contains(y, '(,')", -0.2), (r"regexp_matches(y, '\\frac\{[01]\}\{[01]\}')", -0.15), (r"contains(y, '\div')", -0.15),
-        (r"regexp_matches(y, '\\hat\{\\[a-zA-Z]+')", -0.15), (r"contains(y, '\varrho')", -0.15), (r"regexp_matches(y, '_\{?\d{3,}')", -0.15), (r"contains(y, '\frac') AND NOT contains(y, '=') AND contains(y, '\int')", -0.1),
-        *((f"contains(y, '{s}')", 0.05) for s in C.SCORE_REWARDS), ("regexp_matches(y, '[+=<>-]')", 0.05), (r"regexp_matches(regexp_replace(regexp_replace(y, '\\[a-zA-Z]+', '', 'g'), '[{}\s]', '', 'g'), '^.+=.+')", 0.05)))
-    + " - 0.1 * " + sql_count("y", r"\sim") + ")), 6)"
+        (holds("y", C.SCORE_GARBAGE), -0.3), (r"regexp_matches(bare, '^[A-Za-z]{1,5}\s*/\s*[A-Za-z]{1,5}\s*=')", -0.15), (r"contains(y, '\frac') AND NOT contains(y, '=') AND NOT contains(y, '\int')", -0.1), ("regexp_matches(bare, '.+=.+')", 0.05),
+        *((f"contains(y, '{s}')", v) for s, v in C.SCORE_CONTAINED), *((f"regexp_matches(y, '{s}')", v) for s, v in C.SCORE_PATTERNS)))
+    + " - 0.1 * " + sql_count("y", r"\sim") + " - 0.15 * (" + " + ".join(sql_count("y", a) for a in C.ARROWS)
+    + r" + greatest(0, len(list_filter(regexp_extract_all(y, '\\[a-zA-Z]+'), lambda c: c = '\to')) - contains(y, '\lim')::INTEGER))"
+    + r" - 0.25 * len(regexp_extract_all(y, '\\(?:Longleftrightarrow|Leftrightarrow|longleftrightarrow|leftrightarrow|Longrightarrow|Rightarrow|rightarrow|longrightarrow)\s*[_^]\{')))), 6)"
 )
-RATIOS = r"""(SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(y, '\\mathrm\{([^}]*)\}', 1), lambda s: length(s))), 0)::DOUBLE / greatest(length(y), 1) AS mr, coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace(y, '\\[a-zA-Z]+', '', 'g'), '([a-zA-Z]{4,})', 1), lambda s: length(s))), 0)::DOUBLE / greatest(length(y), 1) AS rr FROM f)"""
+RATIOS = r"""(SELECT *, coalesce(list_sum(list_transform(romans, lambda s: length(s))), 0)::DOUBLE / greatest(length(y), 1) AS mr, coalesce(list_sum(list_transform(regexp_extract_all(bare, '[a-zA-Z]{4,}'), lambda s: length(s))), 0)::DOUBLE / greatest(length(y), 1) AS rr
+  FROM (SELECT *, regexp_extract_all(y, '\\mathrm\{([^}]*)\}', 1) AS romans, regexp_replace(regexp_replace(y, '\\[a-zA-Z]+', '', 'g'), '[{}\[\]()^_$\\]', '', 'g') AS bare FROM f))"""
 
 
 @query("ocr_score", f"WITH {LATEX_ROWS} SELECT p_partkey, CASE WHEN y = '' THEN 0.0::DOUBLE ELSE {SCORE_SQL}::DOUBLE END AS score FROM {RATIOS}")
@@ -412,11 +419,12 @@ def interleave(spark, d):
 
 
 def _papers(spark, d):
-    """One row a document: title, abstract, keywords, sections, refs."""
+    """One row a document: title, authors, abstract, keywords, sections, refs."""
     b = fx.paper_blocks(spark, d)
     s = structure.sections(b).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "heading", "depth", "body"))).alias("sections"))
     r = structure.references(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda z: z["text"]).alias("refs"))
-    return structure.titles(b).join(structure.abstracts(b), "doc_id", "left").join(structure.keyword_lists(b), "doc_id", "left").join(s, "doc_id", "left").join(r, "doc_id", "left")
+    people = authors.authors(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", F.struct("name", "department", "organization", "city", "country", "email").alias("a")))), lambda z: z["a"]).alias("authors"))
+    return structure.titles(b).join(people, "doc_id", "left").withColumn("authors", canon.author_records(F.coalesce("authors", F.expr(f"cast(array() as {render.NO_AUTHORS})")))["value"]).join(structure.abstracts(b), "doc_id", "left").join(structure.keyword_lists(b), "doc_id", "left").join(s, "doc_id", "left").join(r, "doc_id", "left")
 
 
 TITLE_SQL = rf"""ti AS (SELECT doc_id, t AS title, length(t) >= 5 AND len(regexp_split_to_array(t, '\s+')) >= 2 AND length(t) <= 300 AND NOT {starts('lower(t)', ('http', 'doi:'))} AS ok FROM t0 WHERE block_idx = 0)"""
@@ -439,13 +447,13 @@ def canon_summary(spark, d):
     t = canon.title(F.col("title"), F.transform(F.coalesce("sections", F.array()), lambda s: s["heading"]), F.lit(""))
     a = canon.abstract(F.col("abstract"), F.lit(""), F.coalesce(F.get(bodies, 0), F.lit("")))
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return p.select("doc_id", canon.summary(t, a, F.lit(0), n("sections"), n("refs")).alias("summary"), canon.renderable(t, F.coalesce(bodies, F.array().cast("array<string>"))).alias("renderable"))
+    return p.select("doc_id", canon.summary(t, a, F.size("authors"), n("sections"), n("refs")).alias("summary"), canon.renderable(t, F.coalesce(bodies, F.array().cast("array<string>"))).alias("renderable"))
 
 
 def _render(layout_: str):
     def run(spark, d):
         p = _papers(spark, d)
-        tex = render.document(layout_, F.col("title"), F.coalesce("abstract", F.lit("")), F.coalesce("keywords", F.array().cast("array<string>")), F.col("sections"), F.coalesce("refs", F.array().cast("array<string>")))
+        tex = render.document(layout_, F.col("title"), F.coalesce("abstract", F.lit("")), F.coalesce("keywords", F.array().cast("array<string>")), F.col("sections"), F.coalesce("refs", F.array().cast("array<string>")), F.col("authors"))
         return p.where("sections is not null").select("doc_id", F.length(tex).alias("n_chars"), F.md5(tex).alias("digest"))
 
     return run

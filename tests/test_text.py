@@ -26,6 +26,16 @@ def test_heading_depth(spark):
     assert one(spark, "12", T.heading) is None
 
 
+def test_roman_heading(spark):
+    assert one(spark, "IV. Results", T.heading)["text"] == "Results" and one(spark, "I think so", T.heading) is None
+    assert one(spark, "II. Our own words", lambda x: T.heading(x, F.lit(12.0), F.lit(10.0)))["text"] == "Our own words"
+
+
+@pytest.mark.parametrize(("latex", "score"), [(r"a \to b", 0.35), (r"\frac{a}{b}", 0.45), (r"\lim_{x \to 0} x=1", 0.7), (r"Introduction=x", 0.0), (r"\Rightarrow_{a}b=c", 0.25)])
+def test_score_rules(spark, latex, score):
+    assert one(spark, latex, L.score) == pytest.approx(score)
+
+
 def test_sanitize(spark):
     assert one(spark, r"\left(a+b", L.sanitize) == r"\left(a+b\right."
     assert one(spark, "x}^{2}", L.sanitize) == "{x}^{2}"
