@@ -118,9 +118,9 @@ def trusted(latex: Column, confidence: Column) -> Column:
 def escape(x: Column) -> Column:
     """LaTeX specials escaped outside mathematics; commands stay.
 
-    Parts between dollar signs, commands, and single characters are tokens of one pattern.
+    Parts between dollar signs, commands, runs without specials, and single characters are tokens of one pattern.
     """
-    tokens = F.regexp_extract_all(x, F.lit(r"(?s)(\$[^$]*\$|\\[a-zA-Z]+|\\.|.)"), 1)
+    tokens = F.regexp_extract_all(x, F.lit(r"(?s)(\$[^$]*\$|\\[a-zA-Z]+|\\.|[^$\\&%#_{}~^]+|.)"), 1)
     each = lambda t: F.when(t.isin("&", "%", "#", "_", "{", "}"), F.concat(F.lit("\\"), t)).when(t == "~", r"\textasciitilde{}").when(t == "^", r"\textasciicircum{}").otherwise(t)
     return F.when(x.rlike(r"[&%#_{}~^]"), F.array_join(F.transform(tokens, each), "")).otherwise(x)
 

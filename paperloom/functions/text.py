@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+#: The characters of Unicode's White_Space property.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(x: Column) -> Column:
     """Without white space (Unicode) at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 def replace_all(x: Column, pairs) -> Column:
@@ -20,8 +25,20 @@ def replace_all(x: Column, pairs) -> Column:
 
 
 def matches_any(x: Column, patterns) -> Column:
-    """One alternation; a pattern's own case flag stays its own."""
-    return x.rlike("|".join(f"(?:{p})" for p in patterns))
+    """Whether any pattern occurs; a pattern's own case flag stays its own.
+
+    Anchored patterns are tried at the start only.  The others are searched where their first
+    literal occurs in any case, which is far cheaper than an alternation at every position.
+    """
+    anchored = [p for p in patterns if re.match(r"(\(\?i\))?\^", p)]
+    loose = [p for p in patterns if p not in anchored]
+    words = [re.match(r"\(\?i\)([A-Za-z:]+)(?![A-Za-z:?*+{|])", p) for p in loose]
+    any_of = lambda ps: "|".join(f"(?:{p})" for p in ps)
+    tests = [x.rlike(f"^(?:{any_of(anchored)})")] if anchored else []
+    if loose:
+        found = x.rlike(any_of(loose))
+        tests.append(contains_any(F.lower(x), sorted({w[1].lower() for w in words})) & found if all(words) else found)
+    return reduce(lambda a, b: a | b, tests)
 
 
 def starts_any(x: Column, prefixes) -> Column:
@@ -111,7 +128,7 @@ def heading(x: Column, size: Column | None = None, body: Column | None = None) -
     number, rest = F.regexp_extract(y, r"^(\d+\.?\d*\.?\d*\.?)\s+(.+)$", 1), strip(F.regexp_extract(y, r"^(\d+\.?\d*\.?\d*\.?)\s+(.+)$", 2))
     trimmed = F.regexp_replace(number, r"\.+$", "")
     depth = F.least(F.length(trimmed) - F.length(F.replace(trimmed, F.lit("."), F.lit(""))) + 1, F.lit(3))
-    out = F.when(is_metadata(y) | is_metadata(F.substring_index(y, "\n", 1)), None)
+    out = F.when(is_metadata(y) | y.contains("\n") & is_metadata(F.substring_index(y, "\n", 1)), None)
     header = rest.rlike(r"(?i)Page\s+\d+\s+of\s+\d+|Machine\s+Learning\s+\(\d{4}\)")
     ok = (F.length(rest) <= 80) & rest.rlike(r"\p{L}") & ~header
     roman = strip(F.regexp_extract(y, r"^([IVXivx]+\.?)\s+(.+)$", 2))

@@ -423,8 +423,9 @@ def _papers(spark, d):
     b = fx.paper_blocks(spark, d)
     s = structure.sections(b).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "heading", "depth", "body"))).alias("sections"))
     r = structure.references(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda z: z["text"]).alias("refs"))
-    people = authors.authors(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", F.struct("name", "department", "organization", "city", "country", "email").alias("a")))), lambda z: z["a"]).alias("authors"))
-    return structure.titles(b).join(people, "doc_id", "left").withColumn("authors", canon.author_records(F.coalesce("authors", F.expr(f"cast(array() as {render.NO_AUTHORS})")))["value"]).join(structure.abstracts(b), "doc_id", "left").join(structure.keyword_lists(b), "doc_id", "left").join(s, "doc_id", "left").join(r, "doc_id", "left")
+    t = structure.titles(b)
+    people = authors.authors(b, t).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", F.struct("name", "department", "organization", "city", "country", "email").alias("a")))), lambda z: z["a"]).alias("authors"))
+    return t.join(people, "doc_id", "left").withColumn("authors", canon.author_records(F.coalesce("authors", F.expr(f"cast(array() as {render.NO_AUTHORS})")))["value"]).join(structure.abstracts(b), "doc_id", "left").join(structure.keyword_lists(b), "doc_id", "left").join(s, "doc_id", "left").join(r, "doc_id", "left")
 
 
 TITLE_SQL = rf"""ti AS (SELECT doc_id, t AS title, length(t) >= 5 AND len(regexp_split_to_array(t, '\s+')) >= 2 AND length(t) <= 300 AND NOT {starts('lower(t)', ('http', 'doi:'))} AS ok FROM t0 WHERE block_idx = 0)"""
@@ -454,7 +455,7 @@ def _render(layout_: str):
     def run(spark, d):
         p = _papers(spark, d)
         tex = render.document(layout_, F.col("title"), F.coalesce("abstract", F.lit("")), F.coalesce("keywords", F.array().cast("array<string>")), F.col("sections"), F.coalesce("refs", F.array().cast("array<string>")), F.col("authors"))
-        return p.where("sections is not null").select("doc_id", F.length(tex).alias("n_chars"), F.md5(tex).alias("digest"))
+        return p.where("sections is not null").select("doc_id", tex.alias("tex")).select("doc_id", F.length("tex").alias("n_chars"), F.md5("tex").alias("digest"))
 
     return run
 

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom import constants as C
 from paperloom.functions import latex as L
 from paperloom.functions import text as T
 from paperloom.operators import layout, structure
@@ -68,3 +71,24 @@ def test_place(spark):
     items = spark.createDataFrame([(1, 0, 0, 620.28), (1, 1, -1, 0.0)], "doc_id int, item_idx int, page int, y double")
     starts = spark.createDataFrame([(1, 0, 0, 532.2), (1, 1, 0, 631.8)], "doc_id int, section_idx int, page int, y double")
     assert {(r["item_idx"], r["section_idx"]) for r in structure.place(items, starts).collect()} == {(0, 0), (1, 0)}
+
+
+def test_pattern_lists_match_as_one_alternation(spark):
+    """Anchored and gated searches find what one alternation over all patterns finds."""
+    rows = ["", " 12 ", "12 34", "12      x", "Vol. 3", "see VOL. 3", "volume IX", "doi: 1", "xx Doi:10.5 yy", "xx doi:20.5", "2020 ieee", "© 2020", "an issn 1234-5678", "ISSN", "Authorized licensed use", "not Authorized licensed use",
+            "1-2-3-4", "arXiv:12.3", "see arXiv:12.3", "https://a", "on Page 3 of 9", "page three", "Machine Learning (2020) 1:2", "Machine learning", "12 Page 3 of 4", "a creative  Commons attribution", "creative", "Article is licensed under", "an article is  licensed under it",
+            "Received 3 May, accepted 4", "was received 3 and accepted 4 then", "received", "a@b.cz", "issue 4", "12 University of X", "plain", "x\nPage 1 of 2"]
+    df = spark.createDataFrame([(r,) for r in rows], "x string")
+    for patterns in (C.METADATA_PATTERNS, T.JUNK_REFERENCES):
+        got = df.select(T.matches_any(F.col("x"), patterns).alias("a"), F.col("x").rlike("|".join(f"(?:{p})" for p in patterns)).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and {r.a for r in got} == {True, False}
+
+
+def test_strip_and_escape_as_their_plain_patterns(spark):
+    rows = ["", " \t\n", " a b　\n", " x ", "​kept​", "a", "50% $a_b$ {x} \\alpha \\& ~^ $ 3_4", "tail \\", "$open _x", "a\nb & c"]
+    df = spark.createDataFrame([(r,) for r in rows], "x string")
+    got = df.select(T.strip(F.col("x")).alias("a"), F.regexp_replace("x", r"(?U)^\s+|\s+$", "").alias("b"), L.escape(F.col("x")).alias("e")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    marks = {"~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+    token = re.compile(r"(?s)(\$[^$]*\$|\\[a-zA-Z]+|\\.|.)")
+    assert [r.e for r in got] == ["".join("\\" + t if t in "&%#_{}" else marks.get(t, t) for t in token.findall(r)) for r in rows]
