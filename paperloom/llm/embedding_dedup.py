@@ -6,9 +6,11 @@ with the next ``WINDOW`` ones; links at or above the threshold, verified in doub
 united across passes.  Sorting is by range, so a hot label spreads over tasks, and the
 windows that span two tasks are compared from the tasks' edge rows.
 
-A window is a cap on neighbours, so links inside the components found are then counted
-exactly: small components together in tasks of bounded size, large ones in blocks against
-blocks, which emit counts and never pairs.
+A window is a cap on neighbours, so the passes only start the components.  A sweep then
+compares all classes of a label exactly, in blocks against blocks: it counts every link and joins
+the components that the passes left apart.  It emits counts and roots, never pairs, and leaves out
+only pairs of blocks whose bounding angles rule a link out.  Its work grows with the square of
+a label's size where the vectors have no structure.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows
 with a null label, link with nothing and are their own component; vectors of different
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_array, write_file
 from .components import components
 
 THRESHOLD = 0.98
@@ -29,7 +31,6 @@ PASSES = 10
 WINDOW = 24
 BITS = 64
 BLOCK = 1024
-GATHER = 4096
 
 
 def _projections(dim: int, which: int):
@@ -147,43 +148,134 @@ def one_pass(classes: DataFrame, which: int, scratch: Scratch, threshold: float,
     return out.where("at is null").select("a", "b").unionByName(out.where("at is not null").select("a", "at", "k", "label", "unit").groupBy("at").applyInPandas(across, "a long, b long"))
 
 
-def exact_counts(members: DataFrame, threshold: float, block: int = BLOCK, gather: int = GATHER) -> DataFrame:
-    """members (root, size, node, mult, unit) -> (node, n): vectors of the component at or above the threshold."""
+def write_blocks(members: DataFrame, folder: str, block: int) -> DataFrame:
+    """members (label, node, mult, root, unit) -> one row for each file of up to ``block`` vectors of one length, in order of label.
+
+    A block's centre and the largest angle to it bound every angle between two blocks.
+    """
+
+    def run(batches):
+        import json
 
-    def together(frame):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import uuid
+
+        def written(rows):
+            u = np.stack([np.frombuffer(r[4]) for r in rows])
+            labels = sorted({r[0] for r in rows})
+            code = {x: k for k, x in enumerate(labels)}
+            numbers = np.array([[r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [code[r[0]] for r in rows]], np.int64)
+            uri = f"{folder}/{uuid.uuid4().hex}"
+            write_file(uri, u.tobytes(), numbers.tobytes(), json.dumps(labels).encode())
+            centre = u.mean(0)
+            norm = np.linalg.norm(centre)
+            centre = centre / norm if norm > 1e-9 else u[0]
+            wide = float(np.arccos(np.clip(u @ centre, -1, 1)).max())
+            names = ("uri", "rows", "dim", "first", "last", "centre", "wide")
+            return pa.RecordBatch.from_pylist([dict(zip(names, (uri, len(rows), u.shape[1], labels[0], labels[-1], centre.tobytes(), wide)))], schema=schema)
+
+        schema = pa.schema([("uri", pa.string()), ("rows", pa.int64()), ("dim", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("centre", pa.binary()), ("wide", pa.float64())])
+        rows: list = []
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if rows and (len(rows) == block or len(rows[0][4]) != len(r[4])):
+                    yield written(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield written(rows)
+
+    key = ("dim", "label", "root", "node")
+    ordered = members.withColumn("dim", F.length("unit")).repartitionByRange(*key).sortWithinPartitions(*key)
+    return ordered.select("label", "node", "mult", "root", "unit").mapInArrow(run, "uri string, rows long, dim long, first string, last string, centre binary, wide double")
+
+
+def read_block(uri: str, rows: int, dim: int):
+    """units, node, mult, root, label code, labels."""
+    import json
+
+    import numpy as np
+
+    raw = map_array(uri, np.uint8)
+    end = rows * dim * 8
+    numbers = np.frombuffer(raw[end : end + 32 * rows].tobytes(), np.int64).reshape(4, rows)
+    return np.frombuffer(raw[:end].tobytes()).reshape(rows, dim), *numbers, json.loads(raw[end + 32 * rows :].tobytes())
+
 
-        out = []
-        for _, g in frame.groupby(["root", frame["unit"].map(len)], sort=False):
-            u = np.stack([np.frombuffer(x) for x in g["unit"]])
-            out.append(pd.DataFrame({"node": g["node"].to_numpy(), "n": (u @ u.T >= threshold) @ g["mult"].to_numpy()}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "n": []}).astype("int64")
+def linked(u, v, threshold: float):
+    """Which rows of u and v are at or above the threshold in double precision; single precision decides the clear ones."""
+    import numpy as np
+
+    s = u.astype(np.float32) @ v.astype(np.float32).T
+    margin = (u.shape[1] + 8) * 2.0**-22
+    hit = s >= threshold + margin
+    r, c = np.nonzero((s >= threshold - margin) & ~hit)
+    step = max(1, (1 << 20) // u.shape[1])
+    for lo in range(0, len(r), step):
+        i, j = r[lo : lo + step], c[lo : lo + step]
+        hit[i, j] = np.einsum("ij,ij->i", u[i], v[j]) >= threshold
+    return hit
+
+
+def sweep(spark: SparkSession, blocks: list, threshold: float) -> DataFrame:
+    """(node, n) for every node: vectors of its label at or above the threshold; (a, b): roots that such a pair joins.
+
+    Every block meets all blocks that share a label with it, but for those whose bounds say
+    that no pair can link.  A task reads its partners one after the other and emits one count a node.
+    """
+
+    def run(batches):
+        import math
 
-    def blocks(frame):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+
+        def allowed(x, y):
+            if x["dim"] != y["dim"] or x["first"] > y["last"] or y["first"] > x["last"]:
+                return False
+            cosine = float(np.clip(np.frombuffer(x["centre"]) @ np.frombuffer(y["centre"]), -1, 1))
+            return math.acos(cosine) - x["wide"] - y["wide"] <= math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
-        out = []
-        for _, g in frame.groupby(frame["unit"].map(len), sort=False):
-            rows, cols = g[g["side"] == 0], g[g["side"] == 1]
-            if len(rows) and len(cols):
-                u, v = (np.stack([np.frombuffer(x) for x in s["unit"]]) for s in (rows, cols))
-                out.append(pd.DataFrame({"node": rows["node"].to_numpy(), "n": (u @ v.T >= threshold) @ cols["mult"].to_numpy()}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "n": []}).astype("int64")
-
-    total = max(1, members.count())
-    bucket = F.pmod(F.xxhash64("root"), F.lit(max(1, total // gather)))
-    small = members.where(F.col("size") <= block).withColumn("g", bucket).groupBy("g").applyInPandas(together, "node long, n long")
-    large = members.where(F.col("size") > block).withColumn("parts", F.ceil(F.col("size") / block)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    cells = large.withColumn("o", others).select("root", F.col("own").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "node", "mult", "unit")
-    cells = cells.unionByName(large.withColumn("o", others).select("root", F.col("o").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "mult", "unit"))
-    big = cells.groupBy("root", "i", "j").applyInPandas(blocks, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    return small.unionByName(big)
-
-
-def groups(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                mine = blocks[at]
+                u, node, mult, root, code, labels = read_block(mine["uri"], mine["rows"], mine["dim"])
+                n, links = np.zeros(len(u), np.int64), []
+                parent.clear()
+                for k, other in enumerate(blocks):
+                    if not allowed(mine, other):
+                        continue
+                    v, _, times, far, theirs, names = read_block(other["uri"], other["rows"], other["dim"])
+                    hit = linked(u, v, threshold)
+                    if len(labels) > 1 or len(names) > 1:
+                        own = {x: i for i, x in enumerate(labels)}
+                        hit &= code[:, None] == np.array([own.get(x, -1) for x in names])[theirs][None]
+                    n += hit @ times
+                    if k >= at:
+                        i, j = np.nonzero(hit & (root[:, None] != far[None]))
+                        for x, y in np.unique(np.stack([root[i], far[j]], 1), axis=0).tolist():
+                            x, y = find(x), find(y)
+                            if x != y:
+                                parent[max(x, y)] = min(x, y)
+                                links.append((x, y))
+                none = [None] * len(links)
+                a, z = ([x for x, _ in links], [y for _, y in links])
+                blank = [None] * len(node)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([*node.tolist(), *none], [*n.tolist(), *none], [*blank, *a], [*blank, *z])], names=["node", "n", "a", "b"])
+
+    return spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInArrow(run, "node long, n long, a long, b long")
+
+
+def groups(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id for each row."""
     rows = scratch.save(prepare(vectors), "rows")
     live = rows.where("cid is not null")
@@ -195,11 +287,15 @@ def groups(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, p
     links = scratch.save(links.distinct(), "links")
     scratch.drop(*[f"pass{p}" for p in range(passes)])
     roots = scratch.save(components(links, scratch), "roots")
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = scratch.save(classes.join(roots, "node").join(sizes, "root").select("root", "size", "node", "mult", "unit"), "members")
-    counts = scratch.save(exact_counts(members, threshold), "counts")
-    scratch.drop("members")
-    named = classes.select("cid", "node", "mult").join(roots, "node", "left").join(counts, "node", "left").select("cid", F.coalesce("root", "node").alias("root"), (F.coalesce("n", "mult") - 1).alias("n_links"))
+    members = classes.join(roots, "node", "left").select("label", "node", "mult", F.coalesce("root", "node").alias("root"), "unit")
+    blocks = scratch.save(write_blocks(members, f"{scratch.path}/blocks", block), "listed")
+    listed = [r.asDict() for r in blocks.orderBy("dim", "first", "last", "uri").collect()]
+    swept = scratch.save(sweep(scratch.spark, listed, threshold), "swept")
+    scratch.drop("blocks")
+    merged = scratch.save(components(swept.where("a is not null").select("a", "b"), scratch, "cm").toDF("root", "merged"), "merged")
+    counts = swept.where("node is not null").select("node", "n")
+    named = classes.select("cid", "node").join(roots, "node", "left").join(counts, "node").withColumn("root", F.coalesce("root", "node")).join(merged, "root", "left")
+    named = named.select("cid", F.coalesce("merged", "root").alias("root"), (F.col("n") - 1).alias("n_links"))
     out = live.select("vec_id", "cid").join(named, "cid").select("vec_id", "n_links", F.col("root").alias("component_id"))
     return out.unionByName(rows.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 

@@ -173,6 +173,26 @@ def test_vectors(spark):
     assert embedding_dedup.groups(none, Scratch(spark, "e")).count() == 0 and ann.search(none, Scratch(spark, "a")).count() == 0
 
 
+def test_vectors_dense(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, side = 3000, unit(rng.standard_normal((1500, 64)))
+    near = math.sqrt(0.95) * unit(rng.standard_normal(64)) + math.sqrt(0.05) * side  # all pairs about 0.95
+    u = np.concatenate([near, unit(near + math.sqrt(1 / 0.981**2 - 1) * unit(rng.standard_normal((1500, 64))))])
+    t = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(u)], "vec_id long, label int, embedding array<double>")
+    x = unit(u)
+    hit = x @ x.T >= 0.98
+    root = np.arange(n)
+    while True:
+        low = np.where(hit, root[None], n).min(1)
+        if (low == root).all():
+            break
+        root = low
+    got = {r["vec_id"]: r for r in embedding_dedup.groups(t, Scratch(spark, "d"), block=500).collect()}
+    assert [got[i]["n_links"] for i in range(n)] == (hit.sum(1) - 1).tolist() and hit.sum() > n + 2000
+    assert [got[i]["component_id"] for i in range(n)] == root.tolist()
+
+
 def test_toxicity(spark, empty):
     rows = [(i, passage(i) + (" awful scoundrel" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(200)]
     d = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(500, None), (501, "")], "doc_id long, text string")
