@@ -47,14 +47,33 @@ def keyword_lists(blocks: DataFrame) -> DataFrame:
     return k.groupBy("doc_id").agg(F.min_by("keywords", "block_idx").alias("keywords"))
 
 
+def headings(blocks: DataFrame) -> DataFrame:
+    """The blocks with their heading h (text, depth), or null.
+
+    Print size tells headings only behind the abstract or a heading line, so titles are none.
+    Blocks without a column of sizes have headings by their wording alone.
+    """
+    if "size" not in blocks.columns:
+        return blocks.withColumn("h", T.heading(F.col("text")))
+    w = Window.partitionBy("doc_id").orderBy("block_idx")
+    after = F.max(F.lower(T.strip(F.col("text"))).startswith("abstract").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    line = F.max(T.is_heading_line(F.col("text")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    sized = blocks.join(body_size(blocks).withColumnRenamed("body", "__body"), "doc_id", "left")
+    sized = sized.withColumn("__size", F.when((after == 1) | (line == 1), F.col("size")))
+    return sized.withColumn("h", T.heading(F.col("text"), F.col("__size"), F.col("__body"))).drop("__size", "__body")
+
+
 def sections(blocks: DataFrame) -> DataFrame:
     """doc_id, section_idx, heading, depth, body, start_page: blocks between headings, up to the references.
 
-    A section needs a heading and a body; what stands before the first heading is left out.
+    A section needs a heading and a body; what stands before the first heading is left out, as
+    are metadata lines of a block.
     """
     w = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
     y = T.strip(F.col("text"))
-    marked = blocks.withColumn("h", T.heading(F.col("text"))).withColumn("refs", F.max(F.lower(y).rlike(r"^(references|bibliography)\s*$").cast("int")).over(w))
+    own = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: ~T.is_metadata(x))
+    lined = blocks.withColumn("text", F.when(F.contains("text", F.lit("\n")), F.array_join(own, "\n")).otherwise(F.col("text")))
+    marked = headings(lined).withColumn("refs", F.max(F.lower(y).rlike(r"^(references|bibliography)\s*$").cast("int")).over(w))
     marked = marked.withColumn("sid", F.sum(F.col("h").isNotNull().cast("int")).over(w)).where((F.col("refs") == 0) & (F.col("sid") > 0) & ~T.is_metadata(F.col("text")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("h").isNull(), F.struct("block_idx", "text")))), lambda s: T.strip(s["text"])), "\n\n")
     made = marked.groupBy("doc_id", "sid").agg(F.max("h.text").alias("heading"), F.max("h.depth").alias("depth"), body.alias("body"), F.min_by("page", "block_idx").alias("start_page")).where("body <> ''")
@@ -62,12 +81,13 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 
 def references(blocks: DataFrame) -> DataFrame:
-    """doc_id, ref_idx, text: parsed, junk dropped, first of equal beginnings kept, numbered anew."""
+    """doc_id, ref_idx, text: lines folded into entries, junk dropped, first of equal beginnings kept, numbered anew."""
     w = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
     y = T.strip(F.col("text"))
     after = blocks.withColumn("refs", F.max(F.lower(y).rlike(r"^(references|bibliography)\s*$").cast("int")).over(w)).where("refs = 1")
-    parsed = after.where(~T.junk_reference(F.col("text"))).withColumn("r", T.parse_reference(F.col("text"))).where("r is not null")
-    return clean_references(parsed.select("doc_id", F.col("block_idx").alias("idx"), F.col("r.text").alias("text")))
+    lines = after.select("doc_id", "block_idx", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    folded = fold_reference_lines(lines.select("doc_id", F.struct("block_idx", "n").alias("line_idx"), "line"))
+    return clean_references(folded.select("doc_id", F.posexplode("refs").alias("idx", "r")).select("doc_id", "idx", F.col("r.text").alias("text")))
 
 
 def clean_references(refs: DataFrame) -> DataFrame:

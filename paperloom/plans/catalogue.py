@@ -174,7 +174,7 @@ HEADLINE_SQL = rf"((regexp_matches(t, '^\d+\.?\d*\.?\d*\.?\s+\p{{Lu}}') AND leng
 
 @query("heading_detect", f"WITH {PAPER} SELECT doc_id, block_idx, hd AS heading, depth0 AS depth FROM {sql_heading('t0')} WHERE hd IS NOT NULL")
 def heading_detect(spark, d):
-    h = fx.paper_blocks(spark, d).withColumn("h", T.heading(F.col("text"))).where("h is not null")
+    h = structure.headings(fx.paper_blocks(spark, d)).where("h is not null")
     return h.select("doc_id", "block_idx", F.col("h.text").alias("heading"), F.col("h.depth").alias("depth"))
 
 

@@ -67,6 +67,15 @@ def test_reference_fold(spark):
     assert [r["text"] for r in got] == ["Butkovic, P.: Max-linear systems: theory and algorithms pp. 12-40, Springer"]
 
 
+def test_large_print_and_wrapped_references(spark):
+    blocks = [("A Paper With a Large Title", 16.0), ("Abstract", 12.0), ("What it says in short", 10.0), ("Proposed Method", 12.0), ("Page 3 of 9\nFirst line of it\nand more", 10.0), ("IV. Our own words", 11.2), ("Body text of ours", 10.0), ("Of one size", 11.0), ("References", 12.0),
+              ("[1] Butkovic, P.: Max-linear systems: theory\nand algorithms, Springer\n[2] Szabo, P.: An iterative algorithm", 10.0), ("for computing the cycle mean of a matrix", 10.0)]
+    b = spark.createDataFrame([(1, i, t, 0, s) for i, (t, s) in enumerate(blocks)], "doc_id int, block_idx int, text string, page int, size double")
+    assert [(r["h"]["text"], r["h"]["depth"]) for r in structure.headings(b).orderBy("block_idx").collect() if r["h"] and r["block_idx"] in (0, 3, 5, 7)] == [("Proposed Method", 1), ("Our own words", 1)]
+    assert [(r["heading"], r["body"]) for r in structure.sections(b).orderBy("section_idx").collect() if r["heading"].lower() != "abstract"] == [("Proposed Method", "First line of it\nand more"), ("Our own words", "Body text of ours\n\nOf one size")]
+    assert [r["text"] for r in structure.references(b).orderBy("ref_idx").collect()] == ["Butkovic, P.: Max-linear systems: theory and algorithms, Springer", "Szabo, P.: An iterative algorithm for computing the cycle mean of a matrix"]
+
+
 def test_place(spark):
     items = spark.createDataFrame([(1, 0, 0, 620.28), (1, 1, -1, 0.0)], "doc_id int, item_idx int, page int, y double")
     starts = spark.createDataFrame([(1, 0, 0, 532.2), (1, 1, 0, 631.8)], "doc_id int, section_idx int, page int, y double")
