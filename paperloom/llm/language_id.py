@@ -165,8 +165,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language; those without text or letters go.  Columns as given."""
-    return identify(docs, fit(docs), docs.columns).where(F.col("__lang") != "und").select(*docs.columns)
+    """The documents with text and a letter, whether or not a language was learned.  Columns as given."""
+    # Without a learned language 'und' has score 0; without a letter, 1.
+    return identify(docs, fit(docs), docs.columns).where((F.col("__lang") != "und") | (F.col("__score") == 0)).select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,11 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
 
 
+def test_keep_without_languages(spark):
+    d = spark.createDataFrame([(1, "some words", None), (2, None, None), (3, "12 !", None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language_id.keep_identified(d).collect()] == [1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
