@@ -31,7 +31,6 @@ SAMPLE_ROWS = 12_000  # expected labelled rows of the fit
 PREFIXES = (4, 6)
 PRIOR = 8.0
 DRIFT = 1.2
-LEAST_DOCS = 4
 SIGNIFICANT = 0.01
 CACHE_WORDS = 200_000
 STRIP = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -121,19 +120,22 @@ def word_scores(words: list[bytes], cache) -> "object":
 
 
 def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prior: float = PRIOR) -> dict[str, float]:
-    """Shrunk log-odds of each unit; a unit without evidence beyond its parent's is left out."""
+    """Shrunk log-odds of each unit; a unit with its parent's odds is left out."""
     rate0 = toxic / (toxic + clean)
     base = math.log(rate0 / (1 - rate0))
     rate: dict[str, float] = {}
-    out: dict[str, float] = {}
+    kept: dict[str, float] = {}
     for u in sorted(counts, key=lambda u: (not u.endswith("*"), len(u), u)):
         t, c = counts[u]
         stem = u[:-1] if u.endswith("*") else u
         parents = [f"{stem[:k]}*" for k in reversed(PREFIXES) if (k < len(stem) if u.endswith("*") else k <= len(stem))]
         parent = next((rate[p] for p in parents if p in rate), rate0)
-        rate[u] = (t + prior * parent) / (t + c + prior)
-        out[u] = math.log(rate[u] / (1 - rate[u])) - base
-    return {u: s for u, s in out.items() if abs(s) > DRIFT}
+        own = (t + prior * parent) / (t + c + prior)
+        if u.endswith("*"):
+            rate[u] = own
+        if own != parent:
+            kept[u] = math.log(own / (1 - own)) - base
+    return kept
 
 
 def extreme_value(clean: list[tuple[float, int]], background: dict[float, float]) -> tuple[float, float]:
@@ -193,9 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
     if not size.get(1) or not size.get(0):
         return Model(only=1.0 if size.get(1) else 0.0)
     table = sample.mapInArrow(tidy(frequencies), "u string, t long, c long").groupBy("u").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # Bounded by the sample: only units with toxic evidence or enough of the other can leave the prior.
-    strong = table.where((F.col("t") >= LEAST_DOCS) & (F.col("t") * size[0] > F.col("c") * size[1]) | (F.col("c") >= 4 * LEAST_DOCS * size[0] / size[1]) & (2 * F.col("t") * size[0] < F.col("c") * size[1]))
-    odds = log_odds({r["u"]: (r["t"], r["c"]) for r in strong.collect()}, size[1], size[0])
+    # Bounded by the sample.  Clean and neutral units stay: without them a word takes its prefix's score.
+    found = table.toArrow()
+    odds = log_odds(dict(zip(found["u"].to_pylist(), zip(found["t"].to_pylist(), found["c"].to_pylist()))), size[1], size[0])
+    del found
     model = Model(odds=odds)
 
     def measure(batches):

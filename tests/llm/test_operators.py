@@ -203,6 +203,15 @@ def test_toxicity(spark, empty):
     assert toxicity.fit(empty, labels.where("false"), Scratch(spark, "t")).only == 0.0
 
 
+def test_clean_words_under_toxic_prefixes(spark):
+    rows = [(i, passage(i) + (" scoundrel" if i % 5 == 0 else " scoundry" if i % 16 == 1 else ""), int(i % 5 == 0)) for i in range(200)]
+    d = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int"), Scratch(spark, "t"))
+    assert model.word(b"scoundry") < 0 < model.word(b"scoundrel")
+    odds = toxicity.log_odds({"scou*": (40, 40), "scound": (30, 0), "scoury": (4, 16)}, 100, 400)
+    assert odds["scoury"] < odds["scou*"] < odds["scound"]
+
+
 def test_segments():
     def brute(s):  # of all windows no longer or shorter one that touches has a higher score
         best, out = None, []
