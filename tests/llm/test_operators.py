@@ -193,6 +193,24 @@ def test_vectors_dense(spark):
     assert [got[i]["component_id"] for i in range(n)] == root.tolist()
 
 
+def test_vectors_across_short_tasks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((30, 16))
+    x = np.concatenate([base + 0.08 * rng.standard_normal((30, 16)) for _ in range(2)])
+    t = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r["vec_id"]: r for r in embedding_dedup.groups(t, Scratch(spark, "w"), passes=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.98
+    assert [got[i]["n_links"] for i in range(60)] == (hit.sum(1) - 1).tolist() and hit.sum() > 100
+    assert [got[i]["component_id"] for i in range(60)] == hit.argmax(1).tolist()
+
+
 def test_toxicity(spark, empty):
     rows = [(i, passage(i) + (" awful scoundrel" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(200)]
     d = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(500, None), (501, "")], "doc_id long, text string")
