@@ -39,7 +39,7 @@ DIRECT_LISTS = 1_024  # more lists are found in two levels
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
 CHUNK = 256
-STEP = 16
+STEP = 8
 SIGMAS = 2.5
 AIM = 0.95
 EVERY = 100
