@@ -7,7 +7,9 @@ Words are the maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``: exact
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,37 +17,72 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+SLICE_BYTES = 8 << 20  # text whose words are looked at together
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor and the driver see: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder
+    takes its place; on a cluster an unset folder is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("paperloom.scratch", None)
         if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
             spark.conf.set("paperloom.scratch", root)
     return root.rstrip("/")
 
 
+def fresh(name: str, taken) -> str:
+    """The name, with as many underscores before it as keep it apart from those taken (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def extended(df: DataFrame, **kinds: str):
+    """The schema of a frame with further columns."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(k)) for n, k in kinds.items())])
+
+
+_opened: list[list] = []
+
+
+@contextlib.contextmanager
+def collected():
+    """The scratch folders that are opened inside, as a list."""
+    _opened.append([])
+    try:
+        yield _opened[-1]
+    finally:
+        _opened.pop()
+
+
 class Scratch:
     """Named tables in the shared folder.  They cut lineage and outlive any executor."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        for held in _opened:
+            held.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Delete the tables named, or the whole folder."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        for path in [f"{self.path}/{name}" for name in names] or [self.path]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -62,15 +99,57 @@ def local_path(uri: str) -> str | None:
     return path if fs.type_name == "local" else None
 
 
-def write_file(uri: str, *buffers) -> None:
-    """Write under a temporary name, then move into place: readers never see half a file."""
+@contextlib.contextmanager
+def written_file(uri: str):
+    """A stream to a temporary name, moved into place at the end: readers never see half a file."""
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
     with fs.open_output_stream(part) as out:
+        yield out
+    fs.move(part, path)
+
+
+def write_file(uri: str, *buffers) -> None:
+    with written_file(uri) as out:
         for b in buffers:
             out.write(b)
-    fs.move(part, path)
+
+
+def as_text(texts):
+    """An Arrow array of bytes as one of strings, unchecked."""
+    import pyarrow as pa
+
+    return texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
+
+
+def word_slices(texts, lower: bool = True, most: int = SLICE_BYTES):
+    """(rows, words, index, offsets) for slices of an Arrow array of text: of the slice's ``rows`` (a
+    range), row k's words are ``words[i]`` for i in ``index[offsets[k]:offsets[k + 1]]``.
+
+    ``words`` are distinct, so what is costly is done once a word; a slice holds about ``most`` bytes.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not len(texts):
+        return
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        texts = as_text(texts)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cut = np.flatnonzero(np.diff((ends - 1) // most)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
+        part = texts.slice(lo, hi - lo)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
+        offsets = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
+        coded = pc.dictionary_encode(split.flatten())
+        index, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_string()).view(pa.large_binary()).to_pylist()
+        if b"" in words:  # white space at an end of a text leaves an empty word
+            some = index != words.index(b"")
+            offsets = np.concatenate([[0], np.cumsum(some)])[offsets]
+            index = index[some]
+        yield range(lo, hi), words, index, offsets
 
 
 def map_array(uri: str, dtype):

@@ -3,8 +3,10 @@
 Features of a whole text: counts of byte trigrams (ASCII lower case), hashed to ``BUCKETS``,
 square-rooted and scaled to length one.  Languages fall into families by agglomerating their
 mean vectors.  Linear one-versus-one support vector machines choose the family; further ones
-separate the languages within it.  Fitted on a bounded sample: about ``PER_LANGUAGE`` rows a
-language, chosen by a hash of the id.
+separate the languages within it.  Every language that labels a row is learned, on a bounded
+sample: about ``PER_LANGUAGE`` rows each, fewer where there are so many languages that the sample
+would exceed ``SAMPLE_ROWS``, but always one at least.  Families hold at most twice the square
+root of the number of languages, so machines grow with its power of 3/2.
 
 Score: the product of the family's and the language's share of pairwise probabilities.
 Defined cases: ``und`` with score 1 for a null text or one without a letter; with no
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, Scratch, text_bytes, tidy
+from .common import extended, fresh, id_bucket, text_bytes, tidy
 
 BUCKETS = 4096
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 500  # the commonest are learned
+SAMPLE_ROWS = 16_000  # of the fit; one row a language where there are more languages
+CONFIDENCE = 1.2  # a score this many times what chance gives, one over the number of languages, decides
 
 
 def features(data: bytes):
@@ -72,14 +75,29 @@ def one_vs_one(X, y, classes: list):
     return out
 
 
-def families(centroids, most: int) -> list[list[int]]:
-    """Average-linkage agglomeration of class means until ``most`` families remain."""
-    groups = [[i] for i in range(len(centroids))]
-    sim = centroids @ centroids.T
+def families(centroids, most: int, largest: int | None = None) -> list[list[int]]:
+    """Average-linkage agglomeration of class means until ``most`` families remain, or none of at most ``largest`` can be joined."""
+    import numpy as np
+
+    n = len(centroids)
+    groups = {i: [i] for i in range(n)}
+    sim = (centroids @ centroids.T).astype(float)
+    sim[np.tril_indices(n)] = -np.inf
+    size = np.ones(n)
     while len(groups) > max(1, most):
-        _, a, b = max((sum(sim[x][y] for x in p for y in q) / len(p) / len(q), -i, -j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
-        groups[-a] += groups.pop(-b)
-    return [sorted(g) for g in groups]
+        open_ = np.where(size[:, None] + size[None] <= (largest or n), sim, -np.inf)
+        a, b = (int(i) for i in np.unravel_index(open_.argmax(), sim.shape))
+        if open_[a, b] == -np.inf:
+            break
+        both = np.maximum(sim, sim.T)
+        joined = (size[a] * both[a] + size[b] * both[b]) / (size[a] + size[b])
+        groups[a] += groups.pop(b)
+        size[a] += size[b]
+        sim[b], sim[:, b] = -np.inf, -np.inf
+        for j in groups:
+            if j != a:
+                sim[min(a, j), max(a, j)] = joined[j]
+    return sorted(sorted(g) for g in groups.values())
 
 
 @dataclass
@@ -113,15 +131,19 @@ class Model:
         return self.langs[self.groups[g][k]], max(0.0, min(1.0, fam[g] * inner[k]))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model:
     import numpy as np
 
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket(F.col("doc_id"), 5) != 0))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket(F.col("doc_id"), 5) != 0)).select("lang", "text", place.alias("place"))
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()  # a row a language
     if not counts:
         return Model([], [], [], [])
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    rows = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30))
+    per_language = max(1, min(per_language, sample_rows // len(counts)))
+    most = {r["lang"]: max(r["first"], int((1 << 30) * min(1.0, per_language / r["n"]))) for r in counts}
+    limits = F.broadcast(docs.sparkSession.createDataFrame(list(most.items()), "lang string, most long"))
+    # Rows that share an id share a place: of a repeated one at most twice the language's rows are taken.
+    rows = learn.join(limits, "lang").where("place <= most").drop("most").limit(2 * max(sample_rows, len(counts)))
 
     def vectors(batches):
         import pyarrow as pa
@@ -140,7 +162,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # What all languages share says nothing about kinship.
     centred = means - means.mean(0) * (len(langs) > 2)
     centred /= np.maximum(1e-9, np.linalg.norm(centred, axis=1, keepdims=True))
-    groups = families(centred, math.ceil(math.sqrt(len(langs))))
+    groups = families(centred, math.ceil(math.sqrt(len(langs))), max(2, 2 * math.ceil(math.sqrt(len(langs)))))
     family = np.array([next(g for g, m in enumerate(groups) if i in m) for i in range(len(langs))])[y]
     inner = []
     for m in groups:
@@ -149,25 +171,38 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(langs, groups, one_vs_one(X, family, groups), inner)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id by default) with __lang and __score."""
-    given = keep or ["doc_id"]
-    schema = docs.select(*given).schema.add("__lang", "string").add("__score", "double")
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """doc_id (or the columns of ``keep``) and, under the names given, language and score."""
+    given = docs.select(*[F.col(f"`{c}`") for c in keep or ["doc_id"]])
+    schema = extended(given, **dict(zip(names, ("string", "double"))))
+    wide = len(given.columns)
+    text, null = fresh("__text", given.columns), fresh("__null", given.columns)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = [model.predict(d.as_py(), n) for d, n in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(given))), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*given, "__lang", "__score"])
-
-    return docs.select(*given, text_bytes().alias("__text"), F.col("text").isNull().alias("__null")).mapInArrow(tidy(run), schema)
-
-
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with text and a letter, whether or not a language was learned.  Columns as given."""
-    # Without a learned language 'und' has score 0; without a letter, 1.
-    return identify(docs, fit(docs), docs.columns).where((F.col("__lang") != "und") | (F.col("__score") == 0)).select(*docs.columns)
+            found = [model.predict(d.as_py(), n) for d, n in zip(b.column(wide), b.column(wide + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in given.columns], text_bytes().alias(text), F.col("text").isNull().alias(null)).mapInArrow(tidy(run), schema)
+
+
+def keep_identified(docs: DataFrame, wanted: list[str] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """The documents in a wanted language (any learned one by default) whose score is at least
+    ``confidence`` times chance.  Columns as given, whatever their names.
+
+    A text without a letter goes.  Where no language was learned, every text with a letter stays.
+    """
+    model = fit(docs)
+    lang, score = names = tuple(fresh(n, docs.columns) for n in ("__lang", "__score"))
+    found = identify(docs, model, docs.columns, names)
+    if model.langs:
+        ok = (F.col(lang) != "und") & (F.col(score) * len(model.langs) >= min(confidence, len(model.langs)))
+        found = found.where(ok if wanted is None else ok & F.col(lang).isin(*wanted))
+    else:
+        found = found.where(F.col(score) == 0)  # 'und' has score 1 without a letter
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_array, Scratch, text_bytes, tidy, write_file
+from .common import SLICE_BYTES, Scratch, id_bucket, map_array, text_bytes, tidy, word_slices, write_file
 from .elias_fano import EliasFano, encode
 
 BLOCK_TOKENS = 1_500_000
@@ -112,11 +112,12 @@ def cut_blocks(docs: DataFrame, uri: str, modulus: int, held: int, block_tokens:
             return out
 
         for b in batches:
-            for doc_id, train, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                words = data.as_py().lower().split()
-                words.append(None)  # the end
-                rows.append((doc_id, train, np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))))
-                tokens += len(words)
+            keys, marks = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for span, words, index, offsets in word_slices(b.column(2), most=min(SLICE_BYTES, 8 * block_tokens)):
+                own = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))[index]
+                end = np.array([ids[None]], np.uint32)
+                rows += [(keys[k], marks[k], np.append(own[lo:hi], end)) for k, lo, hi in zip(span, offsets[:-1], offsets[1:])]
+                tokens += len(own) + len(span)
                 if tokens >= block_tokens:
                     yield close()
         if rows:

@@ -31,7 +31,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, Scratch, text_bytes, tidy
+from .common import Scratch, extended, fresh, text_bytes, tidy, word_slices
 from .components import components
 
 WORDS = 5
@@ -39,7 +39,6 @@ COORDINATES = 64
 MATCHES = 40
 PERCENT = 85
 HUBS = 3
-CACHE_WORDS = 200_000
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most; beyond, the join shuffles
 
 
@@ -60,20 +59,12 @@ def _mix(h):
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes() -> BoundedCache:
-    import xxhash
-
-    return BoundedCache(xxhash.xxh3_64_intdigest, CACHE_WORDS)
-
-
-def shingles(data: bytes, hashes, words: int = WORDS):
-    """Sorted distinct shingle hashes of the lower-cased text."""
+def shingles(w, words: int = WORDS):
+    """Sorted distinct shingle hashes of a text's word hashes."""
     import numpy as np
 
-    ws = data.lower().split()
-    if not ws:
+    if not len(w):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
     factors, _ = _constants(COORDINATES, words)
     if len(w) < words:
         h = np.array([len(w)], np.uint64)
@@ -86,6 +77,17 @@ def shingles(data: bytes, hashes, words: int = WORDS):
     return np.unique(_mix(h))
 
 
+def shingle_sets(texts):
+    """Each text's shingles, in order; a word is hashed once a slice."""
+    import numpy as np
+    import xxhash
+
+    for rows, words, index, offsets in word_slices(texts):
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        for k in range(len(rows)):
+            yield shingles(hashes[index[offsets[k] : offsets[k + 1]]])
+
+
 def signature(h):
     """The minimum of each coordinate's hash over the set."""
     import numpy as np
@@ -105,11 +107,9 @@ def sketches(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        hashes = word_hashes()
         for b in batches:
             n, sid, sig = [], [], []
-            for data in b.column(1):
-                h = shingles(data.as_py(), hashes)
+            for h in shingle_sets(b.column(1)):
                 n.append(len(h))
                 sid.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sig.append(signature(h))
@@ -127,9 +127,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = word_hashes()
         for b in batches:
-            sets = [shingles(d.as_py(), hashes) for d in b.column(1)]
+            sets = list(shingle_sets(b.column(1)))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
@@ -201,18 +200,47 @@ def groups(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, matches: i
     return found.unionByName(seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def with_set(docs: DataFrame, size: str, sid: str) -> DataFrame:
+    """The rows with the size and the hash of their text's set, under the names given."""
+    wide = len(docs.columns)
+    schema = extended(docs, **{size: "long", sid: "binary"})
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            sets = [(len(h), xxhash.xxh3_128_digest(h.tobytes())) for h in shingle_sets(b.column(wide))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], names=schema.names)
+
+    return docs.select("*", text_bytes().alias(fresh("__text", docs.columns))).mapInArrow(tidy(run), schema)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id.  Columns as given."""
+    """One document of each group: the one with the smallest id.  Columns as given.
+
+    Rows that share the id which stays: one for each different set of shingles.  Rows without id:
+    copies of a row with an id go, of others one for each set stays.  Texts without words stay.
+    """
     scratch = Scratch(docs.sparkSession, "near")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     found = scratch.save(groups(docs, scratch), "found")
-    gone = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = scratch.save(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    # Only rows whose id does not tell them apart are read again.
+    often = scratch.save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    some, none = not often.isEmpty(), not found.where("doc_id is null").isEmpty()
+    if not some and not none:
+        return kept.select(*columns)
+    size, sid = fresh("__size", docs.columns), fresh("__sid", docs.columns)
+    often = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
+    out = kept.where("doc_id is not null").join(often, "doc_id", "left_anti").select(*columns)
+    again = with_set(kept.where("doc_id is not null").join(often, "doc_id", "left_semi").select(*columns), size, sid)
+    nameless = with_set(kept.where("doc_id is null").select(*columns), size, sid)
+    named = docs.sparkSession.read.parquet(f"{scratch.path}/classes").where("node is not null").select(F.col("sid").alias(sid))
+    for rows, key in ((again, ["doc_id", sid]), (nameless.join(named, sid, "left_anti"), [sid])):
+        out = out.unionByName(rows.where(F.col(size) == 0).select(*columns)).unionByName(rows.where(F.col(size) > 0).dropDuplicates(key).select(*columns))
+    return out
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

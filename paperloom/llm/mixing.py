@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Scratch
+from .common import WORD_PATTERN, Scratch, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -31,22 +31,44 @@ FAN_BITS = 6
 LEAF = 16  # expected units in a leaf group
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def number_sources(per: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sources with ``number``, from 0, by code point, null last; no task sees them all.
+
+    They are dealt by range; a range's start is the sum of the ranges before it, one row a task.
+    """
+    order = F.col("source").cast("binary").asc_nulls_last()
+    dealt = scratch.save(per.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    counted = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("number", F.col("start") + F.col("place")).drop("range", "place", "start")
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target.  One row a source.
 
-    With caps c = most * size and weights w, the shares w * level, capped, must sum to the
-    total.  Sources reach their cap in the order of c / w, so prefix sums of caps and suffix
-    sums of weights give the level at every step; the first that caps nothing further holds.
+    Sources get weight times a level, at most their cap.  The level starts as if none were capped;
+    each round caps the sources above it and shares what is left among the others, until no
+    further one is.  A round is one aggregate; sums are of whole numbers, so reruns agree.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").cast("binary").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    stepped = per.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    found = stepped.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level").alias("level")))).over(everything)["level"])
-    return found.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    per = scratch.save(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights)).cast("int") + 1)
+    known = scratch.save(number_sources(per, scratch).withColumn("w", weight).drop("number"), "weighted")
+    total, level, capped = None, 0.0, 0
+    while True:
+        full = F.col("source_size") * F.lit(float(most)) <= F.col("w") * F.lit(level)
+        if total is None:
+            full = F.lit(False)
+        of = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+        r = known.agg(of(full, F.lit(1)).alias("n"), of(full, F.col("source_size")).alias("held"), of(~full, F.col("w")).alias("open"), of(F.lit(True), F.col("source_size")).alias("all")).first()
+        if total is not None and r["n"] == capped or not r["open"]:
+            break
+        total, capped = r["all"] * share, r["n"]
+        level = (total - r["held"] * most) / r["open"]
+    cap = F.col("source_size") * F.lit(float(most))
+    target = F.least(cap, F.col("w") * F.lit(level)) if total is None or r["open"] else cap
+    return known.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -82,7 +104,7 @@ def copies(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SH
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "source", "text").alias("h"),
     )
     units = scratch.save(sized.groupBy("h", "doc_id", "source").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size")), "units")
-    targets = scratch.save(source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most), "targets")
+    targets = scratch.save(source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), scratch, weights, share, most), "targets")
     n = units.count()
     depth = max(1, math.ceil((max(1.0, math.log2(max(1, n) / LEAF))) / FAN_BITS))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -113,10 +135,11 @@ def copies(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SH
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as the mix takes it; columns as given."""
     scratch = Scratch(docs.sparkSession, "mix")
-    taken = scratch.save(copies(docs, scratch, **options).where("copies > 0").select(F.col("h").alias("__h"), F.col("doc_id").alias("__id"), F.col("copies").alias("__n")), "taken")
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
-    kept = rows.join(taken, (F.col("__key") == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, h, id_, n = (fresh(name, docs.columns) for name in ("__key", "__h", "__id", "__n"))
+    taken = scratch.save(copies(docs, scratch, **options).where("copies > 0").select(F.col("h").alias(h), F.col("doc_id").alias(id_), F.col("copies").alias(n)), "taken")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
+    kept = rows.join(taken, (F.col(key) == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(key)).drop(key)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

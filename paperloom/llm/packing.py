@@ -79,26 +79,27 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
         def close():
             nonlocal first, held, tokens
-            sizes = [len(d) // 4 for _, d, _, _ in held]
+            sizes = [len(d) for _, d, _, _ in held]
             out = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
             for k, at, n, seq, off in pack(sizes, capacity):
                 doc_id, data, before, whole = held[k]
-                for c, v in zip(out, (doc_id, before + at, n, zlib.crc32(data[4 * at : 4 * (at + n)]), whole, first + seq, off)):
+                for c, v in zip(out, (doc_id, before + at, n, zlib.crc32(data[at : at + n]), whole, first + seq, off)):
                     out[c].append(v)
             first += len(capacities(sum(sizes), capacity))
             held, tokens = [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
         for b in batches:
-            for doc_id, data in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(data.as_py())
-                whole, at = len(ids) // 4, 0
-                while at < whole:  # a document longer than a round goes through several
-                    n = min(whole - at, round_tokens - tokens)
-                    held.append((doc_id, ids[4 * at : 4 * (at + n)], at, whole))
-                    tokens, at = tokens + n, at + n
-                    if tokens >= round_tokens:
-                        yield close()
+            keys = b.column(0).to_pylist()
+            for rows, flat, offsets in enc.slices(b.column(1)):
+                for k, lo, hi in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist()):
+                    whole, at = hi - lo, 0
+                    while at < whole:  # a document longer than a round goes through several
+                        n = min(whole - at, round_tokens - tokens)
+                        held.append((keys[k], flat[lo + at : lo + at + n], at, whole))
+                        tokens, at = tokens + n, at + n
+                        if tokens >= round_tokens:
+                            yield close()
         if held:
             yield close()
 

@@ -6,7 +6,7 @@ mark before it.  Distinct pre-tokens of a batch form a trie, visited depth first
 order: the forward score of a node (best score of any segmentation of the prefix, and the
 number of pieces in it) is computed once, from its ancestors' scores, and shared by every
 pre-token below.  A terminal node keeps its count; documents then add up their words'
-counts.  Ties between segmentations go to fewer pieces.
+counts.  A word of over ``LONG_WORD`` bytes takes the same steps alone, in constant memory.  Ties between segmentations go to fewer pieces.
 
 Defined cases: a null or empty text has no words and no tokens; characters outside the
 vocabulary cost one token a UTF-8 byte; repeated rows each get a row; an empty table gives
@@ -16,14 +16,16 @@ none; further columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes, tidy
+from .common import text_bytes, tidy, word_slices
 
 MARK = "▁"
 CACHE_WORDS = 400_000
+LONG_WORD = 256  # bytes; longer words are counted alone and not kept
 BYTE_COST = -25.0
 _models: dict[str, "TrieCounter"] = {}
 
@@ -46,14 +48,15 @@ def load_pieces(path: str) -> dict[str, float]:
 
 class TrieCounter:
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
+        # Every end of a piece, with the score (never over 0) of those that are pieces.
+        self.tails: dict[str, float | None] = {x[k:]: None for x in pieces for k in range(len(x))} | pieces
         self.longest = max(map(len, pieces), default=1)
         self.counts: dict[bytes, int] = {}
 
     def insert(self, words: list[bytes]) -> dict[bytes, int]:
         """Terminal counts of distinct words: one depth-first walk of their trie."""
         tokens = sorted((MARK + w.decode("utf-8", "replace"), w) for w in words)
-        pieces, longest = self.pieces, self.longest
+        tails = self.tails
         best, count, path, out = [0.0], [0], "", {}
         for token, word in tokens:
             depth, most = 0, min(len(path), len(token))
@@ -61,11 +64,12 @@ class TrieCounter:
                 depth += 1
             del best[depth + 1 :], count[depth + 1 :]
             for end in range(depth + 1, len(token) + 1):
-                c = token[end - 1]
-                n_bytes = len(c.encode("utf-8", "surrogatepass"))
-                s, n = best[end - 1] + BYTE_COST * n_bytes, count[end - 1] + n_bytes
-                for start in range(max(0, end - longest), end):
-                    p = pieces.get(token[start:end])
+                n = len(token[end - 1].encode("utf-8", "surrogatepass"))
+                s, n = best[end - 1] + BYTE_COST * n, count[end - 1] + n
+                for start in range(end - 1, -1, -1):
+                    p = tails.get(token[start:end], 1.0)
+                    if p == 1.0:  # no piece ends so: none longer does
+                        break
                     if p is not None:
                         t, m = best[start] + p, count[start] + 1
                         if t > s or (t == s and m < n):
@@ -76,39 +80,55 @@ class TrieCounter:
             out[word] = count[-1]
         return out
 
-    def total(self, words: list[bytes]) -> int:
-        new = list(set(words).difference(self.counts))
-        if not new:
-            return sum(map(self.counts.__getitem__, words))
+    def long_word(self, word: bytes) -> int:
+        """The same for one word of any length, with the scores of its last few characters only."""
+        token = MARK + word.decode("utf-8", "replace")
+        best, count = deque([0.0], self.longest), deque([0], self.longest)
+        for end in range(1, len(token) + 1):
+            n = len(token[end - 1].encode("utf-8", "surrogatepass"))
+            s, n = best[-1] + BYTE_COST * n, count[-1] + n
+            for k in range(1, min(end, self.longest) + 1):
+                p = self.tails.get(token[end - k : end], 1.0)
+                if p == 1.0:
+                    break
+                if p is not None:
+                    t, m = best[-k] + p, count[-k] + 1
+                    if t > s or (t == s and m < n):
+                        s, n = t, m
+            best.append(s)
+            count.append(n)
+        return count[-1]
+
+    def tokens(self, words: list[bytes]):
+        """The number of tokens of each of the distinct words."""
+        import numpy as np
+
+        new = [w for w in words if len(w) <= LONG_WORD and w not in self.counts]
         if len(self.counts) + len(new) > CACHE_WORDS:
             self.counts.clear()
-            new = list(set(words))
+            new = [w for w in words if len(w) <= LONG_WORD]
         self.counts.update(self.insert(new))
-        return sum(map(self.counts.__getitem__, words))
+        return np.fromiter((self.counts[w] if len(w) <= LONG_WORD else self.long_word(w) for w in words), np.int64, len(words))
 
 
-def count_tokens(docs: DataFrame, model: str | None = None, gather: int = 2 << 20) -> DataFrame:
-    """doc_id, n_words, n_tokens.  Words of ``gather`` bytes of text enter the trie together."""
+def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_tokens.  The distinct words of a slice of texts enter the trie together."""
     model = model or default_path()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         if model not in _models:
             _models[model] = TrieCounter(load_pieces(model))
         counter = _models[model]
         for b in batches:
-            ids, texts, n_words, n_tokens, at = b.column(0), b.column(1), [], [], 0
-            while at < len(texts):
-                held, size = [], 0
-                while at < len(texts) and size < gather:
-                    data = texts[at].as_py()
-                    held.append(data.split())
-                    size, at = size + len(data), at + 1
-                counter.total(list({w for ws in held for w in ws}))
-                n_words += map(len, held)
-                n_tokens += map(counter.total, held)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            n_words, n_tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, words, index, offsets in word_slices(b.column(1), lower=False):
+                total = np.concatenate([[0], np.cumsum(counter.tokens(words)[index])])
+                n_words.append(np.diff(offsets))
+                n_tokens.append(np.diff(total[offsets]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_tokens))], names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")
 

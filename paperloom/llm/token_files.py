@@ -8,24 +8,23 @@ partition comes back; prefix sums over these rows give each partition's base.
 ``read_token_files`` memory-maps the files and returns digests from them.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows with
-equal ids are ordered by text, repeated rows appear as often as they are given; an empty
+equal ids are ordered by a hash of their text, repeated rows appear as often as they are given; an empty
 table gives no parts; further columns are ignored.  A retried task writes under a new name and only names
 reported by successful tasks are read.
 """
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_array, Scratch, text_bytes, tidy, write_file
+from .common import Scratch, map_array, text_bytes, tidy, write_file, written_file
 from .tokens import END_ID, default_path, encoder
 
-FLUSH_BYTES = 8 << 20
-
 
 @dataclass(frozen=True)
 class Part:
@@ -50,22 +49,28 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, e
         enc = encoder(tokenizer, end_id)
         dtype = "<u2" if enc.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        counts, ids, nulls, chunks = [], [], [], []
-        for b in batches:
-            for doc_id, data in zip(b.column(0).to_pylist(), b.column(1)):
-                got = np.frombuffer(enc.encode(data.as_py()), "<u4")
-                chunks.append(got.astype(dtype).tobytes())
-                counts.append(len(got))
-                ids.append(doc_id or 0)
-                nulls.append(doc_id is None)
+        counts, ids, nulls = [], [], []
+        with contextlib.ExitStack() as files:
+            out = None
+            for b in batches:
+                ids.append(b.column(0).fill_null(0).to_numpy())
+                nulls.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
+                for _, flat, offsets in enc.slices(b.column(1)):
+                    # Ids go to the file as they are made: a task holds one slice of them.
+                    out = out or files.enter_context(written_file(f"{uri}/{name}.bin"))
+                    out.write(flat.astype(dtype).tobytes())
+                    counts.append(np.diff(offsets))
         if counts:
-            write_file(f"{uri}/{name}.bin", *chunks)
-            write_file(f"{uri}/{name}.idx", np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes())
-            write_file(f"{uri}/{name}.ids", np.array(ids, "<i8").tobytes())
-            write_file(f"{uri}/{name}.nul", np.array(nulls, "u1").tobytes())
-            yield pa.RecordBatch.from_pydict({"pid": [task.partitionId()], "name": [name], "docs": [len(counts)], "ids": [int(sum(counts))], "width": [int(dtype[-1])]})
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+            ends = np.cumsum(np.concatenate([[0], *counts]))
+            write_file(f"{uri}/{name}.idx", ends.astype("<i8").tobytes())
+            write_file(f"{uri}/{name}.ids", np.concatenate(ids).astype("<i8").tobytes())
+            write_file(f"{uri}/{name}.nul", np.concatenate(nulls).astype("u1").tobytes())
+            yield pa.RecordBatch.from_pydict({"pid": [task.partitionId()], "name": [name], "docs": [len(ends) - 1], "ids": [int(ends[-1])], "width": [int(dtype[-1])]})
+
+    # Rows of one id are dealt by their text's hash, equal rows by their place, so that no id fills one task.
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    key = ("doc_id", "hash", "place")
+    ordered = given.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
     # One row a partition, never a row a document.
     rows = sorted(ordered.mapInArrow(tidy(write), "pid long, name string, docs long, ids long, width long").collect())
     parts, base = [], 0

@@ -2,7 +2,8 @@
 
 ``word_bpe_49k`` drops white space and neither its normaliser nor its pattern reaches
 across ASCII white space, so a text's ids are the ids of its white-space separated words
-in order.  Every distinct word goes through the library once and is then looked up.
+in order.  Every distinct word of a slice of texts goes through the library once (frequent ones
+are kept between slices); the texts' ids are then gathered as arrays.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import os
 import re
 from array import array
 
-from .common import BoundedCache
+from .common import BoundedCache, as_text, word_slices
 
 END_ID = 2
 CACHE_WORDS = 250_000
@@ -69,12 +70,32 @@ class WordEncoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def slices(self, texts):
+        """(rows, ids, offsets) for slices of an Arrow array of bytes: row k of the range ``rows`` has
+        ``ids[offsets[k]:offsets[k + 1]]``, unsigned 32-bit, the end id last."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = as_text(texts)
+        if self.direct:  # Lower-casing ASCII first spares variants; a special token's string must stay as it is.
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        for rows, words, index, bounds in word_slices(texts, lower=False):
+            found = [self.kept[w] if len(w) <= LONG_WORD else self.word(w) for w in words] + [self.end]
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            start = np.cumsum(size) - size
+            flat = np.frombuffer(b"".join(found), "<u4")
+            # The end stands behind each text as a word of its own.
+            index = np.insert(index, bounds[1:], len(words))
+            count = size[index]
+            ends = np.concatenate([[0], np.cumsum(count)])
+            take = np.repeat(start[index] - ends[:-1], count)
+            take += np.arange(len(take))
+            yield rows, flat[take], ends[bounds + np.arange(len(bounds))]
+
     def encode(self, data: bytes) -> bytes:
-        # Lower-casing ASCII first spares variants; a special token's string must stay as it is.
-        words = (data.lower() if self.direct and b"<|" not in data else data).split()
-        if words and len(max(words, key=len)) > LONG_WORD:  # too long to keep
-            return b"".join([self.kept[w] if len(w) <= LONG_WORD else self.word(w) for w in words]) + self.end
-        return b"".join(map(self.kept.__getitem__, words)) + self.end
+        import pyarrow as pa
+
+        return b"".join(ids.tobytes() for _, ids, _ in self.slices(pa.array([data], pa.binary())))
 
 
 def encoder(path: str, end_id: int = END_ID) -> WordEncoder:

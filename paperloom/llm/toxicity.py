@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, id_bucket, Scratch, text_bytes, tidy
+from .common import BoundedCache, Scratch, extended, fresh, id_bucket, text_bytes, tidy, word_slices
 
 SAMPLE_ROWS = 12_000  # expected labelled rows of the fit
 PREFIXES = (4, 6)
@@ -108,15 +108,18 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
-def word_scores(words: list[bytes], cache) -> "object":
-    """The words' scores; a word that only repeats the one before it adds no evidence."""
+def text_scores(texts, cache):
+    """Each text's word scores; a word that only repeats the one before it adds no evidence."""
     import numpy as np
 
-    s = np.fromiter(map(cache.__getitem__, words), float, len(words))
-    for i in np.flatnonzero(s > 0).tolist():
-        if i and words[i] == words[i - 1]:
-            s[i] = -DRIFT
-    return s
+    for rows, words, index, offsets in word_slices(texts, lower=False):
+        s = np.fromiter(map(cache.__getitem__, words), float, len(words))[index]
+        again = np.zeros(len(index), bool)
+        again[1:] = index[1:] == index[:-1]
+        again[offsets[:-1][offsets[:-1] < len(index)]] = False  # a text's first word
+        s[again & (s > 0)] = -DRIFT
+        for k in range(len(rows)):
+            yield s[offsets[k] : offsets[k + 1]]
 
 
 def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prior: float = PRIOR) -> dict[str, float]:
@@ -207,8 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
         cache = BoundedCache(model.word, CACHE_WORDS)
         for b in batches:
             out = []
-            for y, data in zip(b.column(0).to_pylist(), b.column(1)):
-                s = word_scores(data.as_py().split(), cache)
+            for y, s in zip(b.column(0).to_pylist(), text_scores(b.column(1), cache)):
                 out.append((y, len(s), s[s != -DRIFT].tolist(), [[a, e, v] for a, e, v in maximal_segments(s)]))
             yield pa.RecordBatch.from_pydict({"y": [o[0] for o in out], "n": [o[1] for o in out], "odd": [o[2] for o in out], "seg": [[v for _, _, v in o[3]] for o in out]}, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("odd", pa.list_(pa.float64())), ("seg", pa.list_(pa.float64()))]))
 
@@ -226,33 +228,30 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
     return model
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, score, n_segments, best_segment for every whole text; with ``keep``, those columns and score."""
-    given = keep or ["doc_id"]
-    schema = docs.select(*given).schema
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str, str] = ("__score", "__segments", "__best")) -> DataFrame:
+    """doc_id (or the columns of ``keep``) and, under the names given, score, number of significant
+    segments and best segment's score, for every whole text."""
+    given = docs.select(*[F.col(f"`{c}`") for c in keep or ["doc_id"]])
+    schema = extended(given, **dict(zip(names, ("double", "int", "double"))))
+    wide = len(given.columns)
 
     def run(batches):
         import pyarrow as pa
 
         cache = BoundedCache(model.word, CACHE_WORDS)
         for b in batches:
-            scores, number, best = [], [], []
-            for data in b.column(b.num_columns - 1):
-                e, n, s = model.evidence(word_scores(data.as_py().split(), cache))
-                scores.append(model.score(e))
-                number.append(n)
-                best.append(s)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(given))), pa.array(scores, pa.float64()), pa.array(number, pa.int32()), pa.array(best, pa.float64())], names=[*given, "__score", "__segments", "__best"])
+            found = [model.evidence(s) for s in text_scores(b.column(wide), cache)]
+            made = ([model.score(e) for e, _, _ in found], [n for _, n, _ in found], [s for _, _, s in found])
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], *map(pa.array, made, (pa.float64(), pa.int32(), pa.float64()))], names=schema.names)
 
-    for name, kind in (("__score", "double"), ("__segments", "integer"), ("__best", "double")):
-        schema = schema.add(name, kind)
-    return docs.select(*given, text_bytes().alias("__text")).mapInArrow(tidy(run), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in given.columns], text_bytes().alias(fresh("__text", given.columns))).mapInArrow(tidy(run), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score under the threshold; columns as given."""
+    """The documents that score under the threshold; columns as given, whatever their names."""
     model = fit(docs, labels, Scratch(docs.sparkSession, "tox"))
-    return score_documents(docs, model, docs.columns).where(F.col("__score") < threshold).select(*docs.columns)
+    names = tuple(fresh(n, docs.columns) for n in ("__score", "__segments", "__best"))
+    return score_documents(docs, model, docs.columns, names).where(F.col(names[0]) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
