@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import language_id, minhash_dedup, mixing, packing, toxicity
-from paperloom.llm.common import Scratch
+from paperloom.llm.common import Scratch, collected
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents without text or without a letter go."""
+    """Operator 2: documents without a letter, or whose language the machines tell hardly better than chance, go."""
     return language_id.keep_identified(docs)
 
 
@@ -50,8 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces.  A stage's scratch tables, and its input, go once its output is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with collected() as used:
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        for s in used:
+            s.drop()
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
