@@ -112,6 +112,9 @@ LAYOUTS = {
     "apa": (r"\documentclass{article}", "enumerate"), "arxiv": (r"\documentclass{article}", "thebibliography"),
 }
 
+# Packages that the environments need.
+PREAMBLE = "\n".join(f"\\usepackage{p}" for p in ("[T1]{fontenc}", "[utf8]{inputenc}", "{amsmath,amssymb}", "{graphicx}", "[export]{adjustbox}", "{xcolor}", "{url}"))
+
 # Symbols that make a line an equation's context, and those that a numbered equation holds.
 CONTEXT_SYMBOLS = "≤≥≠≈∈∉⊂⊃∪∩∧∨¬∀∃∅∇∂√∫∑∏±×÷→←↔⊤⊥⊕⊗∼"
 EQUATION_SYMBOLS = "αβγδεζηθικλμνξπρσςτυφχψωΓΔΘΛΞΠΣΦΨΩ∼≈≠≤≥∈∉⊂⊃∪∩∧∨¬∀∃∅∇∂√∫∑∏±×÷→←↔⊤⊥⊕⊗"
@@ -130,3 +133,68 @@ SHORT_WORDS = (
 # Fonts of mathematics, and limits of a formula region.
 MATH_FONTS = ("cmex", "cmsy", "cmmi", "euler", "mathit", "mathsy")
 MIN_MATH, MIN_MATH_SHARE, MAX_REGION_CHARS, MIN_REGION_W, MIN_REGION_H = 5, 0.08, 300, 60, 20
+
+# Lines of a reference list that are no reference: headers, licences, addresses, numbers.
+JUNK_REFERENCES = (
+    r"(?i)^[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z.]+$",
+    r"^\d+(\s+\d+)?$",
+    r"(?i)creative\s+commons",
+    r"(?i)article\s+is\s+licensed\s+under",
+    r"(?i)received\s+\d+.*accepted\s+\d+",
+    r"(?i)^(publisher's note|springer nature|exclusive rights|manu script version|author self-archiving|page |machine learning)",
+    r"(?i)^(volume|vol\.?|issue|no\.?)\s",
+    r"(?i)page\s+\d+\s+of\s+\d+",
+    r"(?i)^\d+\s+page\s+\d+",
+    r"^\d+\s+(University|Institute|Department|Lab|School|Vector|Noah)",
+)
+# Entries that are a name and an e-mail address.
+ADDRESS_REFERENCES = (r"^[A-Za-z0-9_.+-]+\s+[a-z0-9_.+-]+@", r"^[A-Z][a-z]+ [A-Z][a-z]+\s+[a-z0-9_.+-]+@")
+# The beginning of a reference by surname and initials, and of a line that is none.
+CITED_SURNAME = r"^[A-Z][a-zÀ-ÿ]+(?:[-'][A-Z][a-zÀ-ÿ]+)?,\s+[A-Z]\."
+PLAIN_SURNAME = r"^[A-Z][a-z]+,\s+[A-Z]\."
+GOES_ON = ("pp.", "In:", "In ", "arXiv", "&", "and ")
+CITED_YEAR = r"\(\d{4}[a-z]?\)"
+
+# Tables in running text: marks, captions, numbers, names of data sets, words of sentences, bad headers.
+TABLE_MARKS = "⇑⇓↑↓†‡§*⁺⁻"
+TABLE_CAPTION = r"(?i)^Table\s+(\d+)\b[.\s]*(.*)"
+TABLE_NUMBER = r"^[\d.\-+±e]+[⇑⇓↑↓†‡§*]*$"
+DATASETS = (
+    "Skillcraft", "SML", "Parkinsons", "Bike", "CCPP", "CIFAR", "MNIST", "ImageNet", "SVHN", "Fashion", "STL", "Caltech",
+    "Reuters", "AG.News", "DBPedia", "Amazon", "Yelp",
+)
+SENTENCE_WORDS = (
+    "the", "a", "an", "and", "or", "is", "are", "was", "were", "to", "of", "in", "for", "with", "on", "at", "by", "from",
+    "that", "this", "it", "not", "we", "our", "be", "as", "has", "have", "had", "but", "if", "than", "its", "all", "can",
+    "will", "which", "their", "more", "also", "only", "denote", "reported", "setting", "results", "worse", "better",
+    "significantly", "respectively", "similarly",
+)
+BAD_HEADERS = (
+    "the", "a", "an", "we", "and", "or", "is", "are", "to", "of", "in", "for", "with", "on", "at", "by", "from", "that",
+    "this", "them", "then", "also", "only",
+)
+# What a caption loses, in order.
+CAPTION_REST = ((r"\s*[⇑⇓↑↓]+\s*", " "), (r"\s*,\s*,\s*,?\s*and\s+$", ""), (r"(?i)\s+and\s+denote\s+(sig|significantly).*$", ""), (r"\s{2,}", " "))
+# What tables leave in bodies (each line alone where anchored), besides the tables' own captions and rows.
+TABLE_RESIDUE = (
+    r"(?m)^[⇑⇓↑↓\s]+$",
+    r"(?m)^similarly\s*$",
+    r"(?mi)^similarly\s+to\s+Table\s+\d+\s*$",
+    r"(?m)Train/test\s+size.*$",
+    r"(?m)corr-coef.*$",
+    r"(?m)^#[Cc]lients?\s*$",
+    r"(?m)^#[Cc]lients?\s+\d+.*$",
+    r"(?m)^Central\s+GP\s+[\d.\s]+$",
+    r"(?m)^(Local\+local|Local\+global|Avg\+local|kd\+local)\b.*$",
+    r"(?mi)^ours\s*$",
+    r"(?m)^[\d.\s⇑⇓↑↓†‡§*±,/]+$",
+    r"(?m)^p\s*<\s*\.\s*p\s*<\s*\.?\s*$",
+    r"(?m)^[−\-–\s]+$",
+    r"(?m)^nificantly\s+worse\s+results.*$",
+    r"(?m)^results\s+similarly\s*$",
+    r"(?m)^similarly\s+to\s*$",
+    r"(?m)^ECE\s+reported\s+for\s+the\s+.*setting\..*$",
+    r"(?m)^.*denote\s+significantly\s+(worse|better)\s+results.*$",
+    r"(?m)^\s*p\s*<\s*0?\s*\.?\s*0[15]\s*$",
+    r"(?m)^\d+/\d+(\s+\d+/\d+)+\s*$",
+)

@@ -71,7 +71,7 @@ def plain_scripts(x: Column) -> Column:
 
 
 def join_decimals(x: Column) -> Column:
-    return F.regexp_replace(x, r"(\d)\s*\.\s+(\d)", "$1.$2")
+    return F.regexp_replace(x, r"(\d)\s*\.\s*(\d)", "$1.$2")
 
 
 def clean_reference(x: Column) -> Column:
@@ -80,30 +80,6 @@ def clean_reference(x: Column) -> Column:
     return strip(F.regexp_replace(F.translate(y, C.SUPERSCRIPTS, ""), r"(?U)\s+", " "))
 
 
-def outside_math(x: Column, inside, outside) -> Column:
-    """Odd parts of a split at dollar signs are mathematics; an unclosed last part is not."""
-    parts = F.split(x, r"\$", -1)
-    n = F.size(parts)
-
-    def each(p: Column, i: Column) -> Column:
-        return F.when((i % 2 == 1) & (i < n - 1), inside(p)).otherwise(outside(p))
-
-    return F.array_join(F.transform(parts, each), "$")
-
-
-def to_latex(x: Column, table) -> Column:
-    """Symbols to commands: bare inside mathematics, between dollar signs outside."""
-
-    def bare(p: Column) -> Column:
-        return replace_all(p, [(k, f" {v.strip('$')} ") for k, v in table])
-
-    def wrapped(p: Column) -> Column:
-        return replace_all(p, [(k, v if "$" in v or not v.startswith("\\") else f"${v}$") for k, v in table])
-
-    some = "[" + "".join(k for k, _ in table) + "]"
-    return F.when(x.rlike(some), outside_math(x, bare, wrapped)).otherwise(x)
-
-
 def merge_math(x: Column) -> Column:
     """Adjacent inline formulas become one; a command takes its argument in."""
     y = F.regexp_replace(x, r"\$\s*\$", " ")
@@ -167,26 +143,27 @@ def bad_author(x: Column) -> Column:
     return (F.length(y) < 3) | starts_any(low, ("the ", "a ", "an ")) | contains_any(low, words) | y.rlike(r"^[A-Z]{2,}\s+[A-Z]{2,}$")
 
 
-JUNK_REFERENCES = (
-    r"^[\w.+-]+@[\w-]+\.[\w.]+$", r"^\d+(\s+\d+)?$", r"(?i)creative\s+commons", r"(?i)article\s+is\s+licensed\s+under", r"(?i)received\s+\d+.*accepted\s+\d+",
-    r"(?i)^(publisher's note|springer nature|exclusive rights|manu script version|author self-archiving|page |machine learning)", r"(?i)^(volume|vol\.?|issue|no\.?)\s",
-    r"(?i)page\s+\d+\s+of\s+\d+", r"(?i)^\d+\s+page\s+\d+", r"^\d+\s+(University|Institute|Department|Lab|School|Vector|Noah)",
-)
-
-
 def junk_reference(x: Column) -> Column:
     """Not a reference: headers, licences, addresses, numbers, or too short without a bracket number."""
     y = strip(x)
-    return matches_any(y, JUNK_REFERENCES) | F.lower(y).rlike(r"^[a-z\s]+ +\(\d{4}\)\s*\d+:\d+") | y.contains("·") & y.rlike("[¹²³⁴⁵⁶⁷⁸⁹⁰]") | (F.length(y) < 15) & ~y.rlike(r"^\[\d+\]")
+    return matches_any(y, C.JUNK_REFERENCES) | F.lower(y).rlike(r"^[a-z\s]+ +\(\d{4}\)\s*\d+:\d+") | y.contains("·") & y.rlike("[¹²³⁴⁵⁶⁷⁸⁹⁰]") | (F.length(y) < 15) & ~y.rlike(r"^\[\d+\]")
 
 
 def parse_reference(x: Column) -> Column:
-    """struct(index, text): [n] text, n. Text, or a long line that starts in upper case (index null)."""
+    """struct(index, text): [n] text, n. Text, or a long line that starts in upper case (index null).
+
+    Null for lines under 15 characters, junk, and numbers before junk.
+    """
     y = strip(x)
     bracket, dotted = r"^\[(\d+)\]\s*(.+)", r"^(\d+)\.\s+([A-Z].{20,})"
-    made = lambda p: F.struct(F.regexp_extract(y, p, 1).cast("int").alias("index"), F.regexp_extract(y, p, 2).alias("text"))
+
+    def numbered(pattern: str) -> Column:
+        text = strip(F.regexp_extract(y, pattern, 2))
+        return F.when(~junk_reference(text), F.struct(F.regexp_extract(y, pattern, 1).cast("int").alias("index"), text.alias("text")))
+
     plain = F.struct(F.lit(None).cast("int").alias("index"), y.alias("text"))
-    return F.when(y.rlike(bracket), made(bracket)).when(y.rlike(dotted), made(dotted)).when(y.rlike(r"^\p{Lu}") & (F.length(y) > 30), plain)
+    out = F.when((F.length(y) < 15) | junk_reference(y), None).when(y.rlike(bracket), numbered(bracket)).when(y.rlike(dotted), numbered(dotted))
+    return out.when(y.rlike(r"^\p{Lu}") & (F.length(y) > 30), plain)
 
 
 def keywords(x: Column) -> Column:

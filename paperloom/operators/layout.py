@@ -72,12 +72,12 @@ def join_runs(lines: DataFrame) -> DataFrame:
     )
 
 
-def match_nearest(left: DataFrame, right: DataFrame, most: float | None = 50.0) -> DataFrame:
-    """(doc_id, page, left_idx, right_idx): greedy one-to-one by distance in y, left in y order, the earlier right on ties.
+def match_nearest(left: DataFrame, right: DataFrame, most: float | None = 50.0, by: str = "y") -> DataFrame:
+    """(doc_id, page, left_idx, right_idx): greedy one-to-one by distance in y, left in order of ``by``, the earlier right on ties.
 
     Items of one page are few; pages are folded where they lie, with the used ones as state.
     """
-    a = left.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "idx"))).alias("l"))
+    a = left.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*dict.fromkeys((by, "y", "idx"))))).alias("l"))
     b = right.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "idx"))).alias("r"))
     zero = F.expr("cast(array() as array<struct<l: int, r: int>>)")
 

@@ -11,71 +11,83 @@ from ..functions import text as T
 from ..functions.latex import let
 
 
+BY = ("doc_id",)  # what tells texts apart; with more columns, a document's texts stay on its partition
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, lang, line_idx, line: every line, dense ordinals."""
     return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
 
 
-def islands(rows: DataFrame, member: Column, least: int) -> DataFrame:
+def islands(rows: DataFrame, member: Column, least: int, by: tuple = BY) -> DataFrame:
     """Without runs of at least ``least`` consecutive member lines of a document."""
-    w = Window.partitionBy("doc_id").orderBy("line_idx")
+    w = Window.partitionBy(*by).orderBy("line_idx")
     marked = rows.withColumn("__in", member.cast("int")).withColumn("__run", F.sum(1 - F.col("__in")).over(w))
-    size = F.sum("__in").over(Window.partitionBy("doc_id", "__run"))
+    size = F.sum("__in").over(Window.partitionBy(*by, "__run"))
     return marked.withColumn("__size", size).where((F.col("__in") == 0) | (F.col("__size") < least)).drop("__in", "__run", "__size")
 
 
-def drop_char_lines(rows: DataFrame) -> DataFrame:
+def drop_char_lines(rows: DataFrame, by: tuple = BY) -> DataFrame:
     """Without runs of four or more lines of at most three characters."""
-    return islands(rows, F.length(T.strip(F.col("line"))) <= 3, 4)
+    return islands(rows, F.length(T.strip(F.col("line"))) <= 3, 4, by)
 
 
-def drop_running_headers(rows: DataFrame, titles: DataFrame) -> DataFrame:
-    """Without lines that repeat the title, and the blank, number, ISSN and URL lines that follow them."""
-    squeeze = lambda c: F.regexp_replace(F.lower(T.strip(c)), r"\s+", " ")
-    y, t = squeeze(F.col("line")), F.col("__title")
-    joined = rows.join(titles.select("doc_id", squeeze(F.col("title")).alias("__title")), "doc_id")
+def squeeze(x: Column) -> Column:
+    return F.regexp_replace(F.lower(T.strip(x)), r"\s+", " ")
+
+
+def drop_headers(rows: DataFrame, title: Column, by: tuple = BY) -> DataFrame:
+    """Without lines that repeat the title (a squeezed column of the rows), and the blank, number, ISSN and URL lines after them."""
+    y, t = squeeze(F.col("line")), title
     header = (F.length(t) >= 3) & ((y == t) | (F.length(t) >= 5) & y.contains(t) & (F.length(y) < F.length(t) + 10))
     follows = (y == "") | y.rlike(r"^\d{1,3}\.\s*$") | y.rlike(r"^issn\s*[\d-]+") | y.rlike("^https?://")
-    w = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
     # The last line that is not a follower decides for the followers after it.
-    decided = joined.withColumn("__h", F.coalesce(header, F.lit(False))).withColumn("__last", F.last(F.when(~follows | F.col("__h"), F.col("__h")), ignorenulls=True).over(w))
-    return decided.where(~F.coalesce(F.col("__last") & (follows | F.col("__h")), F.lit(False))).drop("__title", "__h", "__last")
+    decided = rows.withColumn("__h", F.coalesce(header, F.lit(False))).withColumn("__f", follows)
+    decided = decided.withColumn("__last", F.last(F.when(~F.col("__f") | F.col("__h"), F.col("__h")), ignorenulls=True).over(w))
+    return decided.where(~F.coalesce(F.col("__last") & (F.col("__f") | F.col("__h")), F.lit(False))).drop("__h", "__f", "__last")
+
+
+def drop_running_headers(rows: DataFrame, titles: DataFrame, by: tuple = BY) -> DataFrame:
+    """The same for titles by document."""
+    joined = rows.join(titles.select("doc_id", squeeze(F.col("title")).alias("__title")), "doc_id")
+    return drop_headers(joined, F.col("__title"), by).drop("__title")
 
 
-def gather(rows: DataFrame, name: str = "text") -> DataFrame:
+def gather(rows: DataFrame, name: str = "text", by: tuple = BY) -> DataFrame:
     """doc_id and its lines joined again, in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda z: z["line"])
-    return rows.groupBy("doc_id").agg(F.array_join(ordered, "\n").alias(name))
+    return rows.groupBy(*by).agg(F.array_join(ordered, "\n").alias(name))
 
 
-def scatter(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "line"))
+def scatter(texts: DataFrame, by: tuple = BY) -> DataFrame:
+    return texts.select(*by, F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "line"))
 
 
-def drop_runs(rows: DataFrame, core: Column, bridge: Column, least: int, count_bridges: bool) -> DataFrame:
+def drop_runs(rows: DataFrame, core: Column, bridge: Column, least: int, count_bridges: bool, by: tuple = BY) -> DataFrame:
     """Without runs of core lines and the bridge lines after them that hold ``least`` lines or more.
 
     ``bridge`` may name ``__core``, whether a line is a core line.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_idx")
+    w = Window.partitionBy(*by).orderBy("line_idx")
     marked = rows.withColumn("__core", core).withColumn("__in", (F.col("__core") | F.coalesce(bridge, F.lit(False))).cast("int"))
     marked = marked.withColumn("__run", F.sum(1 - F.col("__in")).over(w))
     counted = F.col("__in") if count_bridges else F.col("__core").cast("int")
-    size = F.sum(counted).over(Window.partitionBy("doc_id", "__run"))
+    size = F.sum(counted).over(Window.partitionBy(*by, "__run"))
     return marked.withColumn("__size", size).where((F.col("__in") == 0) | (F.col("__size") < least)).drop("__core", "__in", "__run", "__size")
 
 
-def drop_garbled(rows: DataFrame) -> DataFrame:
+def drop_garbled(rows: DataFrame, by: tuple = BY) -> DataFrame:
     """Without blocks of three garbled lines or more; one blank line at a time belongs to a block."""
-    w = Window.partitionBy("doc_id").orderBy("line_idx")
-    return drop_runs(rows, M.garbled(F.col("line")), (T.strip(F.col("line")) == "") & F.lag("__core").over(w), 3, False)
+    w = Window.partitionBy(*by).orderBy("line_idx")
+    return drop_runs(rows, M.garbled(F.col("line")), (T.strip(F.col("line")) == "") & F.lag("__core").over(w), 3, False, by)
 
 
-def drop_fragments(rows: DataFrame) -> DataFrame:
+def drop_fragments(rows: DataFrame, by: tuple = BY) -> DataFrame:
     """Without blocks of three lines or more that are equation fragments, or blank after one."""
-    w = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
     blank = T.strip(F.col("line")) == ""
-    return drop_runs(rows, M.fragment(F.col("line")), blank & F.last(F.when(~blank, F.col("__core")), ignorenulls=True).over(w), 3, True)
+    return drop_runs(rows, M.fragment(F.col("line")), blank & F.last(F.when(~blank, F.col("__core")), ignorenulls=True).over(w), 3, True, by)
 
 
 def drop_captions(rows: DataFrame, captions: DataFrame) -> DataFrame:
@@ -147,7 +159,7 @@ def display(body: Column) -> Column:
     return let(y, made)
 
 
-def number_equations(rows: DataFrame) -> DataFrame:
+def number_equations(rows: DataFrame, by: tuple = BY) -> DataFrame:
     """Lines that end in an equation number as display equations.
 
     A number alone on its line takes the last written line before it if that is a short equation; else
@@ -156,8 +168,8 @@ def number_equations(rows: DataFrame) -> DataFrame:
     y = T.strip(F.col("line"))
     lone = y.rlike(r"^\(\d{1,3}\)$")
     written = (y != "") & ~lone
-    w = Window.partitionBy("doc_id").orderBy("line_idx")
-    group = Window.partitionBy("doc_id", "__g")
+    w = Window.partitionBy(*by).orderBy("line_idx")
+    group = Window.partitionBy(*by, "__g")
     symbols = lambda b: M.counted(b, f"[{C.EQUATION_SYMBOLS}]")
 
     def equation(b: Column) -> Column:
@@ -183,10 +195,10 @@ def number_equations(rows: DataFrame) -> DataFrame:
     return m.withColumn("line", line).drop("__y", "__lone", "__w", "__body", "__conv", "__g", "__head", "__hconv", "__take", "__nth")
 
 
-def clean_with_math(texts: DataFrame) -> DataFrame:
+def clean_with_math(texts: DataFrame, by: tuple = BY) -> DataFrame:
     """doc_id, text: the basic clean, numbered equations, then symbols, scripts and formulas."""
-    rows = number_equations(scatter(texts.select("doc_id", T.basic_clean(F.col("text")).alias("text"))))
-    return gather(rows).select("doc_id", M.after_equations(F.col("text")).alias("text"))
+    rows = number_equations(scatter(texts.select(*by, T.basic_clean(F.col("text")).alias("text")), by), by)
+    return gather(rows, by=by).select(*by, M.after_equations(F.col("text")).alias("text"))
 
 
 def normalise_bodies(bodies: DataFrame, titles: DataFrame, captions: DataFrame | None = None) -> DataFrame:
@@ -195,7 +207,17 @@ def normalise_bodies(bodies: DataFrame, titles: DataFrame, captions: DataFrame |
     Every step keeps the partitioning by doc_id, so that one shuffle serves them all.
     """
     rows = drop_char_lines(drop_running_headers(scatter(bodies), titles))
-    if captions is not None:
-        rows = drop_captions(rows, captions)
-    merged = gather(rows).select("doc_id", merge_orphans(F.col("text")).alias("text"))
-    return clean_with_math(gather(drop_fragments(drop_garbled(scatter(merged)))))
+    return _merged(rows if captions is None else drop_captions(rows, captions), BY)
+
+
+def normalise_texts(texts: DataFrame, by: tuple) -> DataFrame:
+    """The same for rows that carry their title, names and captions (array) beside the text; no join."""
+    rows = texts.select(*by, squeeze(F.col("title")).alias("__t"), squeeze(F.col("names")).alias("__n"), "captions", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "line"))
+    rows = drop_char_lines(drop_headers(drop_headers(rows, F.col("__t"), by), F.col("__n"), by), by)
+    heads = F.transform(F.filter("captions", lambda c: F.length(c) >= 20), lambda c: T.strip(F.substring(c, 1, 40)))
+    return _merged(rows.where(~F.coalesce(F.exists(heads, lambda h: F.col("line").contains(h)), F.lit(False))), by)
+
+
+def _merged(rows: DataFrame, by: tuple) -> DataFrame:
+    merged = gather(rows, by=by).select(*by, merge_orphans(F.col("text")).alias("text"))
+    return clean_with_math(gather(drop_fragments(drop_garbled(scatter(merged, by), by), by), by=by), by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import latex as L
+from ..functions import text as T
 
 
 def content_blocks(paragraphs: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -60,10 +61,42 @@ def author_block(layout: str, authors: Column) -> Column:
     return F.when(F.size(authors) > 0, out).otherwise("")
 
 
-def figure(f: Column) -> Column:
-    """A figure environment; empty without an image."""
-    inner = F.concat_ws("\n", F.lit("\\begin{figure}[!htbp]\n\\centering"), F.concat(F.lit("\\includegraphics[max width=\\columnwidth, max height=0.4\\textheight]{"), f["image_path"], F.lit("}")), _filled(f["caption"], "\\caption{", "}"), F.when(f["label"] != "", F.concat(F.lit("\\label{"), f["label"], F.lit("}"))), F.lit("\\end{figure}"))
-    return F.when(f["image_path"] != "", inner)
+def figure(f: Column, layout: str = "ieee") -> Column:
+    """A figure environment; one layout leaves out figures without an image."""
+    place = "!htbp" if layout == "ieee" else "htbp"
+    image = F.concat(F.lit("\\includegraphics[max width=\\columnwidth, max height=0.4\\textheight]{"), f["image_path"], F.lit("}"))
+    inner = F.concat_ws("\n", F.lit(f"\\begin{{figure}}[{place}]\n\\centering"), image, _filled(f["caption"], "\\caption{", "}"), F.when(f["label"] != "", F.concat(F.lit("\\label{"), f["label"], F.lit("}"))), F.lit("\\end{figure}"))
+    return F.when(f["image_path"] != "", inner) if layout == "ieee" else inner
+
+
+def equation(f: Column, layout: str) -> Column:
+    """A formula block: its LaTeX where it is trusted, else its image; null without either."""
+    r = L.formula_record(f["latex"], f["image_path"], f["is_valid"], f["confidence"])
+    width = "\\textwidth" if layout == "apa" else "\\columnwidth"
+    shown = lambda v: F.concat(F.lit("\\begin{equation}\n"), v, F.lit("\n\\end{equation}"))
+    image = F.concat(F.lit(f"\\vcenter{{\\hbox{{\\includegraphics[max width=0.85{width}, max height=4cm]{{"), r["image_path"], F.lit("}}}"))
+    return F.when(r["latex"] != "", shown(r["latex"])).when(r["image_path"] != "", shown(image))
+
+
+def section_text(s: Column, layout: str) -> Column:
+    """A section's paragraphs with each formula behind the last paragraph that starts no later than it.
+
+    Where positions and paragraphs differ in number, all formulas follow the last paragraph.
+    """
+    paragraphs = F.filter(F.transform(F.split(T.strip(s["body"]), "\n\n+"), T.strip), lambda p: p != "")
+    ordered = F.array_sort(s["formulas"])  # structs begin with page and y
+
+    def woven(p: Column) -> Column:
+        last = F.size(p) - 1
+
+        def after(f: Column) -> Column:
+            later = F.array_min(F.transform(s["positions"], lambda q, i: F.when(q > F.struct(f["page"].alias("page"), f["bbox_y"].alias("y")), i)))
+            return F.when(F.size(s["positions"]) == F.size(p), F.greatest(F.lit(0), F.coalesce(later - 1, last))).otherwise(last)
+
+        each = lambda t, i: F.concat(F.transform(L.split_equations(t), lambda b: b["content"]), F.transform(F.filter(ordered, lambda f: after(f) == i), lambda f: equation(f, layout)))
+        return F.when(F.size(p) == 0, F.transform(ordered, lambda f: equation(f, layout))).otherwise(F.flatten(F.transform(p, each)))
+
+    return F.array_join(F.filter(L.let(paragraphs, woven), lambda v: v.isNotNull()), "\n\n")
 
 
 def table(t: Column) -> Column:
@@ -72,24 +105,31 @@ def table(t: Column) -> Column:
 
 
 def document(layout: str, title: Column, abstract: Column, keywords: Column, sections: Column, refs: Column, authors: Column | None = None, floats: bool = False) -> Column:
-    """Whole LaTeX text.  sections: array of (heading, depth, body), with ``floats`` also figures and tables; refs: array of strings."""
+    """Whole LaTeX text.  refs: array of strings.  sections: array of (heading, depth, body), with ``floats``
+    also positions, formulas, figures and tables."""
     head, bibliography = C.LAYOUTS[layout]
     joiner = {"springer": " \\and ", "elsevier": " \\sep "}.get(layout, ", ")
     words = F.array_join(F.transform(keywords, L.escape), joiner)
     by = author_block(layout, F.expr(f"cast(array() as {NO_AUTHORS})") if authors is None else authors)
 
-    def set_floats(s: Column) -> Column:
+    def content(s: Column) -> Column:
         if not floats:
-            return F.lit("")
-        both = F.concat(F.transform(s["figures"], figure), F.transform(s["tables"], table))
-        return F.array_join(F.transform(F.filter(both, lambda v: v.isNotNull()), lambda v: F.concat(F.lit("\n\n"), v)), "")
-
-    body = F.array_join(F.transform(sections, lambda s: F.concat(L.section_command(s["depth"]), F.lit("{"), L.escape(s["heading"]), F.lit("}\n"), L.paragraphs(s["body"]), set_floats(s))), "\n\n")
-    abs_ = L.escape(abstract)
-    if layout in ("springer", "apa"):  # keywords stand inside the abstract
-        front = F.concat(F.lit("\\begin{abstract}\n"), abs_, F.lit("\n\\keywords{"), words, F.lit("}\n\\end{abstract}\n"))
+            return L.paragraphs(s["body"])
+        pictures, grids = F.transform(s["figures"], lambda f: figure(f, layout)), F.transform(s["tables"], table)
+        both = F.concat(pictures, grids) if layout == "ieee" else F.concat(grids, pictures)
+        return F.array_join(F.filter(F.concat(F.array(section_text(s, layout)), both), lambda v: v.isNotNull() & (v != "")), "\n\n")
+
+    body = F.array_join(F.transform(sections, lambda s: F.concat(L.section_command(s["depth"]), F.lit("{"), L.escape(s["heading"]), F.lit("}\n"), content(s))), "\n\n")
+    keyed = lambda before, after: F.when(F.size(keywords) > 0, F.concat(F.lit(before), words, F.lit(after))).otherwise("")
+    inside = {"springer": ("\n\\keywords{", "}"), "apa": ("\n\\textbf{Keywords:} ", "")}.get(layout)
+    behind = {"ieee": ("\\begin{IEEEkeywords}\n", "\n\\end{IEEEkeywords}\n"), "elsevier": ("\\begin{keyword}\n", "\n\\end{keyword}\n")}.get(layout, ("\\noindent\\textbf{Keywords:} ", "\n\\vspace{1em}\n"))
+    front = F.when(abstract != "", F.concat(F.lit("\\begin{abstract}\n"), L.paragraphs(abstract), keyed(*inside) if inside else F.lit(""), F.lit("\n\\end{abstract}\n"))).otherwise("")
+    if not inside:
+        front = F.concat(front, keyed(*behind))
+    if bibliography == "enumerate":
+        item, opening = (lambda r, i: F.concat(F.lit("\\item "), L.escape(r))), F.lit("\n\\section*{References}\n\\begin{enumerate}\n")
     else:
-        front = F.concat(F.lit("\\begin{abstract}\n"), abs_, F.lit("\n\\end{abstract}\n\\begin{keywords}\n"), words, F.lit("\n\\end{keywords}\n"))
-    item = (lambda r, i: F.concat(F.lit("\\item "), L.escape(r))) if bibliography == "enumerate" else (lambda r, i: F.concat(F.lit("\\bibitem{ref"), (i + 1).cast("string"), F.lit("} "), L.escape(r)))
-    tail = F.concat(F.lit(f"\n\\begin{{{bibliography}}}" + ("{99}" if bibliography != "enumerate" else "") + "\n"), F.array_join(F.transform(refs, item), "\n"), F.lit(f"\n\\end{{{bibliography}}}\n"))
-    return F.concat(F.lit(head + "\n\\begin{document}\n\\title{"), L.escape(title), F.lit("}\n"), by, F.lit("\\maketitle\n"), front, body, F.when(F.size(refs) > 0, tail).otherwise(""), F.lit("\\end{document}\n"))
+        widest = F.size(refs).cast("string") if layout == "ieee" else F.lit("99")
+        item, opening = (lambda r, i: F.concat(F.lit("\\bibitem{ref"), (i + 1).cast("string"), F.lit("} "), L.escape(r))), F.concat(F.lit("\n\\begin{thebibliography}{"), widest, F.lit("}\n" + ("\\small\n" if layout == "acm" else "")))
+    tail = F.concat(opening, F.array_join(F.transform(refs, item), "\n"), F.lit(f"\n\\end{{{bibliography}}}\n"))
+    return F.concat(F.lit(f"{head}\n{C.PREAMBLE}\n\\begin{{document}}\n\\title{{"), L.escape(title), F.lit("}\n"), by, F.lit("\\maketitle\n"), front, body, F.when(F.size(refs) > 0, tail).otherwise(""), F.lit("\\end{document}\n"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import text as T
+from . import layout
 
 
 def body_size(blocks: DataFrame) -> DataFrame:
@@ -63,77 +65,129 @@ def headings(blocks: DataFrame) -> DataFrame:
     return sized.withColumn("h", T.heading(F.col("text"), F.col("__size"), F.col("__body"))).drop("__size", "__body")
 
 
+def outline(blocks: DataFrame) -> DataFrame:
+    """Blocks past the front matter: doc_id, block_idx, page, y, text, h (heading or null), sid (headings so far), refs.
+
+    The front matter ends behind the abstract or at the first heading line.  Metadata lines are gone, and
+    blocks of nothing else.  ``refs`` is 0 before the reference list, 1 in the block that begins it (text
+    that ends in "References" keeps what stands before the word), 2 behind that.
+    """
+    w = Window.partitionBy("doc_id").orderBy("block_idx")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda v: ~T.is_metadata(v))
+    lined = blocks.withColumn("text", F.array_join(own, "\n")).where("text <> ''")
+    low = F.lower(F.col("text"))
+    abstract = low.startswith("abstract")
+    marked = headings(lined).withColumn("__open", F.coalesce(F.max(abstract.cast("int")).over(before), F.lit(0)) + F.max((T.is_heading_line(F.col("text")) & ~abstract).cast("int")).over(upto))
+    past = marked.where((F.col("__open") > 0) & ~T.is_metadata(F.col("text")))
+    begins = low.rlike(r"^(references|bibliography)\s*$") | F.col("text").rlike(r"\bReferences\s*$")
+    r = past.withColumn("__b", begins.cast("int")).withColumn("refs", F.coalesce(2 * F.max("__b").over(before), F.lit(0))).withColumn("refs", F.when(F.col("refs") == 0, F.col("__b")).otherwise(F.col("refs")))
+    tail = T.strip(F.when(low.rlike(r"^(references|bibliography)\s*$"), "").otherwise(F.regexp_replace("text", r"\bReferences\s*$", "")))
+    r = r.withColumn("text", F.when(F.col("refs") == 1, tail).otherwise(F.col("text"))).withColumn("h", F.when(F.col("refs") == 0, F.col("h")))
+    y = F.col("y") if "y" in blocks.columns else F.lit(0.0)
+    return r.withColumn("sid", F.sum(F.col("h").isNotNull().cast("int")).over(upto)).select("doc_id", "block_idx", "page", y.alias("y"), "text", "h", "sid", "refs")
+
+
 def sections(blocks: DataFrame) -> DataFrame:
-    """doc_id, section_idx, heading, depth, body, start_page: blocks between headings, up to the references.
+    """doc_id, section_idx, heading, depth, body, start_page, positions: blocks between headings, up to the references.
 
     A section needs a heading and a body; what stands before the first heading is left out, as
-    are metadata lines of a block.
+    are metadata lines of a block.  ``positions``: (page, y) of each paragraph.
     """
-    w = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    y = T.strip(F.col("text"))
-    own = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: ~T.is_metadata(x))
-    lined = blocks.withColumn("text", F.when(F.contains("text", F.lit("\n")), F.array_join(own, "\n")).otherwise(F.col("text")))
-    marked = headings(lined).withColumn("refs", F.max(F.lower(y).rlike(r"^(references|bibliography)\s*$").cast("int")).over(w))
-    marked = marked.withColumn("sid", F.sum(F.col("h").isNotNull().cast("int")).over(w)).where((F.col("refs") == 0) & (F.col("sid") > 0) & ~T.is_metadata(F.col("text")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("h").isNull(), F.struct("block_idx", "text")))), lambda s: T.strip(s["text"])), "\n\n")
-    made = marked.groupBy("doc_id", "sid").agg(F.max("h.text").alias("heading"), F.max("h.depth").alias("depth"), body.alias("body"), F.min_by("page", "block_idx").alias("start_page")).where("body <> ''")
-    return made.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("sid")) - 1).alias("section_idx"), "heading", "depth", "body", "start_page")
+    made = outline(blocks).where("refs < 2 and sid > 0 and text <> ''")
+    para = F.array_sort(F.collect_list(F.when(F.col("h").isNull(), F.struct("block_idx", "text", "page", "y"))))
+    grouped = made.groupBy("doc_id", "sid").agg(F.max("h.text").alias("heading"), F.max("h.depth").alias("depth"), para.alias("p"), F.min_by("page", "block_idx").alias("start_page")).where("size(p) > 0")
+    body = F.array_join(F.transform("p", lambda s: s["text"]), "\n\n")
+    positions = F.transform("p", lambda s: F.struct(s["page"].alias("page"), s["y"].alias("y")))
+    order = Window.partitionBy("doc_id").orderBy("sid")
+    return grouped.select("doc_id", (F.row_number().over(order) - 1).alias("section_idx"), "heading", "depth", body.alias("body"), "start_page", positions.alias("positions"))
 
 
 def references(blocks: DataFrame) -> DataFrame:
     """doc_id, ref_idx, text: lines folded into entries, junk dropped, first of equal beginnings kept, numbered anew."""
-    w = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
-    y = T.strip(F.col("text"))
-    after = blocks.withColumn("refs", F.max(F.lower(y).rlike(r"^(references|bibliography)\s*$").cast("int")).over(w)).where("refs = 1")
-    lines = after.select("doc_id", "block_idx", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = outline(blocks).where("refs = 2").select("doc_id", "block_idx", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     folded = fold_reference_lines(lines.select("doc_id", F.struct("block_idx", "n").alias("line_idx"), "line"))
     return clean_references(folded.select("doc_id", F.posexplode("refs").alias("idx", "r")).select("doc_id", "idx", F.col("r.text").alias("text")))
 
 
 def clean_references(refs: DataFrame) -> DataFrame:
-    y = F.regexp_replace(T.strip(F.col("text")), r"\s+", " ")
-    long = refs.withColumn("text", y).where(F.length("text") >= 15)
+    """Entries of 15 characters or more that are no junk and no address, the first of those that begin alike, numbered from 1."""
+    y = T.strip(F.col("text"))
+    bad = (F.length(y) < 15) | T.junk_reference(y) | T.matches_any(y, C.ADDRESS_REFERENCES)
+    long = refs.where(~bad).withColumn("text", T.strip(F.regexp_replace(y, r"(?U)\s+", " ")))
     first = Window.partitionBy("doc_id", F.lower(F.substring("text", 1, 50))).orderBy("idx")
     kept = long.withColumn("k", F.row_number().over(first)).where("k = 1")
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")).alias("ref_idx"), "text")
 
 
 def fold_reference_lines(lines: DataFrame) -> DataFrame:
-    """doc_id, refs: array of (text, author_year): new entries and continuations, in line order.
+    """doc_id, refs: array of (text, author_year): new entries and continuations, in line order; documents with none are left out.
 
-    An ordered fold: whether a line continues the entry before depends on what was accepted.
+    Whether a line continues the entry before depends only on whether any was accepted, which the
+    first line that begins an entry by itself decides: after it every line's kind is known, entries
+    are runs of a beginning and its continuations, and no state is folded.
     """
-    kind = "array<struct<text: string, author_year: boolean>>"
+    y = T.strip(F.col("line"))
+    n = F.length(y)
+    parsed = T.parse_reference(y)
+    numbered = y.rlike(r"^\[\d+\]\s*.+") | y.rlike(r"^\d+\.\s+[A-Z].{20,}")
+    dated = y.rlike(C.CITED_SURNAME) & y.rlike(C.CITED_YEAR)
+    tail = (n > 5) & (y.rlike(r"^\p{Ll}") | T.starts_any(y, C.GOES_ON) | y.rlike(r"^\p{Lu}") & (n < 80) & ~y.rlike(C.PLAIN_SURNAME))
+    # sure: begins an entry wherever it stands; first: only where none stands before; goes: continues one, if any.
+    facts = F.struct(
+        F.when(numbered, parsed["text"]).otherwise(y).alias("text"),
+        (~numbered & dated).alias("author_year"),
+        F.when(T.junk_reference(y) | numbered & parsed.isNull(), "none").when(numbered | dated, "sure").when(tail & (n > 40), "either").when(tail, "goes").when(n > 40, F.when(y.rlike("^[A-Z]"), "sure").otherwise("either")).otherwise("none").alias("kind"),
+    )
+    w = Window.partitionBy("doc_id").orderBy("line_idx")
+    m = lines.withColumn("f", facts).select("doc_id", "line_idx", "f.*").where("kind <> 'none'")
+    opener = F.min(F.when(F.col("kind").isin("sure", "either"), F.col("line_idx"))).over(Window.partitionBy("doc_id"))
+    m = m.withColumn("__open", opener).where(F.col("line_idx") >= F.col("__open"))
+    m = m.withColumn("__entry", F.sum(((F.col("kind") == "sure") | (F.col("line_idx") == F.col("__open"))).cast("int")).over(w))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda z: z["text"]), " ")
+    entries = m.groupBy("doc_id", "__entry").agg(text.alias("text"), F.min_by("author_year", "line_idx").alias("author_year"))
+    made = F.transform(F.array_sort(F.collect_list(F.struct("__entry", "text", "author_year"))), lambda z: F.struct(z["text"].alias("text"), z["author_year"].alias("author_year")))
+    return entries.groupBy("doc_id").agg(made.alias("refs"))
+
 
-    def add(s, text, dated=False):
-        return F.concat(s, F.array(F.struct(text.alias("text"), F.lit(dated).alias("author_year"))))
+def place(items: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each item (doc_id, item_idx, page, y) with the last section that starts at or before it, else the first.
 
-    def extend(s, y):
-        last = F.element_at(s, -1)
-        return F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.concat_ws(" ", last["text"], y).alias("text"), last["author_year"].alias("author_year"))))
+    A backward as-of join in one sort: starts and items of a document in order of (page, y), the highest
+    section so far.  Items without a page go to the first section; where no item of the document
+    has one, they are dealt to the sections in turn.  Every item of a document with sections is
+    placed, so none is left over for the last one.
+    """
+    s = starts.select("doc_id", F.lit(None).cast("int").alias("item_idx"), F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"), F.lit(0).alias("kind"), "section_idx")
+    i = items.select("doc_id", "item_idx", F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("section_idx"))
+    doc = Window.partitionBy("doc_id")
+    upto = doc.orderBy("page", "y", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = s.unionByName(i).withColumn("after", F.max("section_idx").over(upto)).withColumn("all", F.sort_array(F.collect_list("section_idx").over(doc)))
+    both = both.withColumn("paged", F.max(F.when(F.col("kind") == 1, F.col("page"))).over(doc) >= 0).where("kind = 1 and size(all) > 0")
+    turn = (F.row_number().over(doc.orderBy("item_idx")) - 1) % F.size("all")
+    return both.select("doc_id", "item_idx", F.when(~F.col("paged"), F.get("all", turn)).when(F.col("page") < 0, F.get("all", F.lit(0))).otherwise(F.coalesce("after", F.get("all", F.lit(0)))).alias("section_idx"))
 
-    def step(s, line):
-        y = T.strip(line)
-        parsed = T.parse_reference(y)
-        some, n = F.size(s) > 0, F.length(y)
-        numbered = y.rlike(r"^\[\d+\]\s*.+") | y.rlike(r"^\d+\.\s+[A-Z].{20,}")
-        surname, year = y.rlike(r"^\p{Lu}[\p{L}'-]+,\s+\p{Lu}\."), y.rlike(r"\(\d{4}[a-z]?\)")
-        tail = y.rlike(r"^\p{Ll}") | y.rlike(r"^(pp\.|In:|In |arXiv|&|and )") | y.rlike(r"^\p{Lu}") & (n < 80) & ~surname
-        return F.when(T.junk_reference(y), s).when(numbered, add(s, parsed["text"])).when(surname & year, add(s, y, True)).when(some & (n > 5) & tail, F.when(some, extend(s, y)).otherwise(s)).when(n > 40, F.when(~some | y.rlike("^[A-Z]"), add(s, y)).otherwise(extend(s, y))).otherwise(s)
 
-    gathered = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda z: z["line"]).alias("l"))
-    return gathered.select("doc_id", F.aggregate("l", F.expr(f"cast(array() as {kind})"), step).alias("refs"))
+def starts(sections_: DataFrame) -> DataFrame:
+    """doc_id, section_idx, page, y: a section's first paragraph's place, else its page's top, else the document's."""
+    first = F.get("positions", 0)
+    page = F.coalesce(first["page"], F.when(F.col("start_page") >= 0, F.col("start_page")), F.lit(0))
+    return sections_.select("doc_id", "section_idx", page.alias("page"), F.coalesce(first["y"], F.lit(0.0)).alias("y"))
 
 
-def place(items: DataFrame, starts: DataFrame) -> DataFrame:
-    """Each item (doc_id, item_idx, page, y) with the last section that starts at or before it, else the first.
+def figure_captions(figures: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Figures (doc_id, fig_idx, page, bbox_y, caption) with the caption blocks of their page.
 
-    A backward as-of join: equal documents, and (page, y) of the start not after the item's.
+    Greedy in figure order: each figure takes the nearest caption block that none before it took; the
+    caption is what follows "Fig. N.".  Figures without one keep theirs.
     """
-    s = starts.select("doc_id", "section_idx", F.struct(F.col("page").alias("page"), F.col("y").alias("y")).alias("start"))
-    j = items.join(s, "doc_id").groupBy("doc_id", "item_idx").agg(
-        F.max(F.when((F.col("page") >= 0) & (F.col("start") <= F.struct("page", "y")), F.col("section_idx"))).alias("after"), F.min("section_idx").alias("first"))
-    return j.select("doc_id", "item_idx", F.coalesce("after", "first").alias("section_idx"))
+    text = T.strip(F.col("text"))
+    found = blocks.where(text.rlike(r"(?i)^Fig(?:ure)?\.?\s*\d+")).select("doc_id", "page", F.col("block_idx").alias("idx"), F.col("y0").alias("y"), text.alias("text"))
+    pairs = layout.match_nearest(figures.select("doc_id", "page", F.col("fig_idx").alias("idx"), F.col("bbox_y").alias("y")), found, None, by="idx")
+    rest = T.strip(F.regexp_extract("text", r"(?is)^(?:Fig(?:ure)?\.?\s*\d+[\s.:]+)(.+)", 1))
+    named = pairs.join(found.select("doc_id", "page", F.col("idx").alias("right_idx"), F.when(rest != "", rest).otherwise(F.col("text")).alias("__caption")), ["doc_id", "page", "right_idx"])
+    named = named.select("doc_id", F.col("left_idx").alias("fig_idx"), "__caption")
+    return figures.join(named, ["doc_id", "fig_idx"], "left").withColumn("caption", F.coalesce("__caption", "caption")).drop("__caption")
 
 
 def deal_tables(tables: DataFrame, sections_: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import latex as L
+from ..functions import mathtext as M
 from ..functions import text as T
-from ..operators import authors, canon, layout, render, structure
+from ..operators import canon, chain, layout, render, structure
 from ..operators import lines as ln
+from ..sources.scratch import saved
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -48,7 +52,7 @@ def replaced(x: str, pairs) -> str:
 
 
 META = "|".join(f"(?:{p})" for p in C.METADATA_PATTERNS)
-JUNK = "|".join(f"(?:{p})" for p in T.JUNK_REFERENCES).replace("'", "''")
+JUNK = "|".join(f"(?:{p})" for p in C.JUNK_REFERENCES).replace("'", "''")
 UPPER = r"(regexp_matches({0}, '\p{{Lu}}') AND NOT regexp_matches({0}, '\p{{Ll}}'))"
 HEADINGS = quoted(C.KEYWORD_HEADINGS)
 STRIPPED = f"s AS (SELECT *, {strip('line')} AS t FROM lines)"
@@ -119,7 +123,7 @@ SCALARS = {
     "clean_text": (T.basic_clean, CLEAN_SQL),
     "strip_unsafe_unicode": (T.strip_unsafe, r"regexp_replace(text, '[\x{0300}-\x{036F}\x{E000}-\x{F8FF}\x{FFFD}\x{FFFF}\x{10000}-\x{10FFFF}]', '', 'g')"),
     "ascii_scripts": (T.plain_scripts, f"translate(text, '{C.SUPERSCRIPTS}{C.SUBSCRIPTS}\u2212\u2013', '{C.SUPERSCRIPT_VALUES}{C.SUBSCRIPT_VALUES}--')"),
-    "decimal_spaces": (T.join_decimals, r"regexp_replace(text, '(\d)\s*\.\s+(\d)', '\1.\2', 'g')"),
+    "decimal_spaces": (T.join_decimals, r"regexp_replace(text, '(\d)\s*\.\s*(\d)', '\1.\2', 'g')"),
     "merge_math": (T.merge_math, r"regexp_replace(regexp_replace(regexp_replace(text, '\$\s*\$', ' ', 'g'), '\$\s*([+\-=<>×÷·,])\s*\$', ' \1 ', 'g'), '\$(\\[0-9A-Za-z_]+)\$(\([^)]{1,20}\))', '$\1\2$', 'g')"),
 }
 for _name, (_fn, _sql) in SCALARS.items():
@@ -128,15 +132,16 @@ for _name, (_fn, _sql) in SCALARS.items():
     )
 
 
-def sql_latex(table) -> str:
-    bare = replaced("p", [(k, f" {v.strip('$')} ") for k, v in table])
-    wrapped = replaced("p", [(k, v if "$" in v or not v.startswith("\\") else f"${v}$") for k, v in table])
-    return f"array_to_string(list_transform(parts, lambda p, i: CASE WHEN (i - 1) % 2 = 1 AND i - 1 < len(parts) - 1 THEN {bare} ELSE {wrapped} END), '$')"
+def sql_latex(table, x: str = "text") -> str:
+    """Commands bare inside closed pairs of dollar signs, between dollar signs elsewhere."""
+    bare = replaced("substring(t, 2, length(t) - 2)", [(k, v[1:-1] if v.startswith("$") else v) for k, v in table])
+    tokens = rf"list_transform(regexp_extract_all({x}, '\$[^$]+\$|[^$]+|\$'), lambda t: CASE WHEN regexp_matches(t, '^\$[^$]+\$$') THEN '$' || {bare} || '$' ELSE t END)"
+    return replaced(f"array_to_string({tokens}, '')", [(k, v if v.startswith("$") else f"${v}$") for k, v in table])
 
 
 for _name, _table in (("greek_to_latex", C.GREEK), ("symbols_to_latex", C.SYMBOLS)):
-    query(_name, f"SELECT doc_id, length(r)::INTEGER AS n, md5(r) AS digest FROM (SELECT doc_id, {sql_latex(_table)} AS r FROM (SELECT doc_id, string_split(text, '$') AS parts FROM ({fx.SYMBOL_SQL})))")(
-        lambda spark, d, t=_table: fx.symbol_documents(spark, d).select("doc_id", T.to_latex(F.col("text"), t).alias("r")).select("doc_id", F.length("r").alias("n"), F.md5("r").alias("digest"))
+    query(_name, f"SELECT doc_id, length(r)::INTEGER AS n, md5(r) AS digest FROM (SELECT doc_id, {sql_latex(_table)} AS r FROM ({fx.SYMBOL_SQL}))")(
+        lambda spark, d, t=_table: fx.symbol_documents(spark, d).select("doc_id", M.to_commands(F.col("text"), t).alias("r")).select("doc_id", F.length("r").alias("n"), F.md5("r").alias("digest"))
     )
 
 ESCAPE_SQL = r"""array_to_string(list_transform(regexp_extract_all({0}, '(?s)(\$[^$]*\$|\\[a-zA-Z]+|\\.|.)', 1), lambda t: CASE WHEN t IN ('&', '%', '#', '_', '{{', '}}') THEN '\' || t WHEN t = '~' THEN '\textasciitilde{{}}' WHEN t = '^' THEN '\textasciicircum{{}}' ELSE t END), '')"""
@@ -210,8 +215,18 @@ def section_split(spark, d):
 
 
 JUNK_SQL = rf"(regexp_matches(t, '{JUNK}') OR regexp_matches(lower(t), '^[a-z\s]+ +\(\d{{4}}\)\s*\d+:\d+') OR (contains(t, '·') AND regexp_matches(t, '[¹²³⁴⁵⁶⁷⁸⁹⁰]')) OR (length(t) < 15 AND NOT regexp_matches(t, '^\[\d+\]')))"
-PARSED_SQL = r"""CASE WHEN regexp_matches(t, '^\[(\d+)\]\s*(.+)') THEN regexp_extract(t, '^\[(\d+)\]\s*(.+)', 2) WHEN regexp_matches(t, '^(\d+)\.\s+([A-Z].{20,})') THEN regexp_extract(t, '^(\d+)\.\s+([A-Z].{20,})', 2) WHEN regexp_matches(t, '^\p{Lu}') AND length(t) > 30 THEN t END"""
-INDEX_SQL = r"""CASE WHEN regexp_matches(t, '^\[(\d+)\]\s*(.+)') THEN regexp_extract(t, '^\[(\d+)\]\s*(.+)', 1)::INTEGER WHEN regexp_matches(t, '^(\d+)\.\s+([A-Z].{20,})') THEN regexp_extract(t, '^(\d+)\.\s+([A-Z].{20,})', 1)::INTEGER END"""
+BRACKET, DOTTED = r"^\[(\d+)\]\s*(.+)", r"^(\d+)\.\s+([A-Z].{20,})"
+
+
+def sql_parsed(bracket: str, dotted: str, plain: str) -> str:
+    """Of a stripped line t: what each form gives; null for short lines, junk, and numbers before junk."""
+    after = lambda p: strip(f"regexp_extract(t, '{p}', 2)")
+    kept = lambda p, v: f"WHEN regexp_matches(t, '{p}') THEN CASE WHEN NOT {re.sub(r'(?<![a-z_])t(?=[,)])', lambda m: after(p), JUNK_SQL)} THEN {v} END"
+    return f"CASE WHEN length(t) < 15 OR {JUNK_SQL} THEN NULL {kept(BRACKET, bracket)} {kept(DOTTED, dotted)} WHEN regexp_matches(t, '^\\p{{Lu}}') AND length(t) > 30 THEN {plain} END"
+
+
+PARSED_SQL = sql_parsed(*(strip(f"regexp_extract(t, '{p}', 2)") for p in (BRACKET, DOTTED)), "t")
+INDEX_SQL = sql_parsed(*(f"regexp_extract(t, '{p}', 1)::INTEGER" for p in (BRACKET, DOTTED)), "NULL")
 
 
 @query("reference_dedup", rf"""WITH {PAPER}, a AS (SELECT *, max({REFS_FLAG}) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refs FROM t0),
@@ -236,7 +251,17 @@ def reference_parse(spark, d):
     return r.select("p_partkey", T.junk_reference(F.col("t")).alias("junk"), F.col("r.index").alias("index"), F.col("r.text").alias("text"))
 
 
-@query("reference_fold")
+_q = lambda v: v.replace("'", "''")
+FOLD_SQL = rf"""WITH {PAPER}, p AS (SELECT *, {PARSED_SQL} AS x, {JUNK_SQL} AS junk, regexp_matches(t, '^\[\d+\]\s*.+') OR regexp_matches(t, '^\d+\.\s+[A-Z].{{20,}}') AS num, regexp_matches(t, '{_q(C.CITED_SURNAME)}') AND regexp_matches(t, '{C.CITED_YEAR}') AS dated,
+    length(t) > 5 AND (regexp_matches(t, '^\p{{Ll}}') OR {starts('t', C.GOES_ON)} OR (regexp_matches(t, '^\p{{Lu}}') AND length(t) < 80 AND NOT regexp_matches(t, '{C.PLAIN_SURNAME}'))) AS goes FROM t0),
+  k AS (SELECT *, CASE WHEN junk OR (num AND x IS NULL) THEN 'none' WHEN num OR dated THEN 'sure' WHEN goes THEN CASE WHEN length(t) > 40 THEN 'either' ELSE 'goes' END WHEN length(t) > 40 THEN CASE WHEN regexp_matches(t, '^[A-Z]') THEN 'sure' ELSE 'either' END ELSE 'none' END AS kind FROM p),
+  o AS (SELECT *, min(CASE WHEN kind IN ('sure', 'either') THEN block_idx END) OVER (PARTITION BY doc_id) AS opener FROM k WHERE kind <> 'none'),
+  e AS (SELECT *, sum((kind = 'sure' OR block_idx = opener)::INTEGER) OVER (PARTITION BY doc_id ORDER BY block_idx) AS entry FROM o WHERE block_idx >= opener),
+  f AS (SELECT doc_id, entry, string_agg(CASE WHEN num THEN x ELSE t END, ' ' ORDER BY block_idx) AS text FROM e GROUP BY doc_id, entry)
+  SELECT doc_id, count(*)::INTEGER AS n_refs, md5(string_agg(text, chr(10) ORDER BY entry)) AS digest FROM f GROUP BY doc_id"""
+
+
+@query("reference_fold", FOLD_SQL)
 def reference_fold(spark, d):
     rows = fx.paper_blocks(spark, d).select("doc_id", F.col("block_idx").alias("line_idx"), F.col("text").alias("line"))
     return structure.fold_reference_lines(rows).select("doc_id", F.size("refs").alias("n_refs"), F.md5(F.array_join(F.transform("refs", lambda r: r["text"]), "\n")).alias("digest"))
@@ -316,12 +341,37 @@ def block_split(spark, d):
     return layout.join_runs(layout.split_blocks(_run_lines(spark, d))).select("doc_id", "run", "text", "x1", "y0", "y1", "n_lines", "size")
 
 
-@query("equation_number_match")
+def greedy_sql(left: str, right: str, order: str, reach: str, distance: str) -> str:
+    """One-to-one matching by a recursion over a page's left items: each takes the nearest right one that none before it took."""
+    return f"""WITH RECURSIVE {fx.IMAGES_SQL}, {left}, {right}, r AS (SELECT doc_id, page, list({{'idx': idx, 'y': y, 'number': number}} ORDER BY idx, y) AS rs FROM rr GROUP BY doc_id, page),
+  l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY {order}) AS k FROM ll),
+  step AS (SELECT l.doc_id, l.page, l.k, l.idx, NULL::BIGINT AS hit, []::BIGINT[] AS used FROM l WHERE false
+    UNION ALL SELECT doc_id, page, 0, NULL, NULL, [] FROM (SELECT DISTINCT doc_id, page FROM r)
+    UNION ALL SELECT doc_id, page, k, idx, b.idx, CASE WHEN b.idx IS NULL THEN used ELSE list_append(used, b.idx::BIGINT) END FROM (SELECT s.doc_id, s.page, l.k, l.idx, s.used,
+      list_sort(list_transform(list_filter(r.rs, lambda z: NOT list_contains(s.used, z.idx::BIGINT) AND {distance} <= {reach}), lambda z: {{'d': {distance}, 'y': z.y, 'idx': z.idx, 'number': z.number}}))[1] AS b
+      FROM step s JOIN l ON l.doc_id = s.doc_id AND l.page = s.page AND l.k = s.k + 1 JOIN r ON r.doc_id = s.doc_id AND r.page = s.page))"""
+
+
+MATCH_SQL = greedy_sql("ll AS (SELECT doc_id, page, image_idx AS idx, y0 AS y FROM images WHERE image_idx % 2 = 1)", "rr AS (SELECT doc_id, page, image_idx AS idx, y0 AS y, '' AS number FROM images WHERE image_idx % 2 = 0)", "y, idx", "50", "abs(z.y - l.y)")
+
+
+@query("equation_number_match", MATCH_SQL + " SELECT doc_id, page, idx AS left_idx, hit::INTEGER AS right_idx FROM step WHERE hit IS NOT NULL")
 def equation_number_match(spark, d):
     i = fx.images(spark, d).select("doc_id", "page", F.col("image_idx").alias("idx"), F.col("y0").alias("y"))
     return layout.match_nearest(i.where("idx % 2 = 1"), i.where("idx % 2 = 0"))
 
 
+CAPTION_SQL = greedy_sql("ll AS (SELECT doc_id, page, image_idx AS idx, y0 AS y FROM images WHERE image_idx % 2 = 1)", "rr AS (SELECT doc_id, page, image_idx AS idx, y0 AS y, '' AS number FROM images WHERE image_idx % 2 = 0)", "idx", "1e9", "abs(z.y - l.y)")
+
+
+@query("greedy_caption_match", CAPTION_SQL + " SELECT i.doc_id, i.image_idx AS fig_idx, CASE WHEN s.hit IS NULL THEN '' ELSE 'Text ' || s.hit END AS caption FROM images i LEFT JOIN step s ON s.doc_id = i.doc_id AND s.page = i.page AND s.idx = i.image_idx WHERE i.image_idx % 2 = 1")
+def greedy_caption_match(spark, d):
+    i = fx.images(spark, d)
+    figures = i.where("image_idx % 2 = 1").select("doc_id", F.col("image_idx").alias("fig_idx"), "page", F.col("y0").alias("bbox_y"), F.lit("").alias("caption"))
+    blocks = i.where("image_idx % 2 = 0").select("doc_id", F.col("image_idx").alias("block_idx"), "page", "y0", F.format_string("Figure %d: Text %d", "image_idx", "image_idx").alias("text"))
+    return structure.figure_captions(figures, blocks).select("doc_id", "fig_idx", "caption")
+
+
 # ---- recognised formulas -------------------------------------------------------------------------
 
 
@@ -360,12 +410,34 @@ def ocr_score(spark, d):
     return _formulas(spark, d).select("p_partkey", L.score(F.col("a")).alias("score"))
 
 
-@query("ocr_sanitize")
+def sanitized_sql(source: str) -> str:
+    """Rows of ``source`` with y repaired: array columns, braces, delimiters; unsafe ones empty."""
+    spec = r"regexp_extract(y, '(?s)^(.*?\\begin\{array\})\{[^}]*\}((.*?)\\end\{array\}.*)$', @)"
+    n = lambda x, c: f"(length({x}) - length(replace({x}, '{c}', '')))"
+    side = lambda x, w: f"len(list_filter(regexp_extract_all({x}, '\\\\{w}[a-zA-Z]*'), lambda c: c = '\\{w}'))"
+    body = f"string_split({spec.replace('@', '3')}, '\\\\')"
+    a = f"SELECT * REPLACE (CASE WHEN {spec.replace('@', '1')} <> '' THEN {spec.replace('@', '1')} || '{{' || repeat('c', (list_max(list_transform({body}, lambda r: {n('r', '&')})) + 1)::BIGINT) || '}}' || {spec.replace('@', '2')} ELSE y END AS y) FROM {source}"
+    b = f"SELECT * REPLACE (CASE WHEN d > 0 THEN y || repeat('}}', d) WHEN d < 0 THEN repeat('{{', -d) || y ELSE y END AS y) FROM (SELECT *, ({n('y', '{')} - {n('y', '}')})::BIGINT AS d FROM ({a}))"
+    c = f"SELECT * REPLACE (CASE WHEN e > 0 THEN y || repeat('\\right.', e) WHEN e < 0 THEN repeat('\\left.', -e) || y ELSE y END AS y) FROM (SELECT *, ({side('y', 'left')} - {side('y', 'right')})::BIGINT AS e FROM ({b}))"
+    low = f"list_min(list_transform(range(1, length(y) + 1), lambda i: {n('y[1:i]', '{')} - {n('y[1:i]', '}')}))"
+    safe = f"length(y) >= 2 AND {n('y', '{')} = {n('y', '}')} AND {low} >= 0 AND len(string_split(y, '\\begin{{')) = len(string_split(y, '\\end{{'))"
+    return f"(SELECT * REPLACE (CASE WHEN {safe} THEN y ELSE '' END AS y) FROM ({c}))"
+
+
+def scored_sql(source: str) -> str:
+    return f"(SELECT *, CASE WHEN y = '' THEN 0.0::DOUBLE ELSE {SCORE_SQL}::DOUBLE END AS score FROM {RATIOS.replace('FROM f)', f'FROM {source})')})"
+
+
+READINGS = f"a AS (SELECT p_partkey, {fx.sql_pick(fx.LATEX, 'p_partkey')} AS y FROM part), b AS (SELECT p_partkey, {fx.sql_pick(fx.LATEX, 'p_size')} AS y FROM part), a2 AS {scored_sql(sanitized_sql('a'))}, b2 AS {scored_sql(sanitized_sql('b'))}"
+BEST = "best AS (SELECT a2.p_partkey, CASE WHEN a2.score >= b2.score THEN 'first' ELSE 'second' END AS engine, CASE WHEN a2.score >= b2.score THEN a2.y ELSE b2.y END AS latex, greatest(a2.score, b2.score) AS score FROM a2 JOIN b2 ON a2.p_partkey = b2.p_partkey)"
+
+
+@query("ocr_sanitize", f"WITH {LATEX_ROWS} SELECT p_partkey, y AS latex FROM {sanitized_sql('f')}")
 def ocr_sanitize(spark, d):
     return _formulas(spark, d).select("p_partkey", L.sanitize(F.col("a")).alias("latex"))
 
 
-@query("ocr_pick_best")
+@query("ocr_pick_best", f"WITH {READINGS}, {BEST} SELECT p_partkey, engine, latex, score FROM best")
 def ocr_pick_best(spark, d):
     return _formulas(spark, d).select("p_partkey", L.pick_best(F.col("a"), F.col("b")).alias("p")).select("p_partkey", "p.engine", "p.latex", "p.score")
 
@@ -392,7 +464,9 @@ def _placed(spark, d):
     return li.selectExpr("l_orderkey as doc_id", "int(l_linenumber) as item_idx", "int(l_partkey % 4 - 1) as page", "double(l_partkey % 700) as y"), s
 
 
-@query("formula_placement_asof", f"""WITH {STARTS_SQL} SELECT it.doc_id, item_idx, coalesce(max(CASE WHEN it.page >= 0 AND (st.page < it.page OR (st.page = it.page AND st.y <= it.y)) THEN section_idx END), min(section_idx)) AS section_idx FROM it JOIN st ON st.doc_id = it.doc_id GROUP BY it.doc_id, item_idx""")
+@query("formula_placement_asof", f"""WITH {STARTS_SQL}, n AS (SELECT doc_id, list(section_idx ORDER BY section_idx) AS secs FROM st GROUP BY doc_id), k AS (SELECT *, max(page) OVER (PARTITION BY doc_id) AS top, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx) - 1 AS turn FROM it),
+  j AS (SELECT k.doc_id, item_idx, any_value(top) AS top, any_value(turn) AS turn, max(CASE WHEN k.page >= 0 AND (st.page < k.page OR (st.page = k.page AND st.y <= k.y)) THEN section_idx END) AS after FROM k JOIN st ON st.doc_id = k.doc_id GROUP BY k.doc_id, item_idx)
+  SELECT j.doc_id, item_idx, CASE WHEN top < 0 THEN secs[(turn % len(secs))::INTEGER + 1] ELSE coalesce(after, secs[1]) END AS section_idx FROM j JOIN n ON n.doc_id = j.doc_id""")
 def formula_placement(spark, d):
     return structure.place(*_placed(spark, d))
 
@@ -418,14 +492,25 @@ def interleave(spark, d):
 # ---- checked fields and rendering -------------------------------------------------------------------
 
 
-def _papers(spark, d):
-    """One row a document: title, authors, abstract, keywords, sections, refs."""
-    b = fx.paper_blocks(spark, d)
-    s = structure.sections(b).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "heading", "depth", "body"))).alias("sections"))
-    r = structure.references(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "text"))), lambda z: z["text"]).alias("refs"))
-    t = structure.titles(b)
-    people = authors.authors(b, t).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", F.struct("name", "department", "organization", "city", "country", "email").alias("a")))), lambda z: z["a"]).alias("authors"))
-    return t.join(people, "doc_id", "left").withColumn("authors", canon.author_records(F.coalesce("authors", F.expr(f"cast(array() as {render.NO_AUTHORS})")))["value"]).join(structure.abstracts(b), "doc_id", "left").join(structure.keyword_lists(b), "doc_id", "left").join(s, "doc_id", "left").join(r, "doc_id", "left")
+def _formulas_and_figures(spark, d):
+    """Formulas and figures of the papers, two and one a document, at places of their text."""
+    docs = fx.table(spark, d, "documents").where("text is not null").select("doc_id")
+    f = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("formula_idx")).select("doc_id", "formula_idx", F.lit(0).alias("page"), (F.col("doc_id") % 9 * 14.0 + F.col("formula_idx") * 50.0).alias("bbox_y"), fx.pick(fx.LATEX, "doc_id").alias("latex"),
+        F.when(F.col("formula_idx") == 0, F.format_string("eq_%d.png", "doc_id")).otherwise("").alias("image_path"), (F.col("doc_id") % 10 / 10.0).cast("double").alias("confidence"), (F.col("doc_id") % 5 != 0).alias("is_valid"))
+    g = docs.select("doc_id", F.lit(0).alias("fig_idx"), F.lit(0).alias("page"), (F.col("doc_id") % 7 * 20.0).alias("bbox_y"), F.format_string("fig_0_%d.png", "doc_id").alias("image_path"), (F.col("doc_id") % 4 != 0).alias("is_valid"), F.lit("Fig. 1. A picture & its text").alias("caption"), F.lit("fig_0_0").alias("label"))
+    return f, g
+
+
+_prepared: dict = {}
+
+
+def _normalised(spark, d):
+    """The papers of a folder, normalised; the six layouts of one session read the table that the first wrote."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _prepared:
+        papers, _ = chain.prepare(fx.paper_blocks(spark, d), *_formulas_and_figures(spark, d), sized=True)
+        _prepared[key] = saved(papers, "normalised")
+    return _prepared[key]
 
 
 TITLE_SQL = rf"""ti AS (SELECT doc_id, t AS title, length(t) >= 5 AND len(regexp_split_to_array(t, '\s+')) >= 2 AND length(t) <= 300 AND NOT {starts('lower(t)', ('http', 'doi:'))} AS ok FROM t0 WHERE block_idx = 0)"""
@@ -433,7 +518,7 @@ TITLE_SQL = rf"""ti AS (SELECT doc_id, t AS title, length(t) >= 5 AND len(regexp
 
 @query("canon_title", rf"""WITH {SECTIONS_SQL}, {TITLE_SQL}, hs AS (SELECT doc_id, arg_min(heading, section_idx) AS h FROM sections WHERE len(regexp_split_to_array(heading, '\s+')) >= 2 AND length(heading) <= 300 AND NOT {starts('lower(heading)', ('http', 'doi:'))} GROUP BY doc_id)
   SELECT ti.doc_id, CASE WHEN ok THEN title WHEN h IS NOT NULL THEN h WHEN title <> '' THEN title ELSE 'Untitled Paper' END AS value, CASE WHEN ok THEN 0.9 WHEN h IS NOT NULL THEN 0.6 WHEN title <> '' THEN 0.3 ELSE 0.0 END::DOUBLE AS confidence,
-  CASE WHEN ok THEN 'parsed' WHEN h IS NOT NULL THEN 'section' WHEN title <> '' THEN 'parsed_weak' ELSE 'default' END AS source FROM ti LEFT JOIN hs ON hs.doc_id = ti.doc_id""")
+  CASE WHEN ok THEN 'parsed' WHEN h IS NOT NULL THEN 'repaired:first_heading' WHEN title <> '' THEN 'parsed:weak' ELSE 'default' END AS source FROM ti LEFT JOIN hs ON hs.doc_id = ti.doc_id""")
 def canon_title(spark, d):
     b = fx.paper_blocks(spark, d)
     s = structure.sections(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "heading"))), lambda z: z["heading"]).alias("h"))
@@ -443,19 +528,13 @@ def canon_title(spark, d):
 
 @query("canon_summary")
 def canon_summary(spark, d):
-    p = _papers(spark, d)
-    bodies = F.transform(F.coalesce("sections", F.array()), lambda s: s["body"])
-    t = canon.title(F.col("title"), F.transform(F.coalesce("sections", F.array()), lambda s: s["heading"]), F.lit(""))
-    a = canon.abstract(F.col("abstract"), F.lit(""), F.coalesce(F.get(bodies, 0), F.lit("")))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return p.select("doc_id", canon.summary(t, a, F.size("authors"), n("sections"), n("refs")).alias("summary"), canon.renderable(t, F.coalesce(bodies, F.array().cast("array<string>"))).alias("renderable"))
+    checked = chain.check(chain.parse(fx.paper_blocks(spark, d), sized=True))
+    return checked.select("doc_id", canon.summary().alias("summary"), "renderable", F.array_join("repair_log", "; ").alias("repairs"))
 
 
 def _render(layout_: str):
     def run(spark, d):
-        p = _papers(spark, d)
-        tex = render.document(layout_, F.col("title"), F.coalesce("abstract", F.lit("")), F.coalesce("keywords", F.array().cast("array<string>")), F.col("sections"), F.coalesce("refs", F.array().cast("array<string>")), F.col("authors"))
-        return p.where("sections is not null").select("doc_id", tex.alias("tex")).select("doc_id", F.length("tex").alias("n_chars"), F.md5("tex").alias("digest"))
+        return chain.texts(_normalised(spark, d), layout_).select("doc_id", F.length("tex").alias("n_chars"), F.md5("tex").alias("digest"))
 
     return run
 

@@ -10,7 +10,8 @@ from ..operators import authors as au
 from ..operators import chars, images, line_model, structure, tables
 from ..operators import lines as ln
 from . import fixtures as fx
-from .catalogue import CLASS_SQL, PAPER, query
+from .. import constants as C
+from .catalogue import BEST, CLASS_SQL, PAPER, READINGS, REAL_SQL, greedy_sql, query, strip
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -38,17 +39,36 @@ def text_only_parse(spark, d):
     return front.select("doc_id", F.md5("title").alias("title"), F.md5("abstract").alias("abstract"), F.array_join("keywords", "|").alias("keywords"))
 
 
+M_LINES = f"m AS (SELECT doc_id, {fx.sql_pick(fx.MATH_TEXTS, 'doc_id')} || chr(10) || text AS text FROM documents WHERE text IS NOT NULL), rows AS (SELECT doc_id, unnest(range(len(p)))::INTEGER AS line_idx, unnest(p) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM m)), l AS (SELECT *, {strip('raw')} AS line FROM rows)"
+_COUNT = lambda x, p: f"(length({x}) - length(regexp_replace({x}, '{p}', '', 'g')))"
+_OPS, _CHARS = r"[=+\-*/(){}\[\]|,;:.<>^_\\¯]", "replace(line, ' ', '')"
+_SIDES = "CASE " + " ".join(f"WHEN contains(line, '{s}') THEN regexp_matches(line, '(?s)^[^{s}]*[a-zA-Z][^{s}]*{s}.*[a-zA-Z]')" for s in "=≤≥≈") + " ELSE false END"
+_PLAIN = f"(length(line) < 60 AND ({_SIDES}))"
+_WORDS = r"regexp_split_to_array(line, '\s+')"
+_SHORT = f"(len(list_filter({_WORDS}, lambda w: length(w) <= 2))::DOUBLE / len({_WORDS}))"
+GARBLED_SQL = rf"""(line <> '' AND length(line) <= 150 AND NOT {_PLAIN} AND (contains(line, '· · ·') OR (contains(line, '...') AND (contains(line, 'k(') OR contains(line, '||'))) OR len(regexp_extract_all(line, '[a-zA-Z]\([^)]{{1,20}}\)')) >= 3
+  OR regexp_matches(line, '\|\|.*\|\|') OR regexp_matches(line, '(?i)^(?:[\p{{L}}\p{{N}}_\s\-+()]*[^\p{{L}}\p{{N}}_])?terms\s*$') OR (starts_with(line, '=') AND length(line) < 100 AND {REAL_SQL} <= 1)
+  OR (length(line) < 80 AND {REAL_SQL} <= 1 AND ({_COUNT(_CHARS, C.MATH_CLASS)} + {_COUNT(_CHARS, _OPS)} + {_COUNT(_CHARS, '[' + chr(92) + 'p{Nd}¹²³]')})::DOUBLE / greatest(length({_CHARS}), 1) > 0.35)))"""
+_MATH, _OP, _ALL = _COUNT(_CHARS, C.MATH_CLASS), _COUNT(_CHARS, _OPS), f"length({_CHARS})"
+FRAGMENT_SQL = rf"""(line <> '' AND length(line) <= 60 AND NOT {_PLAIN} AND (regexp_matches(line, '^\(\d+\)$') OR ({_MATH} > 0 AND {_MATH} + {_OP} >= {_ALL} * 0.5 AND {_ALL} <= 20) OR (len({_WORDS}) >= 2 AND {_SHORT} >= 0.6 AND {_ALL} <= 40 AND {REAL_SQL} = 0) OR ({_OP} >= {_ALL} * 0.6 AND {_ALL} <= 25)))"""
+
+
+def islands_sql(core: str, bridge: str, counted: str) -> str:
+    return f"""WITH {M_LINES}, c AS (SELECT *, {core} AS core FROM l), d AS (SELECT *, (core OR coalesce({bridge}, false))::INTEGER AS inside FROM c), e AS (SELECT *, sum(1 - inside) OVER (PARTITION BY doc_id ORDER BY line_idx) AS run FROM d),
+  g AS (SELECT *, sum({counted}) OVER (PARTITION BY doc_id, run) AS n FROM e) SELECT doc_id, line_idx FROM g WHERE inside = 0 OR n < 3"""
+
+
 @query("orphan_lines")
 def orphan_lines(spark, d):
     return digest(fx.math_documents(spark, d).select("doc_id", ln.merge_orphans(F.col("text")).alias("text")))
 
 
-@query("garbled_blocks")
+@query("garbled_blocks", islands_sql(GARBLED_SQL, "line = '' AND lag(core) OVER (PARTITION BY doc_id ORDER BY line_idx)", "core::INTEGER"))
 def garbled_blocks(spark, d):
     return ln.drop_garbled(ln.scatter(fx.math_documents(spark, d))).select("doc_id", "line_idx")
 
 
-@query("equation_fragments")
+@query("equation_fragments", islands_sql(FRAGMENT_SQL, "line = '' AND last_value(CASE WHEN line <> '' THEN core END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "inside"))
 def equation_fragments(spark, d):
     return ln.drop_fragments(ln.scatter(fx.math_documents(spark, d))).select("doc_id", "line_idx")
 
@@ -122,12 +142,18 @@ def _numbered(spark, d):
     return images.number_formulas(b.where("block_idx % 2 = 1").select("doc_id", "page", F.col("block_idx").alias("idx"), F.col("y0").alias("y"), "h", "w"), images.line_numbers(b))
 
 
-@query("formula_numbers")
+NUMBERED_SQL = greedy_sql(f"b AS ({NUMBER_BLOCKS}), ll AS (SELECT doc_id, page, block_idx AS idx, y0 AS y, y1 - y0 AS h, x1 - x0 AS w FROM b WHERE block_idx % 2 = 1)", "rr AS (SELECT doc_id, page, block_idx * 10000 AS idx, (y0 + y1) / 2 AS y, block_idx::VARCHAR AS number FROM b WHERE block_idx % 2 = 0)", "y, idx, h", "80 + greatest(l.h, 0.0) / 2", "abs(l.y + greatest(l.h, 0.0) / 2 - z.y)")
+NUMBERED_SQL += ", f AS (SELECT l.*, CASE WHEN s.hit IS NULL THEN '' ELSE (s.hit // 10000)::VARCHAR END AS equation_number FROM l LEFT JOIN step s ON s.doc_id = l.doc_id AND s.page = l.page AND s.k = l.k)"
+
+
+@query("formula_numbers", NUMBERED_SQL + " SELECT doc_id, page, idx, equation_number FROM f")
 def formula_numbers(spark, d):
     return _numbered(spark, d).select("doc_id", "page", "idx", "equation_number")
 
 
-@query("unmatched_regions")
+@query("unmatched_regions", NUMBERED_SQL + """, big AS (SELECT DISTINCT doc_id, equation_number AS number FROM f WHERE equation_number <> '' AND NOT (h > 0 AND h * (CASE WHEN w > 0 THEN w ELSE h END) < 2000)),
+  u AS (SELECT doc_id, number, min({'page': page, 'y': y}) AS a FROM rr WHERE NOT EXISTS (SELECT 1 FROM big WHERE big.doc_id = rr.doc_id AND big.number = rr.number) GROUP BY doc_id, number)
+  SELECT doc_id, a.page AS page, number, 70.0::DOUBLE AS x0, greatest(0.0, a.y - 50)::DOUBLE AS y0, 542.0::DOUBLE AS x1, (a.y + 15)::DOUBLE AS y1 FROM u""")
 def unmatched_regions(spark, d):
     return images.unmatched_regions(_number_blocks(spark, d), _numbered(spark, d))
 
@@ -160,7 +186,7 @@ def corrupt_images(spark, d):
     return images.drop_corrupt(i, valid).select("doc_id", "image_idx", layout.classify_image(F.col("w"), F.col("h"), F.col("page"), F.col("pages"), F.col("y0")).alias("kind"))
 
 
-@query("merge_readings")
+@query("merge_readings", f"WITH {READINGS}, {BEST} SELECT p_partkey, CASE WHEN latex <> '' AND score >= 0.6 THEN latex ELSE '' END AS latex, CASE WHEN latex <> '' AND score >= 0.6 THEN score ELSE 0.5::DOUBLE END AS confidence FROM best")
 def merge_readings(spark, d):
     part = fx.table(spark, d, "part")
     f = part.selectExpr("p_partkey", "concat('i', p_partkey) as image_path", "'' as latex", "0.5D as confidence")

@@ -32,11 +32,12 @@ def test_keywords(spark):
 
 def test_layouts(spark):
     author = "struct<name: string, department: string, organization: string, city: string, country: string, email: string>"
-    df = spark.createDataFrame([([("Ann Lee", "Dept", "Uni & Co", "X", "Y", "a@b.c"), ("Bob Ray", "", "", "", "", "")], [("Intro", 1, "Body", [("f.png", "A fig", "fig1")], [(["h", "i"], [["1", "2"]], "A tab", "tab1")])])],
-        f"a array<{author}>, s array<struct<heading: string, depth: int, body: string, figures: array<struct<image_path: string, caption: string, label: string>>, tables: array<struct<headers: array<string>, rows: array<array<string>>, caption: string, label: string>>>>")
+    df = spark.createDataFrame([([("Ann Lee", "Dept", "Uni & Co", "X", "Y", "a@b.c"), ("Bob Ray", "", "", "", "", "")], [("Intro", 1, "Body", [], [], [("f.png", "A fig", "fig1")], [(["h", "i"], [["1", "2"]], "A tab", "tab1")])])],
+        f"a array<{author}>, s array<struct<heading: string, depth: int, body: string, positions: array<struct<page: int, y: double>>, formulas: array<struct<page: int, bbox_y: double, latex: string, image_path: string, confidence: double, is_valid: boolean>>, figures: array<struct<image_path: string, caption: string, label: string>>, tables: array<struct<headers: array<string>, rows: array<array<string>>, caption: string, label: string>>>>")
     for layout in ("ieee", "acm", "springer", "elsevier", "apa", "arxiv"):
         tex = df.select(render.document(layout, F.lit("T"), F.lit("A"), F.array(F.lit("k")), F.col("s"), F.array(F.lit("r")), F.col("a"), True)).first()[0]
         assert "Ann Lee" in tex and "Bob Ray" in tex and r"Uni \& Co" in tex and "{f.png}" in tex and "\\begin{tabular}" in tex and "null" not in tex
+        assert (tex.find("{f.png}") < tex.find("{tabular}")) == (layout == "ieee")
         assert "a@b.c" in tex and tex.count("\\begin{figure}") == tex.count("\\begin{table}") == 1
 
 
