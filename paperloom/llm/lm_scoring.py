@@ -1,25 +1,28 @@
 """Operator 1: language-model scores from an Elias-Fano n-gram trie.
 
-The model: bigrams with absolute discounting, interpolated with add-one unigrams; a text
-starts in the context of the end token.  The trie has a level of words and a level of their
-successors.  A context's successors form a range of the second level; each range continues
-from the last value of the range before it, so the level is one monotone sequence, and a
-bigram is found by successor search relative to its context's range.  Ranges' pointers are a
-monotone sequence too.  Levels are files, split by key, written to the shared folder and
-memory-mapped by the tasks that score; probabilities are quantised (256 codes a file for
-bigrams, 16 bits for words and back-off weights).
+The model: bigrams smoothed with ``MASS`` pseudo-counts of the unigram law (Dirichlet prior),
+unigrams with one; a text starts in the context of the end token.  The trie's first level is the
+words: their training counts as the differences of a monotone Elias-Fano sequence, their smoothed
+probabilities as 16-bit codes.  The second level is the successors of contexts: a context's
+successors form a range of one sequence, each range continuing from the last value of the
+range before it, so the level is monotone, and a bigram is found by successor search relative
+to its context's range.  Contexts and their pointers are monotone sequences too; a bigram's
+probability is one of 256 codes.  Levels are files, split by key, written to the shared
+folder and memory-mapped by the task that answers for them.
 
 How it is built, with nothing that grows with the corpus on the driver but one row a file:
 1. tasks cut the texts into blocks of bounded size, with a dictionary of their own;
 2. dictionaries meet by word hash (each word once a block): training counts and word ids;
-3. blocks count their training bigrams by id; ranges of keys, bounded by training counts
-   (a hot context is cut by successor), collect and merge them into the trie's files;
-4. blocks look up their distinct bigrams and add up their documents' scores.
+3. a block sends its distinct known bigrams, with training counts, to the ranges of keys that hold
+   them; ranges are bounded by training counts (a hot context is cut by successor);
+4. a range merges the counts into its part of the trie, looks every block's bigrams up in it and sends
+   the codes back, so that no task opens files of another range;
+5. blocks add up their documents' scores; what the trie lacks backs off by the context's count.
 Base score, known tokens and training tokens come from the exact counts of step 2.
 
 Defined cases: a null or empty text is the end token alone; rows with a null id are training
 rows; repeated rows count and score as often as they are given; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored; more than 2 ** 32 - 2 distinct words are an error.
 """
 
 from __future__ import annotations
@@ -37,10 +40,11 @@ from .elias_fano import EliasFano, encode
 BLOCK_TOKENS = 1_500_000
 SHARD_WORDS = 1_000_000
 RANGE_TOKENS = 4_000_000
-MOST_RANGES = 20_000
+MASS = 64.0
 UNKNOWN = 0xFFFFFFFF
 END = 0x5BD1E995_27D4EB2F  # the end token's hash
-UNIGRAM_STEP = 1 / 4096
+STEP = 1 / 4096  # of a 16-bit code, in log10
+ABSENT = 0xFFFF
 
 
 class _Ids(dict):
@@ -59,6 +63,18 @@ def _load(uri: str):
     return np.load(io.BytesIO(np.asarray(map_array(uri, "u1")).tobytes()))
 
 
+def _squash(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _unsquash(data, dtype) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), dtype)
+
+
 def _three(ids: np.ndarray) -> bytes:
     """Ids below 2 ** 24 in three bytes each."""
     return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
@@ -105,7 +121,7 @@ def cut_blocks(docs: DataFrame, uri: str, modulus: int, held: int, block_tokens:
             counts = np.bincount(flat[np.repeat(train, lens)], minlength=len(ids))
             hashes = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
             wide = len(ids) >= 1 << 24
-            write_file(f"{uri}/block-{block}.ids", flat.astype("<u4").tobytes() if wide else _three(flat))
+            write_file(f"{uri}/block-{block}.ids", _squash(flat.astype("<u4") if wide else np.frombuffer(_three(flat), "u1")))
             write_file(f"{uri}/block-{block}.docs", _pack(ids=np.array([r[0] or 0 for r in rows], np.int64), null=np.array([r[0] is None for r in rows]), train=train, lens=lens, wide=np.array(wide)))
             out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([hashes.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["block", "words", "hashes", "counts"])
             block, rows, tokens, ids = block + 1, [], 0, _Ids()
@@ -155,7 +171,8 @@ def number_words(dictionaries: DataFrame, uri: str, shards: int, range_tokens: i
         total = np.bincount(at, c, len(words)).astype(np.int64)
         rel = np.where(total > 0, np.cumsum(total > 0) - 1, UNKNOWN)
         known = total[total > 0]
-        write_file(f"{uri}/words-{shard}.counts", known.astype("<i8").tobytes())
+        write_file(f"{uri}/words-{shard}.sums", encode(np.concatenate([[0], np.cumsum(known)]).astype(np.uint64)))
+        write_file(f"{uri}/words-{shard}.codes", np.round(np.log10(known + 1.0) / STEP).astype("<u2").tobytes())
         # Cut where the training counts add up to a range; a hot word gets cuts among its successors.
         cuts = [(0, 0.0)]
         cum = np.cumsum(known) // range_tokens
@@ -178,29 +195,56 @@ def number_words(dictionaries: DataFrame, uri: str, shards: int, range_tokens: i
 
 
 class Words:
-    """Level one: training counts by word id, over the shards' memory-mapped files."""
+    """Level one over the shards' memory-mapped files: training counts and codes by word id."""
 
-    def __init__(self, uri: str, bases: list[int], tokens: int):
-        self.bases, self.tokens, self.size = np.array(bases, np.int64), tokens, bases[-1]
-        self.files = [map_array(f"{uri}/words-{s}.counts", "<i8") for s in range(len(bases) - 1)]
+    def __init__(self, uri: str, bases: list[int]):
+        self.uri, self.bases = uri, np.array(bases, np.int64)
+        self.sums: dict[int, EliasFano] = {}
+        self.codes: dict[int, np.ndarray] = {}
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
+    def _shards(self, ids: np.ndarray):
         own = np.searchsorted(self.bases, ids, "right") - 1
         for s in np.unique(own).tolist():
             m = own == s
-            if s < len(self.files):
-                out[m] = self.files[s][ids[m] - self.bases[s]]
+            yield s, m, ids[m] - self.bases[s]
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), np.int64)
+        for s, m, at in self._shards(ids):
+            if s not in self.sums:
+                self.sums[s] = EliasFano(map_array(f"{self.uri}/words-{s}.sums", "u1"))
+            out[m] = (self.sums[s].access(at + 1) - self.sums[s].access(at)).astype(np.int64)
+        return out
+
+    def log_counts(self, ids: np.ndarray) -> np.ndarray:
+        """log10 of the counts and one, from the codes."""
+        out = np.zeros(len(ids))
+        for s, m, at in self._shards(ids):
+            if s not in self.codes:
+                self.codes[s] = map_array(f"{self.uri}/words-{s}.codes", "<u2")
+            out[m] = self.codes[s][at] * STEP
         return out
 
-    def log_prob(self, ids: np.ndarray) -> np.ndarray:
-        """Quantised log10 probability; 0 counts for unknown ids."""
-        p = np.log10((self.counts(ids) + 1.0) / (self.tokens + self.size + 1.0))
-        return np.round(p / UNIGRAM_STEP) * UNIGRAM_STEP
+
+def read_ids(uri: str, block: int, wide: bool) -> np.ndarray:
+    raw = _unsquash(map_array(f"{uri}/block-{block}.ids", "u1"), "u1")
+    return raw.view("<u4") if wide else _from_three(raw)
+
+
+def bigram_keys(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """context << 32 | word for each token; the end token is the context of a text's first."""
+    context = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
+    context[first] = end
+    return (context << np.uint64(32)) | ids.astype(np.uint64)
+
+
+def _known(keys: np.ndarray) -> np.ndarray:
+    """Which sorted distinct keys have a known context and a known word."""
+    return ((keys >> np.uint64(32)) != UNKNOWN) & ((keys & np.uint64(UNKNOWN)) != UNKNOWN)
 
 
 def count_bigrams(answers: DataFrame, uri: str, bases: list[int], keys: np.ndarray, end: int, tokens: int) -> DataFrame:
-    """Write each block's word ids and base scores; return its training bigrams by range of keys."""
+    """Write each block's word ids and base scores; return its known bigrams, with training counts, by range of keys."""
     size = bases[-1]
     starts = np.array(bases, np.int64)
 
@@ -220,152 +264,121 @@ def count_bigrams(answers: DataFrame, uri: str, bases: list[int], keys: np.ndarr
         log = np.log10((known + 1.0) / (tokens + size + 1.0))
         base = np.add.reduceat(log[local], first)
         n_known = np.add.reduceat((known > 0)[local].astype(np.int64), first)
-        write_file(f"{uri}/block-{block}.words", _pack(ids=ids, base=base, n_known=n_known))
-        key = bigram_keys(ids[local], first, end)[np.repeat(docs["train"], lens)]
-        got, c = np.unique(key, return_counts=True)
+        write_file(f"{uri}/block-{block}.words", _pack(ids=np.frombuffer(_squash(ids), "u1"), known=np.frombuffer(_squash(known), "u1"), base=base, n_known=n_known))
+        got, at = np.unique(bigram_keys(ids[local], first, end), return_inverse=True)
+        c = np.bincount(at[np.repeat(docs["train"], lens)], minlength=len(got))
+        some = _known(got)
+        got, c = got[some], c[some]
         edge = np.append(np.searchsorted(got, keys), len(got))
-        rows = [(g, _squeeze(got[edge[g] : edge[g + 1]]), c[edge[g] : edge[g + 1]].astype("<u4").tobytes()) for g in range(len(keys)) if edge[g] < edge[g + 1]]
-        return pd.DataFrame(rows, columns=["g", "keys", "counts"])
+        rows = [(g, block, _squeeze(got[edge[g] : edge[g + 1]]), _squash(c[edge[g] : edge[g + 1]].astype("<u4"))) for g in np.flatnonzero(np.diff(edge)).tolist()]
+        return pd.DataFrame(rows, columns=["g", "block", "keys", "counts"])
 
-    return answers.where("block >= 0").select("block", "shard", "pos", "rel", "count").groupBy("block").applyInPandas(run, "g long, keys binary, counts binary")
+    return answers.where("block >= 0").select("block", "shard", "pos", "rel", "count").groupBy("block").applyInPandas(run, "g long, block long, keys binary, counts binary")
 
 
-def read_ids(uri: str, block: int, wide: bool) -> np.ndarray:
-    return np.array(map_array(f"{uri}/block-{block}.ids", "<u4")) if wide else _from_three(map_array(f"{uri}/block-{block}.ids", "u1"))
+class Range:
+    """One file set of level two."""
+
+    def __init__(self, uri: str, g: int):
+        self.contexts, self.pointers, self.successors = (EliasFano(map_array(f"{uri}/range-{g}.{part}", "u1")) for part in ("contexts", "pointers", "successors"))
+        raw = map_array(f"{uri}/range-{g}.codes", "u1")
+        self.book, self.codes = np.array(raw[:2048]).view("<f8"), raw[2048:]
 
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """16-bit codes of the sorted keys' probabilities, ABSENT where the trie lacks them."""
+        context, word = keys >> np.uint64(32), keys & np.uint64(UNKNOWN)
+        out = np.full(len(keys), ABSENT, np.uint16)
+        # Contexts repeat in sorted keys: their ranges are fetched once.
+        own, at = np.unique(context, return_inverse=True)
+        c = self.contexts.successor(own)
+        has = c < self.contexts.n
+        has[has] = self.contexts.access(c[has]) == own[has]
+        c = np.where(has, c, 0)
+        lo, hi = self.pointers.access(c).astype(np.int64), self.pointers.access(c + 1).astype(np.int64)
+        base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)), np.uint64(0))
+        m = np.flatnonzero(has[at])
+        want = base[at[m]] + word[m] + np.uint64(1)
+        i = self.successors.successor(want)
+        ok = (i >= lo[at[m]]) & (i < hi[at[m]])
+        ok[ok] = self.successors.access(i[ok]) == want[ok]
+        out[m[ok]] = np.minimum(np.round(-self.book[self.codes[i[ok]]] / STEP), ABSENT - 1).astype(np.uint16)
+        return out
 
-def bigram_keys(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-    """context << 32 | word for each token; the end token is the context of a text's first."""
-    context = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
-    context[first] = end
-    return (context << np.uint64(32)) | ids.astype(np.uint64)
+
+def write_range(uri: str, g: int, k: np.ndarray, c: np.ndarray, words: Words, tokens: int, mass: float) -> None:
+    """The trie's files of sorted distinct bigram keys and their counts."""
+    context, word = (k >> np.uint64(32)).astype(np.int64), k & np.uint64(UNKNOWN)
+    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    edge = np.append(begin, len(k))
+    # Each context's range continues from the last value of the range before.
+    base = np.concatenate([[0], np.cumsum(word[edge[1:] - 1] + np.uint64(1))[:-1]]).astype(np.uint64)
+    values = word + np.uint64(1) + np.repeat(base, np.diff(edge))
+    total = np.repeat(words.counts(context[begin]), np.diff(edge))
+    low = 10.0 ** words.log_counts(word.astype(np.int64)) / (tokens + words.bases[-1] + 1.0)
+    p = np.log10((c + mass * low) / (total + mass))
+    step = np.unique(np.quantile(p, np.linspace(0, 1, 257)))
+    own = np.clip(np.searchsorted(step, p, "right") - 1, 0, 255)
+    n = np.maximum(1, np.bincount(own, minlength=256))
+    write_file(f"{uri}/range-{g}.contexts", encode(context[begin].astype(np.uint64)))
+    write_file(f"{uri}/range-{g}.pointers", encode(edge.astype(np.uint64)))
+    write_file(f"{uri}/range-{g}.successors", encode(values))
+    write_file(f"{uri}/range-{g}.codes", (np.bincount(own, p, 256) / n).astype("<f8").tobytes(), own.astype(np.uint8).tobytes())
 
 
-def build_ranges(grams: DataFrame, uri: str) -> DataFrame:
-    """Merge each range's bigrams into its trie file; (g, contexts, first, last, n_first, n_last, once, twice)."""
+def answer_ranges(grams: DataFrame, uri: str, bases: list[int], tokens: int, mass: float) -> DataFrame:
+    """Merge each range's bigrams into its trie files, and answer every block from them: (block, g, codes)."""
 
     def run(frame):
         import pandas as pd
 
         g = int(frame["g"].iloc[0])
-        k = np.concatenate([_expand(x) for x in frame["keys"]])
-        c = np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]).astype(np.int64)
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        k, c = k[at], np.add.reduceat(c, at)
-        context, word = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(UNKNOWN)).astype(np.uint64)
-        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        ends = np.append(begin[1:], len(k)) - 1
-        # Each range continues from the last value of the range before.
-        base = np.concatenate([[0], np.cumsum(word[ends] + np.uint64(1))[:-1]]).astype(np.uint64)
-        values = word + np.uint64(1) + np.repeat(base, np.diff(np.append(begin, len(k))))
-        write_file(f"{uri}/range-{g}.contexts", context[begin].astype("<u4").tobytes())
-        write_file(f"{uri}/range-{g}.pointers", encode(np.append(begin, len(k)).astype(np.uint64)))
-        write_file(f"{uri}/range-{g}.successors", encode(values))
-        write_file(f"{uri}/range-{g}.counts", c.astype("<u4").tobytes())
-        own = context[begin]
-        sizes = np.diff(np.append(begin, len(k)))
-        return pd.DataFrame([(g, int(own[0]), int(own[-1]), int(sizes[0]), int(sizes[-1]), int((c == 1).sum()), int((c == 2).sum()))], columns=["g", "first", "last", "n_first", "n_last", "once", "twice"])
-
-    return grams.groupBy("g").applyInPandas(run, "g long, first long, last long, n_first long, n_last long, once long, twice long")
-
-
-def finish_range(uri: str, g: int, words: Words, discount: float, split: dict[int, int]) -> None:
-    """Quantised probabilities and back-off weights of one range; its counts go."""
-    contexts = np.array(map_array(f"{uri}/range-{g}.contexts", "<u4")).astype(np.int64)
-    begin = EliasFano(map_array(f"{uri}/range-{g}.pointers", "u1")).decode().astype(np.int64)
-    values = EliasFano(map_array(f"{uri}/range-{g}.successors", "u1")).decode()
-    counts = np.array(map_array(f"{uri}/range-{g}.counts", "<u4")).astype(float)
-    sizes = np.diff(begin)
-    last = values[begin[1:] - 1]
-    word = (values - np.repeat(np.concatenate([[0], last[:-1]]).astype(np.uint64), sizes)).astype(np.int64) - 1
-    distinct = sizes.astype(float)
-    for context, n in split.items():
-        distinct[contexts == context] = n
-    total = words.counts(contexts).astype(float)
-    back = np.log10(discount * distinct / total)
-    p = np.log10((counts - discount) / np.repeat(total, sizes) + 10 ** (np.repeat(back, sizes) + words.log_prob(word)))
-    step = np.unique(np.quantile(p, np.linspace(0, 1, 257)))
-    own = np.clip(np.searchsorted(step, p, "right") - 1, 0, 255)
-    n = np.maximum(1, np.bincount(own, minlength=256))
-    write_file(f"{uri}/range-{g}.codes", (np.bincount(own, p, 256) / n).astype("<f8").tobytes(), own.astype(np.uint8).tobytes())
-    write_file(f"{uri}/range-{g}.back", np.round(-back / UNIGRAM_STEP).clip(0, 65535).astype("<u2").tobytes())
+        asked = [_expand(x) for x in frame["keys"]]
+        k, at = np.unique(np.concatenate(asked), return_inverse=True)
+        c = np.bincount(at, np.concatenate([_unsquash(x, "<u4") for x in frame["counts"]]), len(k)).astype(np.int64)
+        seen = c > 0
+        if not seen.any():  # known words that never met in training
+            return pd.DataFrame([(int(b), g, _squash(np.full(len(a), ABSENT, "<u2"))) for b, a in zip(frame["block"], asked)], columns=["block", "g", "codes"])
+        write_range(uri, g, k[seen], c[seen], Words(uri, bases), tokens, mass)
+        part = Range(uri, g)
+        return pd.DataFrame([(int(b), g, _squash(part.look_up(a).astype("<u2"))) for b, a in zip(frame["block"], asked)], columns=["block", "g", "codes"])
 
+    return grams.groupBy("g").applyInPandas(run, "block long, g long, codes binary")
 
-class Range:
-    """One file set of level two."""
 
-    def __init__(self, uri: str, g: int):
-        self.contexts = map_array(f"{uri}/range-{g}.contexts", "<u4")
-        self.pointers = EliasFano(map_array(f"{uri}/range-{g}.pointers", "u1"))
-        self.successors = EliasFano(map_array(f"{uri}/range-{g}.successors", "u1"))
-        raw = map_array(f"{uri}/range-{g}.codes", "u1")
-        self.book, self.codes = np.array(raw[:2048]).view("<f8"), raw[2048:]
-        self.back = map_array(f"{uri}/range-{g}.back", "<u2")
-
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, log10 probability where found, back-off weight elsewhere) of sorted keys."""
-        context, word = (keys >> np.uint64(32)).astype(np.uint32), keys & np.uint64(UNKNOWN)
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        has = self.contexts[c] == context
-        back = np.where(has, -(self.back[c].astype(float)) * UNIGRAM_STEP, 0.0)
-        found, p = np.zeros(len(keys), bool), np.zeros(len(keys))
-        m = np.flatnonzero(has & (word != UNKNOWN))
-        if len(m):
-            # Contexts repeat in sorted keys: their range is fetched once.
-            own, at = np.unique(c[m], return_inverse=True)
-            lo, hi = self.pointers.access(own).astype(np.int64), self.pointers.access(own + 1).astype(np.int64)
-            base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)), np.uint64(0))
-            want = base[at] + word[m] + np.uint64(1)
-            i = self.successors.successor(want)
-            ok = (i >= lo[at]) & (i < hi[at])
-            ok[ok] = self.successors.access(i[ok]) == want[ok]
-            found[m[ok]] = True
-            p[m[ok]] = self.book[self.codes[i[ok]]]
-        return found, p, back
-
-
-def score_blocks(spark: SparkSession, blocks: DataFrame, uri: str, bases: list[int], keys: np.ndarray, built: list[int], end: int, tokens: int) -> DataFrame:
-    exists = frozenset(built)
+def add_up(answers: DataFrame, blocks: DataFrame, uri: str, size: int, end: int, end_count: int, tokens: int, mass: float) -> DataFrame:
+    """The scores of each block's documents."""
 
-    def run(batches):
-        import pyarrow as pa
+    def run(frame):
+        import pandas as pd
 
-        words, ranges = Words(uri, bases, tokens), {}
-        for b in batches:
-            for block in b.column(0).to_pylist():
-                docs, own = _load(f"{uri}/block-{block}.docs"), _load(f"{uri}/block-{block}.words")
-                lens = docs["lens"]
-                first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-                key, at = np.unique(bigram_keys(own["ids"][read_ids(uri, block, bool(docs["wide"]))], first, end), return_inverse=True)
-                p = np.zeros(len(key))
-                edge = np.append(np.searchsorted(key, keys), len(key))
-                edge[0] = 0
-                for g in range(len(keys)):
-                    part = key[edge[g] : edge[g + 1]]
-                    if not len(part):
-                        continue
-                    word = (part & np.uint64(UNKNOWN)).astype(np.int64)
-                    low = words.log_prob(np.where(word == UNKNOWN, bases[-1], word))
-                    if g in exists:
-                        if g not in ranges:
-                            ranges[g] = Range(uri, g)
-                        found, high, back = ranges[g].look_up(part)
-                        low = np.where(found, high, low + back)
-                    p[edge[g] : edge[g + 1]] = low
-                score = np.add.reduceat(p[at], first)
-                n = len(lens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs["ids"], pa.int64(), mask=docs["null"]), pa.array(~docs["train"]), pa.array(lens, pa.int64()), pa.array(own["n_known"], pa.int64()), pa.array(np.full(n, tokens), pa.int64()), pa.array(own["base"], pa.float64()), pa.array(score, pa.float64())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        block = int(frame["block"].iloc[0])
+        docs, own = _load(f"{uri}/block-{block}.docs"), _load(f"{uri}/block-{block}.words")
+        ids, known = _unsquash(own["ids"], "<u4"), _unsquash(own["known"], "<i8")
+        local, lens = read_ids(uri, block, bool(docs["wide"])), docs["lens"]
+        first = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        key, at = np.unique(bigram_keys(ids[local], first, end), return_inverse=True)
+        some = _known(key)
+        code = np.full(len(key), ABSENT, np.uint16)
+        told = frame[frame["g"] >= 0].sort_values("g")["codes"]
+        if len(told):
+            code[some] = np.concatenate([_unsquash(x, "<u2") for x in told])
+        # What the trie lacks: the word's own law, weighed by the context's count.
+        low = np.round(np.log10(known + 1.0) / STEP) * STEP - np.log10(tokens + size + 1.0)
+        context = np.append(0, known[local[:-1]])
+        context[first] = end_count
+        back = np.log10(mass / (context + mass)) + low[local]
+        got = code[at]
+        score = np.add.reduceat(np.where(got == ABSENT, back, got * -STEP), first)
+        doc_id = pd.array(docs["ids"], dtype="Int64")
+        doc_id[docs["null"]] = pd.NA
+        return pd.DataFrame({"doc_id": doc_id, "held_out": ~docs["train"], "n_tokens": lens, "n_known": own["n_known"], "train_tokens": tokens, "base_score": own["base"], "score": score})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.mapInArrow(tidy(run), schema)
+    every = answers.unionByName(blocks.select("block", F.lit(-1).cast("long").alias("g"), F.lit(None).cast("binary").alias("codes")))
+    return every.groupBy("block").applyInPandas(run, schema)
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, modulus: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, scratch: Scratch, modulus: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, shard_words: int = SHARD_WORDS, range_tokens: int = RANGE_TOKENS, mass: float = MASS) -> DataFrame:
     """Fit on the rows whose id's crc32 modulo ``modulus`` is not ``held``; score all rows."""
     spark, uri = docs.sparkSession, f"{scratch.path}/trie"
     dictionaries = scratch.save(cut_blocks(docs, uri, modulus, held, block_tokens), "dictionaries")
@@ -373,49 +386,28 @@ def score_documents(docs: DataFrame, scratch: Scratch, modulus: int = 7, held: i
     if not size[1]:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     shards = max(1, math.ceil(size[0] / shard_words))
-    expected = sum(r[0] for r in dictionaries.select(F.lit(block_tokens).cast("long")).groupBy().sum().collect())
-    range_tokens = max(range_tokens, expected // MOST_RANGES)
     answers = scratch.save(number_words(dictionaries, uri, shards, range_tokens), "answers")
+    blocks = scratch.save(dictionaries.select("block"), "blocks")
+    scratch.drop("dictionaries")
     sums = {r["shard"]: r for r in answers.where("block < 0").select("shard", "known", "tokens", "cut", "share", "count").collect()}
     bases, tokens, cuts, end = [0], 0, [], -1
     for s in range(shards):
         r = sums.get(s)
-        if r is None:
-            write_file(f"{uri}/words-{s}.counts", b"")
-        else:
+        if r is not None:
             tokens += r["tokens"]
             cuts += [(bases[-1] + k, f) for k, f in zip(r["cut"], r["share"])]
             e = int(np.frombuffer(bytes(r["count"]), "<i8")[0])
             end = bases[-1] + e if e >= 0 and e != UNKNOWN else end
         bases.append(bases[-1] + (r["known"] if r else 0))
-    end = end if end >= 0 else UNKNOWN - 1  # no training text
+    if bases[-1] >= UNKNOWN:
+        raise OverflowError(f"{bases[-1]} distinct words: ids hold {UNKNOWN - 1}")
+    end_count = int(Words(uri, bases).counts(np.array([end]))[0]) if end >= 0 else 0
+    end = end if end >= 0 else UNKNOWN  # no training text
     keys = np.unique(np.array([0, *((k << 32) + int(f * bases[-1]) for k, f in cuts)], np.uint64))
     grams = count_bigrams(answers, uri, bases, keys, end, tokens)
-    rows = build_ranges(grams, uri).collect()  # a row a file
-    once, twice = sum(r["once"] for r in rows), sum(r["twice"] for r in rows)
-    discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-    # A context cut over several files: its successors add up.
-    parts: dict[int, list[int]] = {}
-    for r in rows:
-        parts.setdefault(r["first"], []).append(r["n_first"])
-        if r["last"] != r["first"]:
-            parts.setdefault(r["last"], []).append(r["n_last"])
-    split = {k: sum(v) for k, v in parts.items() if len(v) > 1}
-    touched = {r["g"]: {k: split[k] for k in (r["first"], r["last"]) if k in split} for r in rows}
-
-    def finish(batches):
-        words = Words(uri, bases, tokens)
-        for b in batches:
-            for g in b.column(0).to_pylist():
-                finish_range(uri, g, words, discount, touched[g])
-            yield b
-
-    built = [r["g"] for r in rows]
-    if built:
-        spark.createDataFrame([(g,) for g in built], "g long").repartition(len(built)).mapInArrow(tidy(finish), "g long").count()
-    scratch.drop(*[f"trie/range-{g}.counts" for g in built], "answers")
-    blocks = dictionaries.select("block").repartition(max(1, int(size[1])))
-    return score_blocks(spark, blocks, uri, bases, keys, built, end, tokens)
+    told = scratch.save(answer_ranges(grams, uri, bases, tokens, mass), "told")
+    scratch.drop("answers")
+    return add_up(told, blocks, uri, bases[-1], end, end_count, tokens, mass)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
