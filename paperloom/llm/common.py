@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20  # text whose words are looked at together
+SLICE_BYTES = 4 << 20  # text whose words are looked at together
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -39,7 +39,7 @@ from .elias_fano import EliasFano, encode
 
 BLOCK_TOKENS = 1_500_000
 SHARD_WORDS = 1_000_000
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 2_000_000
 MASS = 64.0
 UNKNOWN = 0xFFFFFFFF
 END = 0x5BD1E995_27D4EB2F  # the end token's hash
