@@ -73,7 +73,7 @@ def join_runs(lines: DataFrame) -> DataFrame:
 
 
 def match_nearest(left: DataFrame, right: DataFrame, most: float | None = 50.0, by: str = "y") -> DataFrame:
-    """(doc_id, page, left_idx, right_idx): greedy one-to-one by distance in y, left in order of ``by``, the earlier right on ties.
+    """(doc_id, page, left_idx, right_idx): greedy one-to-one by distance in y, left in order of ``by``, the first right in that order on ties.
 
     Items of one page are few; pages are folded where they lie, with the used ones as state.
     """
@@ -83,7 +83,7 @@ def match_nearest(left: DataFrame, right: DataFrame, most: float | None = 50.0,
 
     def step(done: Column, x: Column) -> Column:
         free = F.filter("r", lambda z: ~F.exists(done, lambda u: u["r"] == z["idx"]))
-        near = F.transform(free, lambda z: F.struct(F.abs(z["y"] - x["y"]).alias("d"), z["y"].alias("y"), z["idx"].alias("idx")))
+        near = F.transform(free, lambda z: F.struct(F.abs(z["y"] - x["y"]).alias("d"), *[z[c].alias(c) for c in dict.fromkeys((by, "y", "idx"))]))
         best = F.array_min(near)
         ok = best.isNotNull() & (F.lit(True) if most is None else best["d"] <= most)
         return F.when(ok, F.concat(done, F.array(F.struct(x["idx"].alias("l"), best["idx"].alias("r"))))).otherwise(done)

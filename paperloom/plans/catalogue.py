@@ -341,18 +341,18 @@ def block_split(spark, d):
     return layout.join_runs(layout.split_blocks(_run_lines(spark, d))).select("doc_id", "run", "text", "x1", "y0", "y1", "n_lines", "size")
 
 
-def greedy_sql(left: str, right: str, order: str, reach: str, distance: str) -> str:
+def greedy_sql(left: str, right: str, order: str, reach: str, distance: str, ties: str = "'idx': z.idx") -> str:
     """One-to-one matching by a recursion over a page's left items: each takes the nearest right one that none before it took."""
     return f"""WITH RECURSIVE {fx.IMAGES_SQL}, {left}, {right}, r AS (SELECT doc_id, page, list({{'idx': idx, 'y': y, 'number': number}} ORDER BY idx, y) AS rs FROM rr GROUP BY doc_id, page),
   l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY {order}) AS k FROM ll),
   step AS (SELECT l.doc_id, l.page, l.k, l.idx, NULL::BIGINT AS hit, []::BIGINT[] AS used FROM l WHERE false
     UNION ALL SELECT doc_id, page, 0, NULL, NULL, [] FROM (SELECT DISTINCT doc_id, page FROM r)
     UNION ALL SELECT doc_id, page, k, idx, b.idx, CASE WHEN b.idx IS NULL THEN used ELSE list_append(used, b.idx::BIGINT) END FROM (SELECT s.doc_id, s.page, l.k, l.idx, s.used,
-      list_sort(list_transform(list_filter(r.rs, lambda z: NOT list_contains(s.used, z.idx::BIGINT) AND {distance} <= {reach}), lambda z: {{'d': {distance}, 'y': z.y, 'idx': z.idx, 'number': z.number}}))[1] AS b
+      list_sort(list_transform(list_filter(r.rs, lambda z: NOT list_contains(s.used, z.idx::BIGINT) AND {distance} <= {reach}), lambda z: {{'d': {distance}, {ties}, 'number': z.number}}))[1] AS b
       FROM step s JOIN l ON l.doc_id = s.doc_id AND l.page = s.page AND l.k = s.k + 1 JOIN r ON r.doc_id = s.doc_id AND r.page = s.page))"""
 
 
-MATCH_SQL = greedy_sql("ll AS (SELECT doc_id, page, image_idx AS idx, y0 AS y FROM images WHERE image_idx % 2 = 1)", "rr AS (SELECT doc_id, page, image_idx AS idx, y0 AS y, '' AS number FROM images WHERE image_idx % 2 = 0)", "y, idx", "50", "abs(z.y - l.y)")
+MATCH_SQL = greedy_sql("ll AS (SELECT doc_id, page, image_idx AS idx, y0 AS y FROM images WHERE image_idx % 2 = 1)", "rr AS (SELECT doc_id, page, image_idx AS idx, y0 AS y, '' AS number FROM images WHERE image_idx % 2 = 0)", "y, idx", "50", "abs(z.y - l.y)", "'y': z.y, 'idx': z.idx")
 
 
 @query("equation_number_match", MATCH_SQL + " SELECT doc_id, page, idx AS left_idx, hit::INTEGER AS right_idx FROM step WHERE hit IS NOT NULL")

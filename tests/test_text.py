@@ -101,3 +101,25 @@ def test_strip_and_escape_as_their_plain_patterns(spark):
     marks = {"~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
     token = re.compile(r"(?s)(\$[^$]*\$|\\[a-zA-Z]+|\\.|.)")
     assert [r.e for r in got] == ["".join("\\" + t if t in "&%#_{}" else marks.get(t, t) for t in token.findall(r)) for r in rows]
+
+
+def test_symbols_decimals_and_reference_lines(spark):
+    from paperloom.functions import mathtext as M
+
+    both = lambda x: M.to_commands(M.to_commands(x, C.GREEK), C.SYMBOLS)
+    assert one(spark, "$α$ x − y", both) == r"$\alpha$ x $-$ y"
+    assert one(spark, "7 .9 and 3 . 14", T.join_decimals) == "7.9 and 3.14"
+    assert one(spark, "[7] x", T.parse_reference) is None and one(spark, "[7] Creative Commons licence", T.parse_reference) is None
+
+
+def test_reference_list_behind_a_paragraph(spark):
+    rows = ["1. Introduction", "Some text of it. References", "[1] Butkovic, P.: Max-linear systems: theory", "Ann ann@lee.org and nothing else"]
+    b = spark.createDataFrame([(1, i, t, 0) for i, t in enumerate(rows)], "doc_id int, block_idx int, text string, page int")
+    assert [r["body"] for r in structure.sections(b).collect()] == ["Some text of it."]
+    assert [r["text"] for r in structure.references(b).collect()] == ["Butkovic, P.: Max-linear systems: theory Ann ann@lee.org and nothing else"]
+
+
+def test_items_without_pages_are_dealt_in_turn(spark):
+    items = spark.createDataFrame([(1, i, -1, 0.0) for i in range(3)], "doc_id int, item_idx int, page int, y double")
+    starts = spark.createDataFrame([(1, 4, 0, 0.0), (1, 6, 1, 0.0)], "doc_id int, section_idx int, page int, y double")
+    assert sorted((r["item_idx"], r["section_idx"]) for r in structure.place(items, starts).collect()) == [(0, 4), (1, 6), (2, 4)]
