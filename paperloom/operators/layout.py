@@ -53,22 +53,38 @@ def cap_regions(regions: DataFrame, per_page: int = C.PER_PAGE, per_doc: int = C
     return first.withColumn("r", F.row_number().over(doc)).where(F.col("r") <= per_doc).drop("r")
 
 
-def split_blocks(lines: DataFrame) -> DataFrame:
-    """Runs of lines without a large gap: gap > max(1.6 * upper median line height, 14) starts a run."""
+def split_blocks(lines: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """Runs of lines: a large gap, or a formula between two lines, starts a run.
+
+    A gap is large above max(1.6 * upper median line height, 14); lines without height do not count, and with
+    none left the height is 12.  spans: doc_id, page, y0, y1 of formulas; lines then need a page.
+    """
     w = Window.partitionBy("doc_id", "block_idx").orderBy("line_idx")
     all_ = Window.partitionBy("doc_id", "block_idx")
-    heights = F.sort_array(F.collect_list(F.col("y1") - F.col("y0")).over(all_))
-    median = F.element_at(heights, (F.size(heights) / 2).cast("int") + 1)
-    gap = F.col("y0") - F.lag("y1").over(w)
-    marked = lines.withColumn("cut", (F.coalesce(gap, F.lit(0.0)) > F.greatest(1.6 * median, F.lit(14.0))).cast("int"))
-    return marked.withColumn("run", F.sum("cut").over(w)).drop("cut")
+    height = F.col("y1") - F.col("y0")
+    heights = F.sort_array(F.collect_list(F.when(height > 0, height)).over(all_))
+    median = F.coalesce(F.get(heights, F.floor(F.size(heights) / 2).cast("int")), F.lit(12.0))
+    before = F.lag("y1").over(w)
+    cut = F.coalesce(F.col("y0") - before, F.lit(0.0)) > F.greatest(1.6 * median, F.lit(14.0))
+    if spans is not None:
+        # A page holds few formulas, so they travel as an array with each of its lines.
+        held = spans.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y0", "y1")).alias("__spans"))
+        lines = lines.join(held, ["doc_id", "page"], "left")
+        within = lambda s: (s["y0"] >= F.col("__before")) & (s["y1"] <= F.col("y0"))
+        meets = lambda s: (s["y0"] < F.col("y0")) & (s["y1"] > F.col("__before")) & (s["y1"] > s["y0"])
+        crossed = (F.col("__before") < F.col("y0")) & F.exists("__spans", lambda s: within(s) | meets(s))
+        lines = lines.withColumn("__before", before).withColumn("__crossed", F.coalesce(crossed, F.lit(False)))
+        cut = cut | F.col("__crossed")
+    marked = lines.withColumn("cut", cut.cast("int"))
+    return marked.withColumn("run", F.sum("cut").over(w)).drop("cut", "__before", "__crossed", "__spans")
 
 
 def join_runs(lines: DataFrame) -> DataFrame:
-    """One block a run: text by line, union of boxes, commonest size (the smaller of equals)."""
+    """One block a run: text by line, union of boxes, commonest size and, where lines have one, font (the smaller of equals)."""
+    modes = [F.mode(c, True).alias(c) for c in ("size", "font") if c in lines.columns]
     return lines.groupBy("doc_id", "block_idx", "run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda s: s["text"]), "\n").alias("text"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.mode("size", True).alias("size"), F.count(F.lit(1)).alias("n_lines"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *modes, F.count(F.lit(1)).alias("n_lines"),
     )
 
 

@@ -341,6 +341,15 @@ def block_split(spark, d):
     return layout.join_runs(layout.split_blocks(_run_lines(spark, d))).select("doc_id", "run", "text", "x1", "y0", "y1", "n_lines", "size")
 
 
+@query("block_split_formulas", f"""WITH {RUN_LINES_SQL}, f AS (SELECT doc_id, list({{'a': (l_partkey % 300)::DOUBLE, 'b': (l_partkey % 300 + l_suppkey % 3)::DOUBLE}}) AS fs FROM (SELECT l_orderkey AS doc_id, l_partkey, l_suppkey FROM li WHERE l_linenumber <= 2) GROUP BY doc_id),
+  h AS (SELECT g.*, lag(y1) OVER (PARTITION BY g.doc_id ORDER BY line_idx) AS before, fs FROM g LEFT JOIN f ON f.doc_id = g.doc_id),
+  c AS (SELECT *, coalesce(gap, 0.0) > greatest(1.6 * hs[len(hs) // 2 + 1], 14.0) OR coalesce(before < y0 AND len(list_filter(fs, lambda z: (z.a >= before AND z.b <= y0) OR (z.a < y0 AND z.b > before AND z.b > z.a))) > 0, false) AS cut FROM h)
+  SELECT doc_id, line_idx, (sum(cut::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_idx))::BIGINT AS run FROM c""")
+def block_split_formulas(spark, d):
+    spans = fx.order_lines(spark, d).where("l_linenumber <= 2").selectExpr("l_orderkey as doc_id", "0 as page", "double(l_partkey % 300) as y0", "double(l_partkey % 300 + l_suppkey % 3) as y1")
+    return layout.split_blocks(_run_lines(spark, d).withColumn("page", F.lit(0)), spans).select("doc_id", "line_idx", "run")
+
+
 def greedy_sql(left: str, right: str, order: str, reach: str, distance: str, ties: str = "'idx': z.idx") -> str:
     """One-to-one matching by a recursion over a page's left items: each takes the nearest right one that none before it took."""
     return f"""WITH RECURSIVE {fx.IMAGES_SQL}, {left}, {right}, r AS (SELECT doc_id, page, list({{'idx': idx, 'y': y, 'number': number}} ORDER BY idx, y) AS rs FROM rr GROUP BY doc_id, page),
