@@ -15,16 +15,19 @@ BLOCKS = "path string, block_idx int, page int, text string, font string, size d
 CELLS = "path string, table_idx int, kind string, row_idx int, col_idx int, cell string"
 
 
-def binary_documents(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx}") -> DataFrame:
-    """path, engine, content; ``.doc`` is not read: it needs another format."""
+def binary_documents(spark: SparkSession, path: str, pattern: str = "*.{[pP][dD][fF],[dD][oO][cC],[dD][oO][cC][xX]}") -> DataFrame:
+    """path, engine, content; a ``.doc`` file is read if it holds what a ``.docx`` file does."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    return files.select("path", F.when(extension == "pdf", "pdf").when(extension == "docx", "docx").alias("engine"), "content")
+    return files.select("path", F.when(extension == "pdf", "pdf").when(extension.isin("docx", "doc"), "docx").alias("engine"), "content")
 
 
 def parse_docx(content: bytes) -> tuple[list[tuple], list[list[list[str]]]]:
-    """(paragraphs as (text, font, size, is_heading, level), tables as rows of cells)."""
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    """(paragraphs as (text, font, size, is_heading, level), tables as rows of cells); nothing of other formats."""
+    try:
+        root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return [], []
     body = root.find(f"{W}body")
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{W}t"))
     paragraphs, tables = [], []
@@ -122,24 +125,29 @@ def read_images(images: DataFrame, engine: Callable[[list[bytes]], list[str]]) -
     return images.select("path", "content").mapInPandas(run, "path string, latex string")
 
 
-def write_tex(documents: DataFrame, folder: str) -> None:
-    """One file {name}.tex a row of (name, tex) in a folder that all executors share.
+def write_tex(documents: DataFrame, folder: str, support: dict[str, bytes] | None = None) -> None:
+    """One file {name}.tex a row of (name, tex) in a folder that all executors share, and class files beside them.
 
     Each file is written aside and renamed, so that a repeated task leaves whole files.
     """
 
-    def write(rows) -> None:
+    def put(name: str, content: bytes) -> None:
         import os
         import uuid
 
         os.makedirs(folder, exist_ok=True)
+        aside = os.path.join(folder, f".{uuid.uuid4().hex}")
+        with open(aside, "wb") as out:
+            out.write(content)
+        os.replace(aside, os.path.join(folder, name))
+
+    def write(rows) -> None:
         for row in rows:
-            aside = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(aside, "w", encoding="utf-8") as out:
-                out.write(row["tex"])
-            os.replace(aside, os.path.join(folder, f"{row['name']}.tex"))
+            put(f"{row['name']}.tex", row["tex"].encode())
 
     documents.select("name", "tex").foreachPartition(write)
+    for name, content in (support or {}).items():
+        put(name, content)
 
 
 def compile_pdf(documents: DataFrame, compiler: Callable[[str], tuple[bytes | None, str]]) -> DataFrame:
@@ -165,7 +173,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """One object a row, nulls kept as such, other letters than ASCII as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_labels(lines: DataFrame, path: str) -> None:

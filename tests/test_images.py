@@ -59,3 +59,19 @@ def test_readings(spark):
     assert {(r["image_path"], r["latex"]) for r in images.merge_readings(f, a, b).collect()} == {("p", r"\frac{a}{b}=c^{2}"), ("q", ""), ("", "y")}
     c = spark.createDataFrame([(r"\CELLIMG{p}",), ("plain",), (r"\CELLIMG{q}",)], "cell string")
     assert {r["cell"] for r in images.merge_cell_readings(c, a, b).collect()} == {r"\CELLEQ{\frac{a}{b}=c^{2}||IMG:p}", "plain", r"\CELLIMG{q}"}
+
+
+def test_split_at_formulas(spark):
+    from paperloom.operators import layout
+
+    lines = spark.createDataFrame(
+        [(1, 0, 0, 0, 0.0, 10.0, "a", "F"), (1, 0, 0, 1, 12.0, 22.0, "b", "G"), (1, 0, 0, 2, 36.0, 46.0, "c", "G"), (1, 0, 0, 3, 70.0, 80.0, "d", "G"), (2, 0, 0, 0, 5.0, 5.0, "e", "F"), (2, 0, 0, 1, 24.0, 24.0, "f", "F"), (2, 0, 0, 2, 44.0, 44.0, "g", "F")],
+        "doc_id long, block_idx int, page int, line_idx int, y0 double, y1 double, text string, font string",
+    ).selectExpr("*", "0.0D as x0", "9.0D as x1", "10.0D as size")
+    spans = spark.createDataFrame([(1, 0, 24.0, 30.0), (1, 1, 10.5, 11.5), (9, 0, 1.0, 2.0)], "doc_id long, page int, y0 double, y1 double")
+    runs = lambda *s: [r["run"] for r in layout.split_blocks(lines, *s).orderBy("doc_id", "line_idx").collect()]
+    # A gap of 14 is not large, but holds a formula; lines without height count as 12 high, so 19 is not large and 20 is.
+    assert runs() == [0, 0, 0, 1, 0, 0, 1]
+    assert runs(spans) == [0, 0, 1, 2, 0, 0, 1]
+    got = {(r["doc_id"], r["run"]): (r["text"], r["font"]) for r in layout.join_runs(layout.split_blocks(lines)).collect()}
+    assert got[1, 0] == ("a\nb\nc", "G")
