@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, Scratch, extended, fresh, id_bucket, text_bytes, tidy, word_slices
+from .common import Scratch, extended, fresh, id_bucket, text_bytes, tidy, word_slices
 
 SAMPLE_ROWS = 12_000  # expected labelled rows of the fit
 PREFIXES = (4, 6)
@@ -42,9 +42,55 @@ def units(word: bytes) -> tuple[str, ...]:
     return (*(f"{w[:k]}*" for k in PREFIXES if len(w) >= k), w) if w else ()
 
 
+class Odds:
+    """The units' log-odds as two arrays: a sixth of a dict's memory, and each worker holds them."""
+
+    def __init__(self, odds: dict[str, float] | None = None):
+        import numpy as np
+        import pyarrow as pa
+
+        self.units, self.values = pa.array(list(odds or ()), pa.large_string()), np.array(list((odds or {}).values()), float)
+
+    def last(self, groups: list[tuple[str, ...]]):
+        """Of each group of units the log-odds of the last one known, 0 without any."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(self.values) or not groups:
+            return np.zeros(len(groups))
+        at = pc.index_in(pa.array([u for g in groups for u in g], pa.large_string()), value_set=self.units)
+        known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])[known]
+        out = np.zeros(len(groups))
+        ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) if len(owner) else owner
+        out[owner[ends]] = self.values[at.take(pa.array(known[ends])).to_numpy(zero_copy_only=False)] if len(ends) else 0.0
+        return out
+
+
+class WordScores:
+    """Scores of words, of frequent ones kept: two generations, the older one going when the younger is full."""
+
+    def __init__(self, model: "Model", most: int):
+        self.model, self.most, self.young, self.old = model, most, {}, {}
+
+    def __call__(self, words: list[bytes]) -> list[float]:
+        made = [self.young.get(w) for w in words]
+        made = [self.old.get(w) if s is None else s for w, s in zip(words, made)]
+        lacking = [k for k, s in enumerate(made) if s is None]
+        for lo in range(0, len(lacking), 100_000):
+            some = lacking[lo : lo + 100_000]
+            for k, s in zip(some, self.model.words([words[k] for k in some])):
+                made[k] = s
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(words, made))
+        return made
+
+
 @dataclass
 class Model:
-    odds: dict[str, float] = field(default_factory=dict)
+    odds: Odds = field(default_factory=Odds)
     lam: float = 1.0
     k: float = 0.1
     slope: float = 1.0
@@ -52,10 +98,10 @@ class Model:
     only: float | None = None  # the score of all, if the sample has one class
 
     def word(self, word: bytes) -> float:
-        score = 0.0
-        for u in units(word):
-            score = self.odds.get(u, score)
-        return score - DRIFT
+        return self.words([word])[0]
+
+    def words(self, words: list[bytes]) -> list[float]:
+        return (self.odds.last([units(w) for w in words]) - DRIFT).tolist()
 
     def evidence(self, scores) -> tuple[float, int, float]:
         """Summed significant evidence, significant segments, best segment's score."""
@@ -108,12 +154,12 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
-def text_scores(texts, cache):
+def text_scores(texts, scores: WordScores):
     """Each text's word scores; a word that only repeats the one before it adds no evidence."""
     import numpy as np
 
     for rows, words, index, offsets in word_slices(texts, lower=False):
-        s = np.fromiter(map(cache.__getitem__, words), float, len(words))[index]
+        s = np.array(scores(words), float)[index]
         again = np.zeros(len(index), bool)
         again[1:] = index[1:] == index[:-1]
         again[offsets[:-1][offsets[:-1] < len(index)]] = False  # a text's first word
@@ -202,12 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int =
     found = table.toArrow()
     odds = log_odds(dict(zip(found["u"].to_pylist(), zip(found["t"].to_pylist(), found["c"].to_pylist()))), size[1], size[0])
     del found
-    model = Model(odds=odds)
+    model = Model(odds=Odds(odds))
+    del odds
 
     def measure(batches):
         import pyarrow as pa
 
-        cache = BoundedCache(model.word, CACHE_WORDS)
+        cache = WordScores(model, CACHE_WORDS)
         for b in batches:
             out = []
             for y, s in zip(b.column(0).to_pylist(), text_scores(b.column(1), cache)):
@@ -233,18 +280,21 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     segments and best segment's score, for every whole text."""
     given = docs.select(*[F.col(f"`{c}`") for c in keep or ["doc_id"]])
     schema = extended(given, **dict(zip(names, ("double", "int", "double"))))
-    wide = len(given.columns)
+    wide, held = len(given.columns), dict(given.dtypes).get("text") == "string"
+    # A text that is kept travels once, not beside a copy of its bytes.
+    at = given.columns.index("text") if held else wide
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        cache = BoundedCache(model.word, CACHE_WORDS)
+        cache = WordScores(model, CACHE_WORDS)
         for b in batches:
-            found = [model.evidence(s) for s in text_scores(b.column(wide), cache)]
+            found = [model.evidence(s) for s in text_scores(pc.fill_null(b.column(at), "") if held else b.column(at), cache)]
             made = ([model.score(e) for e, _, _ in found], [n for _, n, _ in found], [s for _, _, s in found])
             yield pa.RecordBatch.from_arrays([*b.columns[:wide], *map(pa.array, made, (pa.float64(), pa.int32(), pa.float64()))], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in given.columns], text_bytes().alias(fresh("__text", given.columns))).mapInArrow(tidy(run), schema)
+    return (given if held else docs.select(*[F.col(f"`{c}`") for c in given.columns], text_bytes().alias(fresh("__text", given.columns)))).mapInArrow(tidy(run), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -263,3 +263,30 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "minhash_dedup", "mixing", "packing"]
+
+
+def test_toxicity_words_and_texts_that_travel_once(spark):
+    """The arrays give what a dict of units gives; texts that are kept are scored without a copy beside them, null ones too."""
+    import numpy as np
+    from paperloom.llm import toxicity
+
+    odds = {"scou*": 1.0, "scoury": -2.0, "damn": 3.0, "über": 0.5}
+    model = toxicity.Model(odds=toxicity.Odds(odds))
+
+    def plain(word):
+        score = 0.0
+        for u in toxicity.units(word):
+            score = odds.get(u, score)
+        return score - toxicity.DRIFT
+
+    words = [b"scoury", b"scout", b"Damn,", b"...", "Über".encode(), b"none", b"scoury"]
+    assert model.words(words) == [plain(w) for w in words] and toxicity.Model().words(words) == [-toxicity.DRIFT] * 7
+    scores = toxicity.WordScores(model, 2)
+    for part in (words, words[:3], words[2:], []):
+        assert np.allclose(scores(part), [plain(w) for w in part])
+    d = spark.createDataFrame([(1, "damn damn scout x", "a"), (2, None, None), (3, "", "b")], "doc_id long, text string, more string")
+    kept, bare = toxicity.score_documents(d, model, d.columns), toxicity.score_documents(d, model)
+    value = lambda df: {r["doc_id"]: (r["__score"], r["__segments"], r["__best"]) for r in df.collect()}
+    assert value(kept) == value(bare) and [r["text"] for r in kept.orderBy("doc_id").collect()] == ["damn damn scout x", None, ""]
+    fed = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "__text" not in fed
