@@ -123,11 +123,12 @@ def as_text(texts):
     return texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
 
 
-def word_slices(texts, lower: bool = True, most: int = SLICE_BYTES):
+def word_slices(texts, lower: bool = True, most: int = SLICE_BYTES, prepare=None):
     """(rows, words, index, offsets) for slices of an Arrow array of text: of the slice's ``rows`` (a
     range), row k's words are ``words[i]`` for i in ``index[offsets[k]:offsets[k + 1]]``.
 
     ``words`` are distinct, so what is costly is done once a word; a slice holds about ``most`` bytes.
+    ``prepare`` changes a slice's texts first; no copy of all texts is made for it.
     """
     import numpy as np
     import pyarrow as pa
@@ -141,6 +142,7 @@ def word_slices(texts, lower: bool = True, most: int = SLICE_BYTES):
     cut = np.flatnonzero(np.diff((ends - 1) // most)) + 1
     for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
         part = texts.slice(lo, hi - lo)
+        part = prepare(part) if prepare else part
         split = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
         offsets = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
         coded = pc.dictionary_encode(split.flatten())
@@ -195,10 +197,25 @@ class BoundedCache(dict):
         return value
 
 
-def tidy(run):
-    """A batch function that gives its memory back when its task ends."""
+#: What operators keep in a worker between tasks, by what it is for.
+kept: dict[str, dict] = {}
+
+
+def release(keeps: str | None = None) -> None:
+    """Let go of what other operators left in this worker."""
+    for name, held in kept.items():
+        if name != keeps:
+            held.clear()
+
+
+def tidy(run, keeps: str | None = None):
+    """A batch function that gives its memory back when its task ends.
+
+    Workers serve one operator after another; of what they keep between tasks only ``keeps`` stays.
+    """
 
     def wrapped(batches):
+        release(keeps)
         yield from run(batches)
         import ctypes
         import gc

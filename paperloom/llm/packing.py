@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if held:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run, "tokens"), SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,13 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes, tidy, word_slices
+from .common import kept, text_bytes, tidy, word_slices
 
 MARK = "▁"
 CACHE_WORDS = 400_000
 LONG_WORD = 256  # bytes; longer words are counted alone and not kept
 BYTE_COST = -25.0
-_models: dict[str, "TrieCounter"] = {}
+_models: dict[str, "TrieCounter"] = kept.setdefault("pieces", {})
 
 
 def default_path() -> str:
@@ -130,7 +130,7 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
                 n_tokens.append(np.diff(total[offsets]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_tokens))], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run, "pieces"), "doc_id long, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

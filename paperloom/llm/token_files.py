@@ -72,7 +72,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, e
     key = ("doc_id", "hash", "place")
     ordered = given.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
     # One row a partition, never a row a document.
-    rows = sorted(ordered.mapInArrow(tidy(write), "pid long, name string, docs long, ids long, width long").collect())
+    rows = sorted(ordered.mapInArrow(tidy(write, "tokens"), "pid long, name string, docs long, ids long, width long").collect())
     parts, base = [], 0
     for r in rows:
         parts.append(Part(r["name"], r["docs"], r["ids"], base, r["width"]))

@@ -13,13 +13,14 @@ import os
 import re
 from array import array
 
-from .common import BoundedCache, as_text, word_slices
+from .common import BoundedCache, as_text, kept, word_slices
 
 END_ID = 2
 CACHE_WORDS = 250_000
+TEXT_BYTES = 1 << 20  # text that is encoded together
 LONG_WORD = 256  # bytes; longer words are encoded without being kept
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[str, "WordEncoder"] = kept.setdefault("tokens", {})
 
 
 def default_path() -> str:
@@ -76,10 +77,9 @@ class WordEncoder:
         import numpy as np
         import pyarrow.compute as pc
 
-        texts = as_text(texts)
-        if self.direct:  # Lower-casing ASCII first spares variants; a special token's string must stay as it is.
-            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        for rows, words, index, bounds in word_slices(texts, lower=False):
+        # Lower-casing ASCII first spares variants; a special token's string must stay as it is.
+        spared = (lambda part: pc.if_else(pc.match_substring(part, "<|"), part, pc.ascii_lower(part))) if self.direct else None
+        for rows, words, index, bounds in word_slices(as_text(texts), lower=False, most=TEXT_BYTES, prepare=spared):
             found = [self.kept[w] if len(w) <= LONG_WORD else self.word(w) for w in words] + [self.end]
             size = np.fromiter(map(len, found), np.int64, len(found)) // 4
             start = np.cumsum(size) - size

@@ -33,6 +33,7 @@ PRIOR = 8.0
 DRIFT = 1.2
 SIGNIFICANT = 0.01
 CACHE_WORDS = 200_000
+TEXT_BYTES = 1 << 20  # text that is looked at together
 STRIP = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -158,7 +159,7 @@ def text_scores(texts, scores: WordScores):
     """Each text's word scores; a word that only repeats the one before it adds no evidence."""
     import numpy as np
 
-    for rows, words, index, offsets in word_slices(texts, lower=False):
+    for rows, words, index, offsets in word_slices(texts, lower=False, most=TEXT_BYTES):
         s = np.array(scores(words), float)[index]
         again = np.zeros(len(index), bool)
         again[1:] = index[1:] == index[:-1]

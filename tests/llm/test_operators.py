@@ -290,3 +290,21 @@ def test_toxicity_words_and_texts_that_travel_once(spark):
     assert value(kept) == value(bare) and [r["text"] for r in kept.orderBy("doc_id").collect()] == ["damn damn scout x", None, ""]
     fed = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "__text" not in fed
+
+
+def test_workers_let_go():
+    """An operator's worker keeps nothing of the operators before it, and no copy of all texts is lower-cased."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from paperloom.llm import common, tokens
+
+    enc = tokens.encoder(tokens.default_path())
+    list(common.tidy(iter, "tokens")([]))
+    assert tokens.encoder(tokens.default_path()) is enc
+    list(common.tidy(iter)([]))
+    assert not tokens._encoders
+    sizes = []
+    for rows, words, _, _ in common.word_slices(pa.array(["Aa bb"] * 9), lower=False, most=12, prepare=lambda part: sizes.append(len(part)) or pc.ascii_lower(part)):
+        assert set(words) == {b"aa", b"bb"}
+    assert sum(sizes) == 9 and max(sizes) < 9
