@@ -10,21 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import language_id, minhash_dedup, mixing, packing, toxicity
-from paperloom.llm.common import Scratch, collected
+from paperloom.llm.common import Scratch, collected, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents scored 0.5 or more go."""
+    small_batches(spark)
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents without a letter, or whose language the machines tell hardly better than chance, go."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of each group the document with the smallest id stays."""
+    small_batches(spark)
     return minhash_dedup.keep_one(docs)
 
 
@@ -35,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the pieces of the packed sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

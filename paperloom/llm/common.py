@@ -201,11 +201,41 @@ class BoundedCache(dict):
 kept: dict[str, dict] = {}
 
 
-def release(keeps: str | None = None) -> None:
-    """Let go of what other operators left in this worker."""
-    for name, held in kept.items():
-        if name != keeps:
-            held.clear()
+def release(keeps: str | None = None) -> bool:
+    """Let go of what other operators left in this worker; whether there was anything."""
+    held = [h for name, h in kept.items() if name != keeps and h]
+    for h in held:
+        h.clear()
+    return bool(held)
+
+
+def trim() -> None:
+    """Give the memory that is free in this worker back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most ``BATCH_ROWS`` rows to a Python worker at once.
+
+    A batch lies in the executor twice and in the worker twice, so 10,000 whole texts, Spark's default, are 100 MB
+    a task outside the heap.  A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def tidy(run, keeps: str | None = None):
@@ -215,18 +245,9 @@ def tidy(run, keeps: str | None = None):
     """
 
     def wrapped(batches):
-        release(keeps)
+        if release(keeps):
+            trim()  # before new memory comes to what was let go
         yield from run(batches)
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
     return wrapped

@@ -308,3 +308,26 @@ def test_workers_let_go():
     for rows, words, _, _ in common.word_slices(pa.array(["Aa bb"] * 9), lower=False, most=12, prepare=lambda part: sizes.append(len(part)) or pc.ascii_lower(part)):
         assert set(words) == {b"aa", b"bb"}
     assert sum(sizes) == 9 and max(sizes) < 9
+
+
+def test_workers_make_room_first(spark, monkeypatch):
+    """What other operators kept is given back before a task's first batch; batches of whole texts are small."""
+    from paperloom.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "trim", lambda: seen.append("trim"))
+    monkeypatch.setitem(common.kept, "test", {"held": 1})
+    run = common.tidy(lambda batches: (seen.append(b) or b for b in batches), "tokens")
+    assert list(run([1, 2])) == [1, 2] and seen == ["trim", 1, 2, "trim"] and not common.kept["test"]
+    seen.clear()
+    assert list(run([3])) == [3] and seen == [3, "trim"]
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(name, given)
+            common.small_batches(spark)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
